@@ -1,0 +1,6 @@
+"""No streaming operator is provided: the study has no unbounded source.
+
+The functions in ``sentiweave.functions`` and the row-wise projections
+(``training_rows``, ``post_rows``, ``eda_frame``, ``preprocess`` without dedupe) are
+plain column expressions, so they also run on a ``readStream`` frame as they are.
+"""
