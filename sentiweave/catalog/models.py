@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentiweave.catalog.registry import (
+    NWS,
+    WS,
     Query,
     register,
     sql_round,
@@ -14,8 +16,9 @@ from sentiweave.catalog.registry import (
     toxic_corpus,
 )
 from sentiweave.catalog.statistics import _LOGITS_SQL, _halves
-from sentiweave.functions.numeric import round_to
-from sentiweave.functions.text import NWS, WS, Tokenizer
+from sentiweave.functions.numeric import prediction_columns, round_to, with_softmax
+from sentiweave.functions.text import NWS as JAVA_NWS
+from sentiweave.functions.text import Tokenizer
 from sentiweave.operators import langid
 from sentiweave.plans import scoring, studies
 from sentiweave.plans.prepare import preprocess
@@ -118,8 +121,6 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 @register(CATALOG, f"WITH {_SOFTMAX} SELECT vec_id, {_PREDICTED} FROM p")
 def softmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sentiweave.functions.numeric import prediction_columns, with_softmax
-
     rows = with_softmax(table(spark, sf_dir, "embeddings"), "embedding")
     scored = rows.withColumns(prediction_columns(F.col("probabilities")))
     return _rounded(scored.select("vec_id", "sentiment_label", "sentiment_score", "confidence"))
@@ -284,7 +285,7 @@ def fitted_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # A subword stand-in: pieces of up to four characters.
 _PIECES = Tokenizer(
-    split=lambda text: F.regexp_extract_all(text, F.lit(f"({NWS}{{1,4}})")),
+    split=lambda text: F.regexp_extract_all(text, F.lit(f"({JAVA_NWS}{{1,4}})")),
     join=lambda tokens: F.array_join(tokens, ""),
 )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentiweave.catalog.registry import (
+    NWS,
     Query,
     quality_corpus,
     register,
@@ -17,7 +18,7 @@ from sentiweave.catalog.registry import (
     table,
     toxic_corpus,
 )
-from sentiweave.functions.text import NWS
+from sentiweave.functions.numeric import round_to
 from sentiweave.operators import histogram, profile
 from sentiweave.plans.report import primary_length
 from sentiweave.sources.registry import CorpusSpec, registry_frame
@@ -354,8 +355,6 @@ def token_length_stats_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM h""",
 )
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sentiweave.functions.numeric import round_to
-
     corpora = _corpora(spark, sf_dir).withColumn("primary_len", primary_length())
     bins = histogram.length_histogram(corpora, ["corpus"], "primary_len")
     return bins.withColumns(
@@ -379,8 +378,6 @@ def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM i GROUP BY corpus, metric""",
 )
 def boxplot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sentiweave.functions.numeric import round_to
-
     lengths = F.array(
         *(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("char_len", "word_len"))
     )

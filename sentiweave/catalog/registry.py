@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentiweave.functions.text import MODERATION_NOTICE, NWS, URL, WS
+from sentiweave.functions.text import MODERATION_NOTICE
 
 
 @dataclass(frozen=True)
@@ -31,14 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-# SQL fragments used by the oracles.
+# SQL fragments used by the oracles: the 29 whitespace characters as a plain class.
+_SPACES = (
+    r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+WS = f"[{_SPACES}]"
+NWS = f"[^{_SPACES}]"
+
+
 def sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def sql_normalize(x: str) -> str:
     plain = f"replace(coalesce({x}, ''), chr(0), '')"
-    unlinked = f"regexp_replace({plain}, '{URL}', '', 'g')"
+    unlinked = f"regexp_replace({plain}, 'https?://{NWS}+', '', 'g')"
     return f"trim(regexp_replace({unlinked}, '{WS}+', ' ', 'g'))"
 
 

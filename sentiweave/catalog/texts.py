@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentiweave.catalog.registry import (
     NOTICED,
+    NWS,
     Query,
     noticed_documents,
     quality_corpus,
@@ -20,9 +21,9 @@ from sentiweave.catalog.registry import (
 )
 from sentiweave.functions.labels import harmonized
 from sentiweave.functions.text import (
-    NWS,
     chunks,
     drop_moderation_notice,
+    fingerprint,
     normalize,
     truncate_tokens,
 )
@@ -133,8 +134,6 @@ def training_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     GROUP BY lower({sql_strip("text")})""",
 )
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sentiweave.functions.text import fingerprint
-
     docs = table(spark, sf_dir, "documents")
     return (
         docs.groupBy(fingerprint(F.col("text")).alias("copy"))

@@ -32,16 +32,10 @@ def gram_text(text: Column) -> Column:
     return F.concat(F.lit(" "), flat, F.lit(" "))
 
 
-def exploded_grams(df: DataFrame, text: str, keep: list[str | Column]) -> DataFrame:
-    """One row per trigram occurrence, with the ``keep`` columns."""
-    # The character array is its own column: inside the lambda it would be built per trigram.
-    points = df.select(*keep, F.split(gram_text(F.col(text)), "").alias("_points"))
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size("_points") - GRAM),
-        lambda i: F.concat(*(F.get("_points", i + k) for k in range(GRAM))),
-    )
-    names = [c for c in points.columns if c != "_points"]
-    return points.select(*names, F.explode(grams).alias("gram"))
+def grams(text: Column) -> Column:
+    """Array of all trigrams: overlapping matches, none of which starts inside a pair."""
+    every = r"(?s)(?![\x{dc00}-\x{dfff}])(?=(.{3}))"
+    return F.regexp_extract_all(gram_text(text), F.lit(every), F.lit(1))
 
 
 def language_profiles(
@@ -54,7 +48,7 @@ def language_profiles(
     """
     rows = df.where(~is_blank(F.col(text)) & F.col(lang).isNotNull())
     counts = (
-        exploded_grams(rows, text, [F.col(lang).alias("lang")])
+        rows.select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
     )

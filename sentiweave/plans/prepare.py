@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentiweave.functions.text import clean
+from sentiweave.operators.rows import with_text
 from sentiweave.operators.dedupe import keep_first
 from sentiweave.operators.langid import LanguageProfiles, filter_language
 from sentiweave.schema import require_columns
@@ -32,7 +33,7 @@ def preprocess(
     """
     require_columns(df, [text_column])
     text = clean(F.col(text_column), language, force_notice=clean_notices)
-    rows = df.withColumn(text_column, text).where(F.length(text_column) > 0)
+    rows = with_text(df, text_column, text)
     if dedupe:
         rows = keep_first(rows, text_column, id_column, within)
     if profiles is not None:

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentiweave.functions.text import NWS
+from sentiweave.functions.text import WHITESPACE, WS
 from sentiweave.operators.metrics import binary_metrics, metrics_long
 from sentiweave.sources.corpora import append_metrics
 from sentiweave.sources.registry import SEED
@@ -32,8 +32,10 @@ class TrainingOptions:
 
 
 def _features(options: TrainingOptions) -> list:
+    # A SQL expression runs in codegen; the ML tokenizers are per-row functions.
+    words = f"split(btrim(lower(text), '{WHITESPACE}'), r'{WS}+')"
     return [
-        RegexTokenizer(inputCol="text", outputCol="_tokens", pattern=f"{NWS}+", gaps=False),
+        SQLTransformer(statement=f"SELECT *, {words} AS _tokens FROM __THIS__"),
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=options.features),
         IDF(inputCol="_counts", outputCol="features"),
     ]
@@ -44,8 +46,7 @@ def fit_classifier(
 ) -> PipelineModel:
     """Fit on ``text, label`` rows of all languages together.
 
-    Text becomes a sparse vector once and is kept for the solver's passes. With more
-    than one regularization value the best F1 of class 1 over the folds wins; folds
+    With more than one regularization value the best F1 of class 1 over the folds wins; folds
     follow a hash of the id (or text), so they do not depend on partitioning.
     """
     fold_key = F.col(id_column) if id_column else F.col("text")
@@ -56,9 +57,12 @@ def fit_classifier(
         .cast("int")
         .alias("_fold"),
     )
-    prepared = Pipeline(stages=_features(options)).fit(rows)
-    vectors = prepared.transform(rows).select("features", "label", "_fold").persist()
+    tokens, counts, idf = _features(options)
+    # Word counts are kept: the IDF pass and every solver pass start from them.
+    counted = counts.transform(tokens.transform(rows)).select("_counts", "label", "_fold").persist()
     try:
+        weights = idf.fit(counted)
+        vectors = weights.transform(counted).select("features", "label", "_fold")
         solver = LogisticRegression(
             maxIter=options.max_iterations, regParam=options.regularization[0]
         )
@@ -74,13 +78,14 @@ def fit_classifier(
                     evaluator=f1,
                     numFolds=options.folds,
                     foldCol="_fold",
+                    parallelism=4,
                 )
                 .fit(vectors)
                 .bestModel
             )
     finally:
-        vectors.unpersist()
-    return PipelineModel([*prepared.stages, classifier])
+        counted.unpersist()
+    return PipelineModel([tokens, counts, weights, classifier])
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:

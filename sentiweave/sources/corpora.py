@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentiweave.functions.labels import harmonized
 from sentiweave.functions.text import clean
+from sentiweave.operators.rows import with_text
 from sentiweave.operators.sampling import first_n, seeded_shuffle
 from sentiweave.schema import CORPUS_SCHEMA, METRICS_SCHEMA, as_corpus, require_columns
 from sentiweave.sources.registry import EN_TRAINING_ROWS, SEED
@@ -57,12 +58,14 @@ def training_rows(
     """Project a labelled corpus to ``text, label, language``; drop blanks and unmapped labels."""
     require_columns(df, [text_column, label_column])
     code = F.lit(language) if isinstance(language, str) else language
-    return df.select(
+    rows = df.select(
         *(keep or []),
-        clean(F.col(text_column).cast("string"), language).alias("text"),
+        F.col(text_column).cast("string").alias("text"),
         harmonized(df, label_column).alias("label"),
         code.alias("language"),
-    ).where((F.length("text") > 0) & F.col("label").isNotNull())
+    ).where(F.col("label").isNotNull())
+    known = language if isinstance(language, str) else F.col("language")
+    return with_text(rows, "text", clean(F.col("text"), known))
 
 
 def training_set(
@@ -104,9 +107,8 @@ def study_corpus(
     community: str = "weibo_senti_100k",
 ) -> DataFrame:
     """A study corpus from a labelled pool: cleaned text plus constant columns."""
-    text = clean(F.col(text_column).cast("string"), language)
     columns = {
-        "text": text,
+        "text": F.col(text_column).cast("string"),
         "lang": F.lit(language),
         "source": F.lit(source),
         "topic": F.lit(topic),
@@ -114,5 +116,5 @@ def study_corpus(
         "timestamp": F.lit(None),
         "post_id": F.lit(""),
     }
-    rows = df.select(*(c.alias(name) for name, c in columns.items()))
-    return as_corpus(rows).where(F.length("text") > 0)
+    rows = as_corpus(df.select(*(c.alias(name) for name, c in columns.items())))
+    return with_text(rows, "text", clean(F.col("text"), language))
