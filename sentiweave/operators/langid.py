@@ -24,6 +24,7 @@ GRAMS_PER_LANGUAGE = 2_000
 # Scores are integers (log-probability * SCALE), so they do not depend on addition order.
 SCALE = 1_000
 _WINDOW = 1 << 20
+_SALTS = 64
 
 
 def gram_text(text: Column) -> Column:
@@ -43,24 +44,28 @@ def language_profiles(
 ) -> DataFrame:
     """``(lang, gram, n, weight)``: the most frequent trigrams with integer log weights.
 
-    Counting combines on the map side. The ranking window keeps only the first
-    ``grams_per_language`` rows of each language before its shuffle.
+    Counting combines on the map side. The ranking runs first within salted parts of
+    each language, then over what those parts kept, so no task sorts all trigrams of
+    a language.
     """
     rows = df.where(~is_blank(F.col(text)) & F.col(lang).isNotNull())
     counts = (
         rows.select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
+        .withColumn("_salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS)))
     )
-    frequent = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = (
-        counts.withColumn("_place", F.row_number().over(frequent))
-        .where(F.col("_place") <= grams_per_language)
-        .drop("_place")
-    )
+    kept = counts
+    for part in (["lang", "_salt"], ["lang"]):
+        frequent = Window.partitionBy(*part).orderBy(F.desc("n"), "gram")
+        kept = (
+            kept.withColumn("_place", F.row_number().over(frequent))
+            .where(F.col("_place") <= grams_per_language)
+            .drop("_place")
+        )
     total = F.sum("n").over(Window.partitionBy("lang")).cast("double")
     weight = F.rint(F.log(F.col("n").cast("double") / total) * SCALE).cast("long")
-    return kept.withColumn("weight", weight)
+    return kept.select("lang", "gram", "n", weight.alias("weight"))
 
 
 @dataclass(frozen=True)

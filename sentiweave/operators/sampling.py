@@ -29,48 +29,69 @@ def seeded_shuffle(df: DataFrame, id_column: str, seed: int) -> DataFrame:
     return df.orderBy(shuffle_key(id_column, seed), id_column)
 
 
-def _with_cut(rows: DataFrame, cut: DataFrame, names: list[str], strata: list[str]) -> DataFrame:
-    """Attach the one cut row of each stratum.
+def _counts_before(narrow: DataFrame, strata: list[str], level: str) -> DataFrame:
+    """Rows per bucket, and how many rows of the stratum lie in lower buckets."""
+    running = Window.partitionBy(*strata).orderBy(level).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    counts = narrow.groupBy(*strata, level).count()
+    return counts.withColumn("_before", F.sum("count").over(running) - F.col("count"))
+
 
-    Without strata the cut is an aggregate of one row, so broadcasting it is safe;
-    with strata the optimizer decides from the measured size.
+def _select_first(df: DataFrame, n: int, key: Column, buckets: list[Column]) -> DataFrame:
+    """Rows with the n smallest keys (keys must be unique).
+
+    ``buckets`` are coarse to fine and follow the order of ``key``. Each step brings
+    one row to the driver, so the last filter compares with plain literals and can
+    be pushed into the scan.
     """
-    right = cut if strata else F.broadcast(cut)
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
-    return (
-        rows.alias("l")
-        .join(right.alias("r"), same)
-        .select("l.*", *(f"r.{c}" for c in cut.columns if c not in names))
-    )
+    if n <= 0:
+        return df.limit(0)
+    levels = {f"_b{i}": bucket for i, bucket in enumerate(buckets)}
+    narrow = df.select(*(b.alias(c) for c, b in levels.items()), key.alias("_key"))
+    left = n
+    for level in levels:
+        cut = (
+            _counts_before(narrow, [], level)
+            .where(F.col("_before") < left)
+            .agg(F.max(level), F.max("_before"))
+            .first()
+        )
+        if cut[0] is None:
+            return df
+        narrow, left = narrow.where(F.col(level) == F.lit(cut[0])), left - cut[1]
+    # With fewer than n rows in all, the edge is the largest key and every row is kept.
+    edge = narrow.orderBy("_key").limit(left).agg(F.max("_key")).first()[0]
+    return df.where(key <= F.lit(edge))
 
 
-def _select_first(
+def _select_first_per_stratum(
     df: DataFrame, n: int, key: Column, buckets: list[Column], strata: list[str]
 ) -> DataFrame:
-    """Rows with the n smallest keys of each stratum (keys must be unique in a stratum).
+    """The n smallest keys of each stratum: the same steps as joins with one row per stratum.
 
-    ``buckets`` are coarse to fine and follow the order of ``key``.
+    The cut tables are aggregates by stratum; the optimizer broadcasts them or not
+    from their measured size.
     """
     if n <= 0:
         return df.limit(0)
-    groups = [F.col(c) for c in strata] or [F.lit(0)]
-    names = [f"_g{i}" for i in range(len(groups))]
+    names = [f"_g{i}" for i in range(len(strata))]
     levels = [f"_b{i}" for i in range(len(buckets))]
-    keyed = df.withColumns({**dict(zip(names, groups)), "_key": key})
+
+    def with_cut(rows: DataFrame, cut: DataFrame) -> DataFrame:
+        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
+        added = (f"r.{c}" for c in cut.columns if c not in names)
+        return rows.alias("l").join(cut.alias("r"), same).select("l.*", *added)
+
     narrow = df.select(
-        *(g.alias(c) for c, g in zip(names, groups)),
+        *(F.col(c).alias(name) for c, name in zip(strata, names)),
         *(b.alias(c) for c, b in zip(levels, buckets)),
         key.alias("_key"),
         F.lit(n).cast("long").alias("_left"),
     )
     for level in levels:
-        running = Window.partitionBy(*names).orderBy(level).rowsBetween(
-            Window.unboundedPreceding, Window.currentRow
-        )
         cut = (
-            narrow.groupBy(*names, "_left", level)
-            .count()
-            .withColumn("_before", F.sum("count").over(running) - F.col("count"))
+            _counts_before(narrow, [*names, "_left"], level)
             .where(F.col("_before") < F.col("_left"))
             .groupBy(*names)
             .agg(
@@ -79,23 +100,21 @@ def _select_first(
             )
         )
         narrow = (
-            _with_cut(narrow, cut, names, strata)
+            with_cut(narrow, cut)
             .where(F.col(level) == F.col("_last"))
             .withColumn("_left", F.col("_rest"))
             .drop("_last", "_rest", level)
         )
     nth = F.row_number().over(Window.partitionBy(*names).orderBy("_key"))
+    # The literal bound lets Spark cut equal values before the shuffle (for n up to 1,000).
     edge = (
         narrow.withColumn("_nth", nth)
-        .where(F.col("_nth") <= F.col("_left"))
+        .where((F.col("_nth") <= n) & (F.col("_nth") <= F.col("_left")))
         .groupBy(*names)
         .agg(F.max("_key").alias("_edge"))
     )
-    return (
-        _with_cut(keyed, edge, names, strata)
-        .where(F.col("_key") <= F.col("_edge"))
-        .select(*df.columns)
-    )
+    keyed = df.withColumns({**{g: F.col(c) for g, c in zip(names, strata)}, "_key": key})
+    return with_cut(keyed, edge).where(F.col("_key") <= F.col("_edge")).select(*df.columns)
 
 
 def _equal_width(df: DataFrame, value: Column) -> list[Column]:
@@ -111,7 +130,7 @@ def _equal_width(df: DataFrame, value: Column) -> list[Column]:
 def first_n(df: DataFrame, n: int, id_column: str) -> DataFrame:
     """The first n rows in the order of a unique numeric id."""
     value = F.col(id_column)
-    return _select_first(df, n, value, _equal_width(df, value), [])
+    return _select_first(df, n, value, _equal_width(df, value))
 
 
 def seeded_cap(
@@ -120,7 +139,9 @@ def seeded_cap(
     """The first n rows of the seeded shuffle, or n per stratum. Row order is not kept."""
     digest = shuffle_key(id_column, seed)
     buckets = [F.substring(digest, 1, 4), F.substring(digest, 5, 4)]
-    return _select_first(df, n, F.struct(digest, F.col(id_column)), buckets, strata or [])
+    if strata:
+        return _select_first_per_stratum(df, n, digest, buckets, strata)
+    return _select_first(df, n, digest, buckets)
 
 
 def newest_n(df: DataFrame, n: int, group: str, created: str, id_column: str) -> DataFrame:
@@ -130,7 +151,7 @@ def newest_n(df: DataFrame, n: int, group: str, created: str, id_column: str) ->
     """
     age = -F.col(created).cast("double")
     key = F.struct(age.alias("age"), F.col(id_column))
-    return _select_first(df, n, key, _equal_width(df, age), [group])
+    return _select_first_per_stratum(df, n, key, _equal_width(df, age), [group])
 
 
 def sample_rows(
