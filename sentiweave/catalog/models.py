@@ -18,11 +18,12 @@ from sentiweave.catalog.registry import (
 from sentiweave.catalog.statistics import _LOGITS_SQL, _halves
 from sentiweave.functions.numeric import prediction_columns, round_to, with_softmax
 from sentiweave.functions.text import NWS as JAVA_NWS
+from sentiweave.functions.text import WS as JAVA_WS
 from sentiweave.functions.text import Tokenizer
 from sentiweave.operators import langid
 from sentiweave.plans import scoring, studies
 from sentiweave.plans.prepare import preprocess
-from sentiweave.plans.training import TrainingOptions, evaluate, fit_classifier
+from sentiweave.plans.training import TrainingOptions, evaluate, fit_classifier, tokenized
 from sentiweave.sources.corpora import training_rows
 
 CATALOG: dict[str, Query] = {}
@@ -278,7 +279,7 @@ def temperature_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fitted_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = studies.fit_temperature(
-        _calibration(spark, sf_dir), "logits", "label", ["lang"], _TEMPERATURES
+        _calibration(spark, sf_dir), "logits", "label", ["lang"], _TEMPERATURES, refine=False
     )
     return best.withColumn("nll", round_to(F.col("nll"), 6))
 
@@ -307,3 +308,70 @@ def token_fragmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(
         {c: round_to(F.col(c), 6) for c in ("subwords_per_word", "fragmentation_rate")}
     ).withColumn("max_subwords", F.col("max_subwords").cast("long"))
+
+
+@register(
+    CATALOG,
+    """WITH f AS (SELECT lang, temperature::DOUBLE AS first FROM ("""
+    + f"""WITH {_LOSSES} SELECT lang, arg_min(temperature, nll) AS temperature FROM losses
+      GROUP BY lang)),
+    r AS (SELECT lang, """
+    + f"""{_LOGITS_SQL} AS z, (label >= 5)::INTEGER AS y, first * pow(2.5::DOUBLE, i / 10) AS t
+      FROM embeddings JOIN documents ON vec_id = doc_id JOIN f USING (lang),
+           (SELECT unnest(range(-10, 11)) AS i)),
+    l AS (SELECT lang, t, avg(ln(exp(z[1] / t) + exp(z[2] / t)) - z[y + 1] / t) AS nll
+          FROM r GROUP BY lang, t)
+    SELECT lang, {sql_round("arg_min(t, nll)", 6)} AS temperature, {sql_round("min(nll)", 6)} AS nll
+    FROM l GROUP BY lang""",
+)
+def refined_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = studies.fit_temperature(
+        _calibration(spark, sf_dir), "logits", "label", ["lang"], _TEMPERATURES
+    )
+    return best.withColumns({c: round_to(F.col(c), 6) for c in ("temperature", "nll")})
+
+
+# A second stand-in, blind to words: pieces of four characters of the unspaced text.
+_BLIND_PIECES = Tokenizer(
+    split=lambda text: F.regexp_extract_all(
+        F.regexp_replace(text, f"{JAVA_WS}+", ""), F.lit("(?s).{1,4}"), F.lit(0)
+    ),
+    join=lambda tokens: F.array_join(tokens, ""),
+)
+
+
+@register(
+    CATALOG,
+    f"""WITH w AS (
+      SELECT doc_id, lang, regexp_extract_all(text, '{NWS}+') AS words FROM documents),
+    p AS (SELECT doc_id, lang, unnest(range(1, len(words) + 1)) AS i, words FROM w),
+    e AS (SELECT doc_id, lang, i,
+                 sum(length(words[i])) OVER (PARTITION BY doc_id ORDER BY i) AS edge,
+                 sum(length(words[i])) OVER (PARTITION BY doc_id) AS total FROM p)
+    SELECT lang, count(*) AS n_word_ends,
+           count(*) FILTER (WHERE edge % 4 = 0 OR edge = total) AS n_shared_ends,
+           {sql_round("count(*) FILTER (WHERE edge % 4 = 0 OR edge = total)::DOUBLE / count(*)::DOUBLE", 6)}
+             AS boundary_agreement
+    FROM e GROUP BY lang""",
+)
+def boundary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = studies.boundary_agreement(docs, "text", ["lang"], _BLIND_PIECES)
+    return found.withColumn("boundary_agreement", round_to(F.col("boundary_agreement"), 6))
+
+
+@register(
+    CATALOG,
+    f"""SELECT least(len(regexp_extract_all(text, '{NWS}+')), 256)::BIGINT AS n_ids,
+           least(len(regexp_extract_all(text, '{NWS}+')), 256)::BIGINT AS n_attended,
+           quality AS labels
+    FROM documents JOIN labels USING (doc_id)""",
+)
+def tokenized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = tokenized(docs.join(labels, "doc_id").withColumnRenamed("quality", "label"))
+    return rows.select(
+        F.size("input_ids").cast("long").alias("n_ids"),
+        F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_attended"),
+        "labels",
+    )

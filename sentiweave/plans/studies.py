@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentiweave.functions.numeric import ratio
 from sentiweave.functions.text import WORDS, Tokenizer
@@ -71,42 +74,63 @@ def temperature_grid(low: float = 0.05, high: float = 10.0, steps: int = 60) ->
 
 
 def nll_by_temperature(
-    df: DataFrame, logits: str, label: str, by: list[str], grid: list[float]
+    df: DataFrame, logits: str, label: str, by: list[str], grid: list[float] | Column
 ) -> DataFrame:
     """Mean negative log-likelihood of ``softmax(logits / T)`` for each T of the grid.
 
     One pass; rows meet the grid inside the task and only sums are shuffled.
     """
+    steps = grid if isinstance(grid, Column) else F.array(*map(F.lit, grid))
     rows = df.select(
         *by,
         F.transform(logits, lambda x: x.cast("double")).alias("_z"),
         F.col(label).cast("int").alias("_y"),
+        steps.alias("_grid"),
     ).withColumn("_top", F.array_max("_z"))
+    spread = rows.select(*by, "_z", "_y", "_top", F.explode("_grid").alias("temperature"))
     # log-sum-exp, shifted by the largest logit.
-    spread = rows.select(
-        *by, "_z", "_y", "_top", F.explode(F.array(*map(F.lit, grid))).alias("temperature")
-    )
     mass = F.aggregate(
         "_z",
         F.lit(0.0),
         lambda total, x: total + F.exp((x - F.col("_top")) / F.col("temperature")),
     )
     loss = F.log(mass) - (F.get("_z", F.col("_y")) - F.col("_top")) / F.col("temperature")
-    return (
-        spread.groupBy(*by, "temperature")
-        .agg(F.avg(loss).alias("nll"), F.count("*").alias("n_rows"))
+    return spread.groupBy(*by, "temperature").agg(
+        F.avg(loss).alias("nll"), F.count("*").alias("n_rows")
     )
 
 
-def fit_temperature(
-    df: DataFrame, logits: str, label: str, by: list[str], grid: list[float] | None = None
-) -> DataFrame:
-    """Temperature with the lowest loss per group (such as the language)."""
-    losses = nll_by_temperature(df, logits, label, by, grid or temperature_grid())
+def _best_temperature(losses: DataFrame, by: list[str]) -> DataFrame:
     best = F.min_by("temperature", F.struct("nll", "temperature"))
     return losses.groupBy(*by).agg(best.alias("temperature"), F.min("nll").alias("nll"))
 
 
+def fit_temperature(
+    df: DataFrame,
+    logits: str,
+    label: str,
+    by: list[str],
+    grid: list[float] | None = None,
+    refine: bool = True,
+) -> DataFrame:
+    """Temperature with the lowest loss per group (such as the language).
+
+    With ``refine`` a second pass tries 21 temperatures between the neighbours of the
+    group's first choice. The table of first choices has one row per group.
+    """
+    grid = sorted(grid or temperature_grid())
+    best = _best_temperature(nll_by_temperature(df, logits, label, by, grid), by)
+    if not refine or len(grid) < 2:
+        return best
+    step = max(b / a for a, b in zip(grid, grid[1:]))
+    near = F.transform(
+        F.sequence(F.lit(-10), F.lit(10)), lambda i: F.col("_first") * F.pow(F.lit(step), i / 10)
+    )
+    first = best.select(*by, F.col("temperature").alias("_first"))
+    rows = df.select(*by, logits, label).join(first, by)
+    return _best_temperature(nll_by_temperature(rows, logits, label, by, near), by)
+
+
 def token_fragmentation(
     df: DataFrame,
     text: str,
@@ -134,3 +158,42 @@ def token_fragmentation(
         ratio(split, total).alias("fragmentation_rate"),
         F.max("pieces").alias("max_subwords"),
     )
+
+
+_ENDS = T.StructType(
+    [T.StructField("words", T.LongType()), T.StructField("hits", T.LongType())]
+)
+
+
+@F.pandas_udf(_ENDS)
+def _word_ends_hit(words: pd.Series, subwords: pd.Series) -> pd.DataFrame:
+    """Word ends of each text, and how many of them are subword ends too."""
+
+    def ends(tokens: np.ndarray) -> np.ndarray:
+        return np.cumsum([len(token) for token in tokens])
+
+    counts = [
+        (len(w), int(np.isin(ends(w), ends(s)).sum())) for w, s in zip(words, subwords)
+    ]
+    return pd.DataFrame(counts, columns=["words", "hits"])
+
+
+def boundary_agreement(
+    df: DataFrame,
+    text: str,
+    by: list[str],
+    subwords: Tokenizer,
+    words: Tokenizer = WORDS,
+) -> DataFrame:
+    """Share of word ends that are also subword ends, per group.
+
+    Both tokenizers must cover the same characters (spaces apart). Ends are compared
+    text by text inside the task, so that no token is shuffled.
+    """
+    hit = _word_ends_hit(words.split(F.col(text)), subwords.split(F.col(text)))
+    ends = df.select(*by, hit.alias("_ends")).select(*by, "_ends.*")
+    return ends.groupBy(*by).agg(
+        F.sum("words").alias("n_word_ends"),
+        F.sum("hits").alias("n_shared_ends"),
+        ratio(F.sum("hits"), F.sum("words")).alias("boundary_agreement"),
+    )

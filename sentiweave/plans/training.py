@@ -13,7 +13,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sentiweave.functions.text import WHITESPACE, WS
+from sentiweave.functions.text import MAX_SEQUENCE_LENGTH, WHITESPACE, WORDS, WS, Tokenizer
 from sentiweave.operators.metrics import binary_metrics, metrics_long
 from sentiweave.sources.corpora import append_metrics
 from sentiweave.sources.registry import SEED
@@ -41,6 +41,26 @@ def _features(options: TrainingOptions) -> list:
     ]
 
 
+def tokenized(
+    df: DataFrame,
+    tokenizer: Tokenizer = WORDS,
+    limit: int = MAX_SEQUENCE_LENGTH,
+    vocabulary: int = 1 << 16,
+) -> DataFrame:
+    """``input_ids, attention_mask, labels`` of ``text, label`` rows, for an outside model.
+
+    Ids are token hashes below ``vocabulary``; no other column is kept.
+    """
+    tokens = df.select(
+        F.slice(tokenizer.split(F.col("text")), 1, limit).alias("_tokens"), "label"
+    )
+    return tokens.select(
+        F.transform("_tokens", lambda t: F.pmod(F.hash(t), F.lit(vocabulary))).alias("input_ids"),
+        F.transform("_tokens", lambda t: F.lit(1)).alias("attention_mask"),
+        F.col("label").alias("labels"),
+    )
+
+
 def fit_classifier(
     train: DataFrame, options: TrainingOptions = TrainingOptions(), id_column: str | None = None
 ) -> PipelineModel:

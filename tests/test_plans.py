@@ -117,12 +117,40 @@ def test_translation_gap_and_gold(spark):
     assert studies.gold_accuracy(guess, gold, ["lang"]).first().accuracy == 0.5
 
 
+def test_boundary_agreement(spark):
+    df = spark.createDataFrame([("zh", "ab cde"), ("zh", ""), ("zh", None)], "lang string, text string")
+    pairs = Tokenizer(
+        split=lambda c: F.regexp_extract_all(F.replace(c, F.lit(" ")), F.lit(".{1,2}"), F.lit(0)),
+        join=lambda a: F.array_join(a, ""),
+    )
+    filled = df.withColumn("text", F.coalesce("text", F.lit("")))
+    row = studies.boundary_agreement(filled, "text", ["lang"], pairs).first()
+    assert (row.n_word_ends, row.n_shared_ends, row.boundary_agreement) == (2, 2, 1.0)
+    threes = Tokenizer(
+        split=lambda c: F.regexp_extract_all(F.replace(c, F.lit(" ")), F.lit(".{1,3}"), F.lit(0)),
+        join=pairs.join,
+    )
+    assert studies.boundary_agreement(filled, "text", ["lang"], threes).first().n_shared_ends == 1
+
+
+def test_tokenized(spark):
+    df = spark.createDataFrame([("a b a c", 1), ("", 0)], "text string, label int")
+    rows = training.tokenized(df, limit=3, vocabulary=50)
+    assert rows.columns == ["input_ids", "attention_mask", "labels"]
+    first, second = rows.collect()
+    assert first.input_ids[0] == first.input_ids[2] and len(first.input_ids) == 3
+    assert all(0 <= i < 50 for i in first.input_ids)
+    assert first.attention_mask == [1, 1, 1] and second.input_ids == []
+
+
 def test_temperature(spark):
     # Three of four rows with logit gap 4 are right: the best T makes the share 0.75.
     rows = [("en", [0.0, 4.0], 1)] * 3 + [("en", [0.0, 4.0], 0)]
     df = spark.createDataFrame(rows, "lang string, logits array<double>, label int")
     best = studies.fit_temperature(df, "logits", "label", ["lang"]).first()
-    assert best.temperature == pytest.approx(4 / 1.0986, rel=0.1)
+    assert best.temperature == pytest.approx(4 / 1.0986, rel=0.01)
+    rough = studies.fit_temperature(df, "logits", "label", ["lang"], refine=False).first()
+    assert rough.nll >= best.nll
 
 
 def test_fragmentation(spark):
