@@ -344,10 +344,10 @@ _BLIND_PIECES = Tokenizer(
     CATALOG,
     f"""WITH w AS (
       SELECT doc_id, lang, regexp_extract_all(text, '{NWS}+') AS words FROM documents),
-    p AS (SELECT doc_id, lang, unnest(range(1, len(words) + 1)) AS i, words FROM w),
+    p AS (SELECT doc_id, lang, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM w),
     e AS (SELECT doc_id, lang, i,
-                 sum(length(words[i])) OVER (PARTITION BY doc_id ORDER BY i) AS edge,
-                 sum(length(words[i])) OVER (PARTITION BY doc_id) AS total FROM p)
+                 sum(length(word)) OVER (PARTITION BY doc_id ORDER BY i) AS edge,
+                 sum(length(word)) OVER (PARTITION BY doc_id) AS total FROM p)
     SELECT lang, count(*) AS n_word_ends,
            count(*) FILTER (WHERE edge % 4 = 0 OR edge = total) AS n_shared_ends,
            {sql_round("count(*) FILTER (WHERE edge % 4 = 0 OR edge = total)::DOUBLE / count(*)::DOUBLE", 6)}

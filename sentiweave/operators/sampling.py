@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BUCKETS = 65_536
 
@@ -128,9 +129,10 @@ def _equal_width(df: DataFrame, value: Column) -> list[Column]:
 
 
 def first_n(df: DataFrame, n: int, id_column: str) -> DataFrame:
-    """The first n rows in the order of a unique numeric id."""
+    """The first n rows in the order of a unique id (buckets are used for numeric ids)."""
     value = F.col(id_column)
-    return _select_first(df, n, value, _equal_width(df, value))
+    numeric = isinstance(df.schema[id_column].dataType, T.NumericType)
+    return _select_first(df, n, value, _equal_width(df, value) if numeric else [])
 
 
 def seeded_cap(

@@ -167,17 +167,17 @@ _ENDS = T.StructType(
 
 @F.pandas_udf(_ENDS)
 def _word_ends_hit(words: pd.Series, subwords: pd.Series) -> pd.DataFrame:
-    """Word ends of each text, and how many of them are subword ends too."""
-
-    def ends(tokens: np.ndarray) -> np.ndarray:
-        return np.cumsum([len(token) for token in tokens])
-
+    """Word ends of each text, and how many of them are subword ends, from token lengths."""
     counts = [
-        (len(w), int(np.isin(ends(w), ends(s)).sum())) for w, s in zip(words, subwords)
+        (len(w), int(np.isin(np.cumsum(w), np.cumsum(s)).sum())) for w, s in zip(words, subwords)
     ]
     return pd.DataFrame(counts, columns=["words", "hits"])
 
 
+def _lengths(tokens: Column) -> Column:
+    return F.transform(F.coalesce(tokens, F.array().cast("array<string>")), F.length)
+
+
 def boundary_agreement(
     df: DataFrame,
     text: str,
@@ -190,7 +190,8 @@ def boundary_agreement(
     Both tokenizers must cover the same characters (spaces apart). Ends are compared
     text by text inside the task, so that no token is shuffled.
     """
-    hit = _word_ends_hit(words.split(F.col(text)), subwords.split(F.col(text)))
+    lengths = (_lengths(tokenizer.split(F.col(text))) for tokenizer in (words, subwords))
+    hit = _word_ends_hit(*lengths)
     ends = df.select(*by, hit.alias("_ends")).select(*by, "_ends.*")
     return ends.groupBy(*by).agg(
         F.sum("words").alias("n_word_ends"),

@@ -16,6 +16,8 @@ def build_session(
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Texts can be long: smaller batches bound the memory of Python workers.
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     )
     if master:
         builder = (

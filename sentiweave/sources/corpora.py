@@ -19,17 +19,31 @@ def load_corpus_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_corpus_table(df: DataFrame, path: str) -> str:
-    """Write a corpus, partitioned by language, replacing what is there."""
-    df.write.mode("overwrite").partitionBy("lang").parquet(path)
+    """Write a corpus table, one partition per language.
+
+    Languages present in ``df`` are replaced; others already in the table stay.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("lang").parquet(path)
     return path
 
 
+def raw_table(root: str) -> str:
+    return f"{root.rstrip('/')}/raw"
+
+
+def processed_table(root: str) -> str:
+    return f"{root.rstrip('/')}/processed/study"
+
+
 def raw_corpus_path(root: str, language: str) -> str:
-    return f"{root.rstrip('/')}/raw/lang={language}"
+    """Folder of one language inside the raw table."""
+    return f"{raw_table(root)}/lang={language}"
 
 
 def processed_corpus_path(root: str, language: str) -> str:
-    return f"{root.rstrip('/')}/processed/study/lang={language}"
+    """Folder of one language inside the processed table."""
+    return f"{processed_table(root)}/lang={language}"
 
 
 def save_predictions(df: DataFrame, path: str) -> str:

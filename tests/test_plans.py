@@ -4,8 +4,15 @@ from pyspark.sql import functions as F
 
 from sentiweave.functions.text import NWS, Tokenizer
 from sentiweave.plans import report, scoring, studies, training
+from sentiweave.plans.collect import collect_job
+from sentiweave.plans.prepare import preprocess_job
 from sentiweave.schema import CORPUS_SCHEMA
-from sentiweave.sources.corpora import save_corpus_table
+from sentiweave.sources.corpora import (
+    load_corpus_table,
+    processed_table,
+    raw_table,
+    save_corpus_table,
+)
 from sentiweave.sources.registry import CorpusSpec
 
 OPTIONS = training.TrainingOptions(features=1 << 10, max_iterations=5)
@@ -77,6 +84,34 @@ def test_predict_job(spark, tmp_path):
         scoring.predict_job(spark, empty, str(tmp_path / "out2"), scorer)
 
 
+def test_collect_prepare_train_score(spark, labelled, tmp_path):
+    """The jobs one after the other, each reading what the one before wrote."""
+    root, landed = str(tmp_path), str(tmp_path / "landed")
+    posts = labelled.select(
+        F.col("id").cast("string").alias("id"),
+        F.col("text").alias("title"),
+        F.lit("the same  body https://x.y").alias("selftext"),
+        (F.col("id") + 1_700_000_000).alias("created_utc"),
+        F.when(F.col("id") < 40, "apple").otherwise("technology").alias("community"),
+    )
+    posts.unionByName(posts.withColumn("id", F.concat("id", F.lit("x")))).write.parquet(landed)
+    spanish = spark.createDataFrame([("hola", "es", "s", "t", "c", None, "1")], CORPUS_SCHEMA)
+    save_corpus_table(spanish, raw_table(root))
+    raw = collect_job(spark, landed, root, "en", limit_per_community=30)
+    collected = load_corpus_table(spark, raw)
+    assert {r.lang: r["count"] for r in collected.groupBy("lang").count().collect()} == {
+        "en": 60, "es": 1,
+    }
+    clean = preprocess_job(spark, raw, processed_table(root), "en")
+    assert load_corpus_table(spark, clean).count() == 30
+    best = training.train_job(labelled, labelled, f"{root}/model", "run", OPTIONS, "id")
+    scorer = scoring.model_scorer(PipelineModel.load(best))
+    out = spark.read.parquet(scoring.predict_job(spark, clean, f"{root}/predictions", scorer))
+    assert out.count() == 30
+    wrong = (F.col("sentiment_label") == 1) != F.col("text").contains("lovely")
+    assert out.where(wrong).count() == 0
+
+
 def test_report(spark, labelled):
     spec = CorpusSpec(
         "a", "train", "en", "local/a", "train", "text", "label", "a", id_column="id"
@@ -123,14 +158,13 @@ def test_boundary_agreement(spark):
         split=lambda c: F.regexp_extract_all(F.replace(c, F.lit(" ")), F.lit(".{1,2}"), F.lit(0)),
         join=lambda a: F.array_join(a, ""),
     )
-    filled = df.withColumn("text", F.coalesce("text", F.lit("")))
-    row = studies.boundary_agreement(filled, "text", ["lang"], pairs).first()
+    row = studies.boundary_agreement(df, "text", ["lang"], pairs).first()
     assert (row.n_word_ends, row.n_shared_ends, row.boundary_agreement) == (2, 2, 1.0)
     threes = Tokenizer(
         split=lambda c: F.regexp_extract_all(F.replace(c, F.lit(" ")), F.lit(".{1,3}"), F.lit(0)),
         join=pairs.join,
     )
-    assert studies.boundary_agreement(filled, "text", ["lang"], threes).first().n_shared_ends == 1
+    assert studies.boundary_agreement(df, "text", ["lang"], threes).first().n_shared_ends == 1
 
 
 def test_tokenized(spark):

@@ -57,6 +57,7 @@ def test_first_n(spark):
     )
     assert sorted(r.row_id for r in first_n(far, 11, "row_id").collect()) == [-(2**61), *range(10)]
     assert first_n(df.limit(0), 5, "row_id").count() == 0
+    assert [r.text for r in first_n(df, 2, "text").orderBy("text").collect()] == ["t0", "t1"]
 
 
 def test_seeded_cap_is_the_head_of_the_shuffle(spark):
