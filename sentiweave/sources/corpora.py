@@ -62,24 +62,36 @@ def append_metrics(metrics: DataFrame, path: str, run: str, scope: str) -> str:
     return path
 
 
-def training_rows(
+def _labelled_rows(
     df: DataFrame,
     text_column: str,
     label_column: str,
     language: str | Column,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Project a labelled corpus to ``text, label, language``; drop blanks and unmapped labels."""
+    """Raw text, harmonized label and language of the rows whose label maps to a class."""
     require_columns(df, [text_column, label_column])
-    code = F.lit(language) if isinstance(language, str) else language
-    rows = df.select(
+    return df.select(
         *(keep or []),
         F.col(text_column).cast("string").alias("text"),
         harmonized(df, label_column).alias("label"),
-        code.alias("language"),
+        (F.lit(language) if isinstance(language, str) else language).alias("language"),
     ).where(F.col("label").isNotNull())
-    known = language if isinstance(language, str) else F.col("language")
-    return with_text(rows, "text", clean(F.col("text"), known))
+
+
+def _cleaned(rows: DataFrame) -> DataFrame:
+    return with_text(rows, "text", clean(F.col("text"), F.col("language")))
+
+
+def training_rows(
+    df: DataFrame,
+    text_column: str,
+    label_column: str,
+    language: str | Column,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Project a labelled corpus to ``text, label, language``; drop blanks and unmapped labels."""
+    return _cleaned(_labelled_rows(df, text_column, label_column, language, keep))
 
 
 def training_set(
@@ -93,13 +105,14 @@ def training_set(
 ) -> DataFrame:
     """Mixed training set: heads of both corpora, harmonized, stacked and shuffled.
 
-    Each source is ``(frame, text column, label column)``.
+    Each source is ``(frame, text column, label column)``. Texts are cleaned after the
+    sort, which keeps its order: a sort reads its input twice, once to find the ranges.
     """
     parts = []
     for language, (df, text, label), cap in (("zh", zh, zh_rows), ("en", en, en_rows)):
         head = df if cap is None else first_n(df, cap, id_column)
-        parts.append(training_rows(head, text, label, language, keep=[id_column]))
-    return seeded_shuffle(parts[0].unionByName(parts[1]), id_column, seed)
+        parts.append(_labelled_rows(head, text, label, language, keep=[id_column]))
+    return _cleaned(seeded_shuffle(parts[0].unionByName(parts[1]), id_column, seed))
 
 
 def validation_set(sources: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:

@@ -190,3 +190,12 @@ def test_training_set(spark):
     )
     assert sorted(r.row_id for r in rows.collect()) == [*range(5), *range(1_000, 1_010)]
     assert rows.columns == ["row_id", "text", "label", "language"]
+
+
+def test_training_set_comes_in_shuffled_order(spark):
+    zh = ordered(spark).withColumnRenamed("text", "review")
+    en = ordered(spark).withColumn("row_id", F.col("row_id") + 1_000)
+    rows = corpora.training_set((zh, "review", "label"), (en, "text", "label"), "row_id")
+    found = [r.row_id for r in rows.collect()]
+    ids = spark.createDataFrame([(i,) for i in found], "row_id long")
+    assert found == [r.row_id for r in seeded_shuffle(ids, "row_id", 42).collect()]
