@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, plus, share, table
 
 #: Words that a Python worker remembers the codes of; when full it starts anew.
 REMEMBERED_WORDS = 250_000
@@ -275,14 +275,14 @@ def decode(df: DataFrame, ids_column: str, path: str, output: str = "decoded") -
 def _texts_to(
     df: DataFrame, column: str, output: str, kind: str, tokenizer: ByteBpe, method: str
 ) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
+    shared = share(df.sparkSession, tokenizer)
     kept = [c for c in df.columns if c != output]
-    schema = df.select(*(F.col(f"`{c}`") for c in kept)).schema.add(output, kind)
+    schema = plus(df.select(*(F.col(f"`{c}`") for c in kept)).schema, f"`{output}` {kind}")
     empty, arrow_type = (b"", pa.binary()) if method == "decode" else ("", pa.string())
     out_type = pa.binary() if kind == "binary" else pa.string()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        run = getattr(shared.value, method)
+        run = getattr(shared(), method)
         values = batch.column(batch.schema.get_field_index(column)).cast(arrow_type)
         made = pa.array([run(empty if v is None else v) for v in values.to_pylist()], out_type)
         return pa.RecordBatch.from_arrays(

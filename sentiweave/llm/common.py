@@ -6,8 +6,10 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows that a Python step holds as objects at a time; bounds memory for long texts.
 ROWS_AT_A_TIME = 256
@@ -35,8 +37,29 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def share(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A function that gives ``value`` in tasks, where each Python worker unpacks it once.
+
+    Packed with the job's own pickler: executors need no copy of this package.
+    """
+    held = spark.sparkContext.broadcast({"packed": cloudpickle.dumps(value)})
+
+    def get() -> object:
+        found = held.value
+        if "value" not in found:
+            found["value"] = cloudpickle.loads(found["packed"])
+        return found["value"]
+
+    return get
+
+
+def plus(schema: StructType, fields: str) -> StructType:
+    """A schema with fields more, given as in DDL."""
+    return StructType([*schema.fields, *StructType.fromDDL(fields).fields])
+
+
 def arrow_map(
-    df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None]
+    df: DataFrame, schema: str | StructType, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 ) -> DataFrame:
     """``rows`` over slices of at most ROWS_AT_A_TIME rows, in Arrow batches."""
 
