@@ -3,9 +3,26 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .chat import OP8_SQL, op8_chat
+from .decontaminate import OP10_SQL, op10_decontaminate
+from .lines import OP4_SQL, op4_lines
+from .simhash import op1_simhash
+from .toxicity import op2_toxicity
+from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
+    "op4_lines": op4_lines,
     "op7_bpe": op7_bpe,
+    "op8_chat": op8_chat,
+    "op9_warc": op9_warc,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op4_lines": OP4_SQL,
+    "op8_chat": OP8_SQL,
+    "op9_warc": OP9_SQL,
+    "op10_decontaminate": OP10_SQL,
+}
