@@ -28,8 +28,7 @@ def components(links: DataFrame) -> DataFrame:
         smallest = current.groupBy("child").agg(F.min("parent").alias("low"))
         tied = (
             current.join(smallest, "child")
-            .select(F.explode(F.array(F.struct("child", F.col("low")), F.struct("parent", F.col("low")))).alias("x"))
-            .select(F.col("x.child").alias("child"), F.col("x.low").alias("parent"))
+            .select(F.explode(F.array("child", "parent")).alias("child"), F.col("low").alias("parent"))
             .where("child <> parent")
             .distinct()
         )
@@ -40,10 +39,13 @@ def components(links: DataFrame) -> DataFrame:
             .distinct()
         )
         found = current.agg(
-            F.count("*"), F.expr("bit_xor(xxhash64(child, parent))"), F.expr("sum(cast(xxhash64(parent, child) as decimal(20)))")
+            F.count("*"),
+            F.expr("bit_xor(xxhash64(child, parent))"),
+            F.expr("sum(cast(xxhash64(parent, child) as decimal(20)))"),
         ).first()
         if found == signature:
-            return current.groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("root")).unionByName(
-                current.select(F.col("parent").alias("node"), F.col("parent").alias("root")).distinct()
+            roots = current.select(F.col("parent").alias("node"), F.col("parent").alias("root"))
+            return current.select(F.col("child").alias("node"), F.col("parent").alias("root")).unionByName(
+                roots.distinct()
             )
         signature = found

@@ -1,6 +1,6 @@
 """Toxicity of texts: boosted trees over dense features, calibrated by isotonic regression.
 
-Labelled rows are split by a hash of their id into three folds: one yields the lexicon,
+Labelled rows are split by a hash of their id into three parts: one yields the lexicon,
 one the trees, one the calibration, so that neither later step sees rows that the former
 has learned by heart. A text's features are computed in one pass over it and don't depend
 on any other column.
@@ -28,14 +28,16 @@ FIT_ROWS = 20_000
 #: Bound on the learned lexicon.
 LEXICON_UNITS = 5_000
 #: Lexicon units: whole words, and their starts of these lengths (for inflected words).
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7)
 MIN_TOXIC_TEXTS = 6
-MIN_LOG_ODDS = 2.0
+MIN_LOG_ODDS = 1.5
 PROXIMITY_WORDS = 5
 REMEMBERED_WORDS = 200_000
+#: Share of the trees' probability in a score; the rest is the calibrated value.
+OWN_SHARE = 0.02
 
 FEATURES = (
-    "hit_density weight_density top_weight hits distinct_hits near_second_person "
+    "hit_density weight_density top_weight top_weights distinct_weights hits distinct_hits near_second_person "
     "second_person_density capitals shouted exclamations punctuation obfuscated "
     "obfuscated_hits stretched words"
 ).split()
@@ -91,6 +93,7 @@ def text_features(text: str, weights: Weights) -> list[float]:
     weight = [weights[w] for w in words]
     hits = [i for i, x in enumerate(weight) if x > 0.0]
     second = {i for i, w in enumerate(words) if w in SECOND_PERSON}
+    distinct = sorted({words[i]: weight[i] for i in hits}.values(), reverse=True)
     near = sum(
         any(j in second for j in range(i - PROXIMITY_WORDS, i + PROXIMITY_WORDS + 1))
         for i in (hits if second else ())
@@ -104,8 +107,10 @@ def text_features(text: str, weights: Weights) -> list[float]:
         len(hits) / n,
         sum(weight[i] for i in hits) / n,
         max((weight[i] for i in hits), default=0.0),
+        sum(distinct[:4]),
+        math.log1p(sum(distinct)),
         math.log1p(len(hits)),
-        math.log1p(len({words[i] for i in hits})),
+        math.log1p(len(distinct)),
         math.log1p(near),
         len(second) / n,
         upper / max(upper + lower, 1),
@@ -203,28 +208,29 @@ class ToxicityModel:
         sample = cut_lineage(
             docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .join(F.broadcast(chosen), "doc_id")
-            .select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(4)).alias("fold"))
+            .select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(8)).alias("fold"))
         )
+        part = F.expr("case when fold < 4 then 'lexicon' when fold < 7 then 'trees' else 'calibration' end")
         counts = {
-            (r["fold"], r["toxic"]): r["n"]
-            for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()
+            (r["part"], r["toxic"]): r["n"]
+            for r in sample.groupBy(part.alias("part"), "toxic").agg(F.count("*").alias("n")).collect()
         }
         total = sum(counts.values())
         share = sum(n for (_, y), n in counts.items() if y) / total if total else 0.0
-        if not all(counts.get((f, y)) for f in (2, 3) for y in (0, 1)):
+        if not all(counts.get((f, y)) for f in ("trees", "calibration") for y in (0, 1)):
             return cls({}, None, None, share)
-        lexicon = learn_lexicon(sample.where("fold < 2"))
+        lexicon = learn_lexicon(sample.where(part == "lexicon"))
         dense = cut_lineage(
-            with_features(sample.where("fold >= 2"), "text", lexicon, "features").select(
-                "fold", "toxic", "features"
+            with_features(sample.where(part != "lexicon"), "text", lexicon, "features").select(
+                part.alias("part"), "toxic", "features"
             ).coalesce(max(1, spark.sparkContext.defaultParallelism // 2))
         )
-        rows_ = dense.select("fold", "toxic", array_to_vector("features").alias("features"))
+        rows_ = dense.select("part", "toxic", array_to_vector("features").alias("features"))
         trees = GBTClassifier(
-            labelCol="toxic", featuresCol="features", maxIter=20, maxDepth=3, maxBins=32,
+            labelCol="toxic", featuresCol="features", maxIter=30, maxDepth=3, maxBins=32,
             stepSize=0.3, minInstancesPerNode=5, seed=7,
-        ).fit(rows_.where("fold = 2"))
-        margins = trees.transform(rows_.where("fold = 3")).select(
+        ).fit(rows_.where("part = 'trees'"))
+        margins = trees.transform(rows_.where("part = 'calibration'")).select(
             F.col("toxic").cast("double").alias("toxic"), _margin().alias("margin")
         )
         calibration = IsotonicRegression(labelCol="toxic", featuresCol="margin").fit(margins)
@@ -244,7 +250,9 @@ class ToxicityModel:
         )
         margins = self.trees.transform(dense).select("row", _margin().alias("margin"))
         scored = self.calibration.transform(margins)
-        bounded = F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0))
+        # Calibrated values are steps: a small share of the trees' own value orders what ties.
+        blend = (1 - OWN_SHARE) * F.col("prediction") + OWN_SHARE / (1 + F.exp(-2 * F.col("margin")))
+        bounded = F.least(F.greatest(blend, F.lit(0.0)), F.lit(1.0))
         return scored.select(*(F.col("row")[c].alias(c) for c in kept), bounded.alias(output))
 
 
