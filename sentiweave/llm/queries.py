@@ -6,6 +6,7 @@ from .bpe import op7_bpe
 from .chat import OP8_SQL, op8_chat
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .lines import OP4_SQL, op4_lines
+from .pivots import op5_pivots
 from .simhash import op1_simhash
 from .toxicity import op2_toxicity
 from .warc import OP9_SQL, op9_warc
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op4_lines": op4_lines,
+    "op5_pivots": op5_pivots,
     "op7_bpe": op7_bpe,
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
