@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,6 +59,14 @@ def plus(schema: StructType, fields: str) -> StructType:
     return StructType([*schema.fields, *StructType.fromDDL(fields).fields])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As :func:`cut_lineage`, by a Parquet table in the shared folder (smaller, columnar)."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def arrow_map(
     df: DataFrame, schema: str | StructType, rows: Callable[[pa.RecordBatch], pa.RecordBatch | None]
 ) -> DataFrame:

@@ -8,12 +8,14 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .lines import OP4_SQL, op4_lines
 from .pivots import op5_pivots
 from .simhash import op1_simhash
+from .suffixes import op3_suffixes
 from .toxicity import op2_toxicity
 from .warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_suffixes": op3_suffixes,
     "op4_lines": op4_lines,
     "op5_pivots": op5_pivots,
     "op7_bpe": op7_bpe,
