@@ -7,6 +7,7 @@ from .chat import OP8_SQL, op8_chat
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .lines import OP4_SQL, op4_lines
 from .pivots import op5_pivots
+from .secret_scan import op6_secrets
 from .simhash import op1_simhash
 from .suffixes import op3_suffixes
 from .toxicity import op2_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_suffixes": op3_suffixes,
     "op4_lines": op4_lines,
     "op5_pivots": op5_pivots,
+    "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
     "op8_chat": op8_chat,
     "op9_warc": op9_warc,
