@@ -46,9 +46,27 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Letters and numbers of Unicode 16, which the tokenizers library knows and
+#: Python's own table (15.1) doesn't.
+UNICODE_16 = {
+    "L": (
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65),
+        (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E),
+        (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0),
+        (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED),
+        (0x1E5F0, 0x1E5F0),
+    ),
+    "N": (
+        (0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79),
+        (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA),
+    ),
+}
+
+
 def _ranges(first_letter: str, below: int) -> str:
     """Inside of a character class for the general category that starts with the letter."""
-    out, start = [], None
+    out = [f"\\U{a:08x}-\\U{b:08x}" for a, b in UNICODE_16[first_letter] if b < below]
+    start = None
     for code in range(below + 1):
         inside = code < below and unicodedata.category(chr(code))[0] == first_letter
         if inside and start is None:
