@@ -2,22 +2,35 @@
 
 ``ORDER BY … LIMIT n`` sends up to n whole rows from every input partition to one
 task, which fails when n or the number of partitions is large. The exact selection
-below looks only at keys until the n-th one is known:
-
-1. count rows per order-preserving bucket (map-side combined, at most 65,537 rows
-   per stratum) and find the bucket that holds the n-th row;
-2. do the same once more inside that bucket with a 65,536 times finer step;
-3. rank the few keys left, which gives the n-th key itself;
-4. keep the full rows whose key is not above it, wherever they lie.
+below looks at keys only until the n-th one is known:
+
+1. one pass takes quantiles of the order columns, whose points cut their range into
+   slices with about equal row counts. A value that is more than a slice by itself is
+   cut further by the next order column, so equal times or ids make no large slice;
+2. one pass counts rows per stratum and slice (map-side combined) and finds the slice
+   with the n-th row;
+3. the keys in that slice are ranked, which gives the n-th key itself; full rows are
+   kept where they lie if their key is not above it.
+
+Nulls and NaNs come last. Rows with equal keys are told apart by a hash of the row;
+rows that are equal altogether are interchangeable, and as many are kept as fit.
 """
 
 from __future__ import annotations
 
+import math
+import os
+
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BUCKETS = 65_536
+_SLICES = 1_024
+#: Cut tables (one row per stratum) up to so many rows are broadcast.
+_BROADCAST_ROWS = 10_000
+#: Characters that a text's place in its order is computed from.
+_CHARACTERS = 6
 
 
 def shuffle_key(id_column: str, seed: int) -> Column:
@@ -30,130 +43,146 @@ def seeded_shuffle(df: DataFrame, id_column: str, seed: int) -> DataFrame:
     return df.orderBy(shuffle_key(id_column, seed), id_column)
 
 
-def _counts_before(narrow: DataFrame, strata: list[str], level: str) -> DataFrame:
-    """Rows per bucket, and how many rows of the stratum lie in lower buckets."""
-    running = Window.partitionBy(*strata).orderBy(level).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    counts = narrow.groupBy(*strata, level).count()
-    return counts.withColumn("_before", F.sum("count").over(running) - F.col("count"))
-
-
-def _select_first(df: DataFrame, n: int, key: Column, buckets: list[Column]) -> DataFrame:
-    """Rows with the n smallest keys (keys must be unique).
-
-    ``buckets`` are coarse to fine and follow the order of ``key``. Each step brings
-    one row to the driver, so the last filter compares with plain literals and can
-    be pushed into the scan.
-    """
-    if n <= 0:
-        return df.limit(0)
-    levels = {f"_b{i}": bucket for i, bucket in enumerate(buckets)}
-    narrow = df.select(*(b.alias(c) for c, b in levels.items()), key.alias("_key"))
-    left = n
-    for level in levels:
-        cut = (
-            _counts_before(narrow, [], level)
-            .where(F.col("_before") < left)
-            .agg(F.max(level), F.max("_before"))
-            .first()
-        )
-        if cut[0] is None:
-            return df
-        narrow, left = narrow.where(F.col(level) == F.lit(cut[0])), left - cut[1]
-    # With fewer than n rows in all, the edge is the largest key and every row is kept.
-    edge = narrow.orderBy("_key").limit(left).agg(F.max("_key")).first()[0]
-    return df.where(key <= F.lit(edge))
-
-
-def _select_first_per_stratum(
-    df: DataFrame, n: int, key: Column, buckets: list[Column], strata: list[str]
+def _place(keys: DataFrame, name: str) -> Column:
+    """A double that follows the order of an order column (equal for values close by)."""
+    kind = keys.schema[name].dataType
+    if not isinstance(kind, T.StringType):
+        return F.col(name).cast("double")
+    low, high = keys.agg(F.min(name), F.max(name)).first()
+    shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
+    code = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), shared + 1, _CHARACTERS)), 2 * _CHARACTERS, "0")
+    return F.conv(code, 16, 10).cast("double")
+
+
+def _edges(quantiles: list[float]) -> list[float]:
+    """Slice edges; a value that fills a slice or more gets one of its own."""
+    inner = [q for q in quantiles if math.isfinite(q)]
+    heavy = {q for q in inner if inner.count(q) > 1}
+    return [-math.inf, *sorted({*inner, *(math.nextafter(q, math.inf) for q in heavy)}), math.inf]
+
+
+def _sliced(keys: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
+    """``keys`` with slice numbers: compared in order they follow the order columns."""
+    placed = keys.withColumns({f"_p{i}": _place(keys, c) for i, c in enumerate(order)})
+    places = [f"_p{i}" for i in range(len(order))]
+    slices = [f"_s{i}" for i in range(len(order))]
+    points = [i / _SLICES for i in range(1, _SLICES)]
+    found = placed.stat.approxQuantile(places, points, 1 / (2 * _SLICES))
+    filled = placed.fillna(0.0, places)
+    for place, number, quantiles in zip(places, slices, found, strict=True):
+        edges = _edges(quantiles)
+        if len(edges) < 3:  # no value at all
+            filled = filled.withColumn(number, F.lit(0.0))
+        else:
+            filled = Bucketizer(splits=edges, inputCol=place, outputCol=number).transform(filled)
+        # Inside of a slice of several values the next column may not decide.
+        single = [float(i) for i in range(1, len(edges) - 2) if edges[i + 1] == math.nextafter(edges[i], math.inf)]
+        later = slices[slices.index(number) + 1 :]
+        filled = filled.withColumn(f"{number}_one", F.col(number).isin(single) if single and later else F.lit(False))
+    decides = F.lit(True)
+    columns = []
+    for number in slices:
+        columns.append(F.when(decides, F.col(number)).otherwise(0.0).alias(number))
+        decides = decides & F.col(f"{number}_one")
+    return filled.select(*keys.columns, *columns), slices
+
+
+def _select_first(
+    df: DataFrame, n: int, order: dict[str, Column], strata: list[str], unique: bool
 ) -> DataFrame:
-    """The n smallest keys of each stratum: the same steps as joins with one row per stratum.
-
-    The cut tables are aggregates by stratum; the optimizer broadcasts them or not
-    from their measured size.
-    """
+    """The first n rows of each stratum by the order columns."""
     if n <= 0:
         return df.limit(0)
-    names = [f"_g{i}" for i in range(len(strata))]
-    levels = [f"_b{i}" for i in range(len(buckets))]
-
-    def with_cut(rows: DataFrame, cut: DataFrame) -> DataFrame:
-        same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
-        added = (f"r.{c}" for c in cut.columns if c not in names)
-        return rows.alias("l").join(cut.alias("r"), same).select("l.*", *added)
-
-    narrow = df.select(
-        *(F.col(c).alias(name) for c, name in zip(strata, names)),
-        *(b.alias(c) for c, b in zip(levels, buckets)),
-        key.alias("_key"),
-        F.lit(n).cast("long").alias("_left"),
+    groups = {f"_g{i}": F.col(c) for i, c in enumerate(strata)} or {"_g0": F.lit(0)}
+    plain = {c: F.when(F.isnan(v), None).otherwise(v) if _is_float(df, v) else v for c, v in order.items()}
+    names = list(plain)
+    tie = F.lit(0).cast("long") if unique else F.xxhash64(*_hashable(df))
+    keyed = df.withColumns({**groups, **plain}).withColumns(
+        {"_null": F.col(names[0]).isNull(), "_tie": tie}
     )
-    for level in levels:
-        cut = (
-            _counts_before(narrow, [*names, "_left"], level)
-            .where(F.col("_before") < F.col("_left"))
-            .groupBy(*names)
-            .agg(
-                F.max(level).alias("_last"),
-                F.max_by(F.col("_left") - F.col("_before"), level).alias("_rest"),
-            )
-        )
-        narrow = (
-            with_cut(narrow, cut)
-            .where(F.col(level) == F.col("_last"))
-            .withColumn("_left", F.col("_rest"))
-            .drop("_last", "_rest", level)
-        )
-    nth = F.row_number().over(Window.partitionBy(*names).orderBy("_key"))
-    # The literal bound lets Spark cut equal values before the shuffle (for n up to 1,000).
+    keys = keyed.select(*groups, "_null", *names, "_tie")
+    key = F.struct("_null", *names, "_tie")
+    sliced, slices = _sliced(keys, names)
+    bucket = F.struct("_null", *slices)
+    running = Window.partitionBy(*groups).orderBy("_bucket")
+    cut = (
+        sliced.groupBy(*groups, bucket.alias("_bucket"))
+        .count()
+        .withColumn("_before", F.sum("count").over(running) - F.col("count"))
+        .where(F.col("_before") < n)
+        .groupBy(*groups)
+        .agg(F.max("_bucket").alias("_last"), (F.lit(n) - F.max("_before")).alias("_left"))
+    )
+    inside = _attach(sliced.withColumn("_bucket", bucket), cut, list(groups)).where(
+        F.col("_bucket") == F.col("_last")
+    )
+    nth = Window.partitionBy(*groups).orderBy(key)
     edge = (
-        narrow.withColumn("_nth", nth)
-        .where((F.col("_nth") <= n) & (F.col("_nth") <= F.col("_left")))
-        .groupBy(*names)
+        inside.withColumn("_key", key)
+        .withColumn("_nth", F.row_number().over(nth))
+        .where(F.col("_nth") <= F.col("_left"))
+        .groupBy(*groups)
         .agg(F.max("_key").alias("_edge"))
     )
-    keyed = df.withColumns({**{g: F.col(c) for g, c in zip(names, strata)}, "_key": key})
-    return with_cut(keyed, edge).where(F.col("_key") <= F.col("_edge")).select(*df.columns)
+    # One row per stratum: few of them become a table of their own, computed once.
+    found = edge.limit(_BROADCAST_ROWS + 1).collect()
+    few = len(found) <= _BROADCAST_ROWS
+    if few:
+        edge = df.sparkSession.createDataFrame(found, edge.schema)
+    below = _attach(keyed.withColumn("_key", key), edge, list(groups), few).where(F.col("_key") <= F.col("_edge"))
+    if not unique:
+        # Equal rows at the edge: more of them may be there than fit.
+        narrow = _attach(keys.withColumn("_key", key), edge, list(groups), few)
+        over = narrow.where(F.col("_key") <= F.col("_edge")).groupBy(*groups).count().where(F.col("count") > n)
+        if not over.isEmpty():
+            below = below.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= n)
+    return below.select(*df.columns)
+
+
+def _is_float(df: DataFrame, value: Column) -> bool:
+    return isinstance(df.select(value).schema[0].dataType, (T.FloatType, T.DoubleType))
+
 
+def _hashable(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
 
-def _equal_width(df: DataFrame, value: Column) -> list[Column]:
-    """Coarse and fine bucket numbers over the value's range, read in one narrow pass."""
-    low, high = df.select(F.min(value), F.max(value)).first()
-    if low is None or low == high:
-        return [F.lit(0)]
-    step = (float(high) - float(low)) / _BUCKETS
-    place = (value.cast("double") - F.lit(float(low))) / F.lit(step)
-    return [F.floor(place), F.floor((place - F.floor(place)) * _BUCKETS)]
 
+def _attach(rows: DataFrame, cut: DataFrame, groups: list[str], few: bool = False) -> DataFrame:
+    """A join with one row per stratum; broadcast if there are few, so full rows stay."""
+    renamed = cut.select(*(F.col(g).alias(f"{g}_r") for g in groups), *(c for c in cut.columns if c not in groups))
+    if few:
+        renamed = F.broadcast(renamed)
+    same = [F.col(g).eqNullSafe(F.col(f"{g}_r")) for g in groups]
+    return rows.join(renamed, same).drop(*(f"{g}_r" for g in groups))
 
-def first_n(df: DataFrame, n: int, id_column: str) -> DataFrame:
-    """The first n rows in the order of a unique id (buckets are used for numeric ids)."""
-    value = F.col(id_column)
-    numeric = isinstance(df.schema[id_column].dataType, T.NumericType)
-    return _select_first(df, n, value, _equal_width(df, value) if numeric else [])
+
+def first_n(
+    df: DataFrame, n: int, id_column: str, unique: bool = False, strata: list[str] | None = None
+) -> DataFrame:
+    """The first n rows (of each stratum) in the order of an id (numbers or text), null ids last.
+
+    ``unique`` says that no id occurs twice; then no other column is read for ties.
+    """
+    return _select_first(df, n, {"_id": F.col(id_column)}, strata or [], unique)
 
 
 def seeded_cap(
     df: DataFrame, n: int, id_column: str, seed: int, strata: list[str] | None = None
 ) -> DataFrame:
     """The first n rows of the seeded shuffle, or n per stratum. Row order is not kept."""
-    digest = shuffle_key(id_column, seed)
-    buckets = [F.substring(digest, 1, 4), F.substring(digest, 5, 4)]
-    if strata:
-        return _select_first_per_stratum(df, n, digest, buckets, strata)
-    return _select_first(df, n, digest, buckets)
+    order = {"_shuffled": shuffle_key(id_column, seed)}
+    return _select_first(df, n, order, strata or [], unique=False)
 
 
-def newest_n(df: DataFrame, n: int, group: str, created: str, id_column: str) -> DataFrame:
-    """The n newest rows per group; equal times are taken in id order.
+def newest_n(
+    df: DataFrame, n: int, group: str, created: str, id_column: str, unique: bool = False
+) -> DataFrame:
+    """The n newest rows per group, undated rows last; equal times are taken in id order.
 
     ``created`` is numeric (epoch seconds).
     """
-    age = -F.col(created).cast("double")
-    key = F.struct(age.alias("age"), F.col(id_column))
-    return _select_first_per_stratum(df, n, key, _equal_width(df, age), [group])
+    order = {"_age": -F.col(created).cast("double"), "_id": F.col(id_column)}
+    return _select_first(df, n, order, [group], unique)
 
 
 def sample_rows(
@@ -161,4 +190,4 @@ def sample_rows(
 ) -> DataFrame:
     """Text and label of the first n rows, for manual inspection."""
     picked = first_n(df.select(text_column, label_column, id_column), n, id_column)
-    return picked.orderBy(id_column).select(text_column, label_column)
+    return picked.orderBy(F.col(id_column).asc_nulls_last(), text_column).select(text_column, label_column)
