@@ -13,27 +13,62 @@ from pyspark.sql import types as T
 
 # Samples up to this size without ties get the exact distribution.
 EXACT_MAX_SAMPLE = 8
-# The exact distribution has n_a * n_b + 1 values; beyond this the normal one is used.
-_EXACT_MAX_SUPPORT = 2_000_000
+_QUOTIENTS: dict[int, list[int]] = {}
 _SLICES = 2_048
 
 
-def _subset_counts(small: int, large: int, upto: int) -> list[int]:
-    """How many rank arrangements give U = 0..upto (coefficients of a Gaussian binomial)."""
-    ways = [1] + [0] * upto
-    for i in range(1, small + 1):
-        for u in range(upto, large + i - 1, -1):
-            ways[u] -= ways[u - large - i]
-        for u in range(i, upto + 1):
-            ways[u] += ways[u - i]
-    return ways
+def _quotient(parts: list[int], period: int) -> list[int]:
+    """Coefficients of the product of (1 - q^period) / (1 - q^part) over the parts."""
+    out = [1]
+    for part in parts:
+        wide = [0] * (len(out) + period - part)
+        for start in range(0, period, part):
+            for i, x in enumerate(out):
+                wide[start + i] += x
+        out = wide
+    return out
+
+
+def _partitions(total: int, parts: list[int], period: int, quotient: list[int]) -> int:
+    """In how many ways ``total`` is a sum of the parts, each used any number of times.
+
+    1 / prod(1 - q^part) is quotient / (1 - q^period)^len(parts), whose coefficients are
+    binomials: a few of them are summed, however large ``total`` is.
+    """
+    places = range(total % period, min(total, len(quotient) - 1) + 1, period)
+    size = len(parts) - 1
+    return sum(quotient[i] * math.comb((total - i) // period + size, size) for i in places)
 
 
 def exact_p(u: float, n_a: int, n_b: int) -> float:
-    """Two-sided exact p-value for samples without ties."""
-    low = int(min(u, n_a * n_b - u))
-    ways = _subset_counts(min(n_a, n_b), max(n_a, n_b), low)
-    return min(1.0, 2 * sum(ways) / math.comb(n_a + n_b, n_a))
+    """Two-sided exact p-value for samples without ties, the smaller of EXACT_MAX_SAMPLE at most.
+
+    The arrangements with U = k are the coefficients of a Gaussian binomial,
+    prod (1 - q^(large + i)) / (1 - q^i) for i = 1..small. One more factor 1 / (1 - q) sums
+    them up to k; the numerator has 2^small terms.
+    """
+    small, large = min(n_a, n_b), max(n_a, n_b)
+    upto = int(min(u, n_a * n_b - u))
+    parts = [1, *range(1, small + 1)]
+    period = math.lcm(*parts)
+    quotient = _quotient_of(small)
+    terms = {0: 1}  # exponent -> coefficient of the numerator
+    for i in range(1, small + 1):
+        more = dict(terms)
+        for power, sign in terms.items():
+            if power + large + i <= upto:
+                more[power + large + i] = more.get(power + large + i, 0) - sign
+        terms = more
+    ways = sum(sign * _partitions(upto - power, parts, period, quotient) for power, sign in terms.items())
+    return min(1.0, 2 * ways / math.comb(n_a + n_b, n_a))
+
+
+def _quotient_of(small: int) -> list[int]:
+    """Computed once per process for each of the few sizes."""
+    if small not in _QUOTIENTS:
+        parts = [1, *range(1, small + 1)]
+        _QUOTIENTS[small] = _quotient(parts, math.lcm(*parts))
+    return _QUOTIENTS[small]
 
 
 @F.pandas_udf(T.DoubleType())
@@ -43,7 +78,7 @@ def _p_value(
     def one(u: float, z: float, a: int, b: int, tied: float) -> float | None:
         if not a or not b or math.isnan(u):
             return None
-        if tied == 0 and min(a, b) <= EXACT_MAX_SAMPLE and a * b <= _EXACT_MAX_SUPPORT:
+        if tied == 0 and min(a, b) <= EXACT_MAX_SAMPLE:
             return exact_p(u, int(a), int(b))
         # All values equal: no evidence either way.
         return 1.0 if math.isnan(z) else min(1.0, math.erfc(z / math.sqrt(2)))
