@@ -47,32 +47,66 @@ lowest AS (SELECT min(weight) - 1000 AS missing FROM profiles),
 languages AS (SELECT DISTINCT lang FROM profiles),
 terms AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY ALL),
 scores AS (
-  SELECT doc_id, l.lang AS lang, sum(tf * coalesce(weight, missing)) AS score
+  SELECT doc_id, l.lang AS lang, sum(tf * coalesce(weight, missing)) AS score, count(p.gram) AS known
   FROM terms CROSS JOIN languages l CROSS JOIN lowest
   LEFT JOIN profiles p ON p.lang = l.lang AND p.gram = terms.gram
   GROUP BY ALL),
 detected AS (
-  SELECT doc_id, lang AS detected FROM scores
+  SELECT doc_id, CASE WHEN sum(known) OVER (PARTITION BY doc_id) > 0 THEN lang END AS detected FROM scores
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)"""
 
 
+#: Trigrams per language in the registered queries' profiles.
+_TOP_GRAMS = 2_000
+
+
 def _fit(spark: SparkSession, sf_dir: str) -> langid.LanguageProfiles:
-    return langid.LanguageProfiles.fit(table(spark, sf_dir, "documents"), "text", "lang")
+    return langid.LanguageProfiles.fit(
+        table(spark, sf_dir, "documents"), "text", "lang", grams_per_language=_TOP_GRAMS
+    )
 
 
 @register(CATALOG, f"WITH {_GRAMS} SELECT lang, gram, n, weight FROM profiles")
 def language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.language_profiles(table(spark, sf_dir, "documents"), "text", "lang")
+    return langid.language_profiles(
+        table(spark, sf_dir, "documents"), "text", "lang", grams_per_language=_TOP_GRAMS
+    )
+
+
+# Every document, and what no profile knows: its digits, and its letters as Cyrillic ones.
+_CYRILLIC = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшщы")
+_HARD = f"""hard AS (
+  SELECT doc_id * 3 AS doc_id, lang, text FROM documents
+  UNION ALL SELECT doc_id * 3 + 1, lang, '12345 ' || doc_id FROM documents
+  UNION ALL SELECT doc_id * 3 + 2, lang, translate(substr(lower(text), 1, 200), '{_CYRILLIC[0]}', '{_CYRILLIC[1]}')
+  FROM documents)"""
+_HARD_DETECTED = _DETECTED.replace("terms AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY ALL)", f"""{_HARD},
+hard_padded AS (
+  SELECT doc_id, string_split(' ' || trim(regexp_replace(lower(text), '{WS}+', ' ', 'g')) || ' ', '') AS c
+  FROM hard WHERE regexp_matches(text, '{NWS}')),
+hard_places AS (SELECT doc_id, c, unnest(range(1, len(c) - 1)) AS i FROM hard_padded),
+terms AS (SELECT doc_id, c[i] || c[i + 1] || c[i + 2] AS gram, count(*) AS tf FROM hard_places GROUP BY ALL)""")
+
+
+def _hard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    low = F.substring(F.lower("text"), 1, 200)
+    digits = F.concat(F.lit("12345 "), F.col("doc_id").cast("string"))
+    foreign = F.translate(low, *_CYRILLIC)
+    parts = F.array(F.col("text"), digits, foreign)
+    return docs.select("doc_id", "lang", F.posexplode(parts).alias("_n", "text")).select(
+        (F.col("doc_id") * 3 + F.col("_n")).alias("doc_id"), "lang", "text"
+    )
 
 
 @register(
     CATALOG,
-    f"""WITH {_DETECTED}
-    SELECT doc_id, lang, detected FROM documents LEFT JOIN detected USING (doc_id)""",
+    f"""WITH {_HARD_DETECTED}
+    SELECT doc_id, lang, detected FROM hard LEFT JOIN detected USING (doc_id)""",
 )
 def language_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     detected = _fit(spark, sf_dir).detect(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", detected.alias("detected"))
+    return _hard_documents(spark, sf_dir).select("doc_id", "lang", detected.alias("detected"))
 
 
 @register(
@@ -162,10 +196,11 @@ def predict_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(CATALOG)
 def train_eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: model selection over two settings, metrics per language."""
+    """Rows only: model selection over two settings, metrics per language on other rows."""
     rows = _classifier_rows(spark, sf_dir)
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(4)) == 0
     options = TrainingOptions(regularization=(0.01, 0.1))
-    return evaluate(fit_classifier(rows, options, "doc_id"), rows)
+    return evaluate(fit_classifier(rows.where(~held_out), options, "doc_id"), rows.where(held_out))
 
 
 # Frequent words of the four languages stand in for aspect keywords.
@@ -362,16 +397,17 @@ def boundary_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     CATALOG,
-    f"""SELECT least(len(regexp_extract_all(text, '{NWS}+')), 256)::BIGINT AS n_ids,
-           least(len(regexp_extract_all(text, '{NWS}+')), 256)::BIGINT AS n_attended,
-           quality AS labels
-    FROM documents JOIN labels USING (doc_id)""",
+    f"""WITH t AS (SELECT regexp_extract_all(text, '{NWS}+')[1:256] AS tokens, quality
+              FROM documents JOIN labels USING (doc_id))
+    SELECT array_to_string([('0x' || md5(x)[1:8])::BIGINT % 65536 FOR x IN tokens], ' ') AS ids,
+           len(tokens)::BIGINT AS n_attended, quality AS labels
+    FROM t""",
 )
 def tokenized_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows = tokenized(docs.join(labels, "doc_id").withColumnRenamed("quality", "label"))
     return rows.select(
-        F.size("input_ids").cast("long").alias("n_ids"),
+        F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("ids"),
         F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).cast("long").alias("n_attended"),
         "labels",
     )

@@ -1,9 +1,9 @@
 """Language identification from character-trigram profiles.
 
-Profiles are learned with one grouped count over a labelled corpus. Scoring is
-row-wise: the profile table is bounded (``LanguageProfiles.MAX_GRAMS`` rows), goes
-to every task once, and each text is scored where it lies, so no text and no
-trigram is shuffled.
+Profiles are learned with one grouped count over a labelled corpus. A profile table of
+moderate size travels to every task once and each text is scored where it lies, so no
+text and no trigram is shuffled; :func:`detect_by_join` gives the same languages with a
+table of any size. A text without a known trigram has no language.
 """
 
 from __future__ import annotations
@@ -13,14 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sentiweave.functions.text import WS, is_blank
 
 GRAM = 3
-GRAMS_PER_LANGUAGE = 2_000
 # Scores are integers (log-probability * SCALE), so they do not depend on addition order.
 SCALE = 1_000
 _WINDOW = 1 << 20
@@ -40,9 +39,9 @@ def grams(text: Column) -> Column:
 
 
 def language_profiles(
-    df: DataFrame, text: str, lang: str, grams_per_language: int = GRAMS_PER_LANGUAGE
+    df: DataFrame, text: str, lang: str, grams_per_language: int | None = None
 ) -> DataFrame:
-    """``(lang, gram, n, weight)``: the most frequent trigrams with integer log weights.
+    """``(lang, gram, n, weight)``: trigrams with integer log weights, all or the most frequent.
 
     Counting combines on the map side. The ranking runs first within salted parts of
     each language, then over what those parts kept, so no task sorts all trigrams of
@@ -56,16 +55,17 @@ def language_profiles(
         .withColumn("_salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS)))
     )
     kept = counts
-    for part in (["lang", "_salt"], ["lang"]):
+    for part in (["lang", "_salt"], ["lang"]) if grams_per_language is not None else ():
         frequent = Window.partitionBy(*part).orderBy(F.desc("n"), "gram")
         kept = (
             kept.withColumn("_place", F.row_number().over(frequent))
             .where(F.col("_place") <= grams_per_language)
             .drop("_place")
         )
-    total = F.sum("n").over(Window.partitionBy("lang")).cast("double")
-    weight = F.rint(F.log(F.col("n").cast("double") / total) * SCALE).cast("long")
-    return kept.select("lang", "gram", "n", weight.alias("weight"))
+    # One row per language, joined back: no task gets all trigrams of a language.
+    totals = kept.groupBy("lang").agg(F.sum("n").cast("double").alias("_total"))
+    weight = F.rint(F.log(F.col("n").cast("double") / F.col("_total")) * SCALE).cast("long")
+    return kept.join(totals, "lang").select("lang", "gram", "n", weight.alias("weight"))
 
 
 @dataclass(frozen=True)
@@ -77,18 +77,14 @@ class LanguageProfiles:
     weights: np.ndarray
     missing: int
 
-    MAX_GRAMS = 200_000
-
     @classmethod
-    def fit(cls, df: DataFrame, text: str, lang: str, **options: int) -> LanguageProfiles:
+    def fit(cls, df: DataFrame, text: str, lang: str, **options: int | None) -> LanguageProfiles:
         return cls.from_table(language_profiles(df, text, lang, **options))
 
     @classmethod
     def from_table(cls, profiles: DataFrame) -> LanguageProfiles:
-        """Read a profile table. Its size is checked; larger ones are refused."""
-        rows = profiles.select("lang", "gram", "weight").limit(cls.MAX_GRAMS + 1).toPandas()
-        if len(rows) > cls.MAX_GRAMS:
-            raise ValueError(f"Profiles exceed {cls.MAX_GRAMS:,} rows; lower grams_per_language")
+        """Read a profile table: languages x trigrams rows, which the caller has chosen."""
+        rows = profiles.select("lang", "gram", "weight").toPandas()
         if rows.empty:
             raise ValueError("No profiles: the corpus has no labelled text")
         table = rows.pivot(index="gram", columns="lang", values="weight")
@@ -99,34 +95,120 @@ class LanguageProfiles:
         filled = table.fillna(missing).to_numpy().astype(np.int64)
         return cls(tuple(table.columns), codes[order], filled[order], missing)
 
+    def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Weight per text and language, known trigrams and all trigrams per text.
+
+        All texts are looked up at once; trigrams that cross two texts count for none.
+        """
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        inside = np.flatnonzero(owner[:-2] == owner[2:])
+        codes, owner = _codes(points)[inside], owner[inside]
+        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        known = self.codes[place] == codes
+        count = np.bincount(owner, minlength=len(texts))
+        hits = np.bincount(owner[known], minlength=len(texts))
+        total = np.zeros((len(texts), len(self.languages)), np.int64)
+        if known.any():
+            mine = owner[known]
+            first = np.concatenate(([0], np.flatnonzero(np.diff(mine)) + 1))
+            total[mine[first]] = np.add.reduceat(self.weights[place[known]], first, axis=0)
+        return total + ((count - hits) * self.missing)[:, None], hits, count
+
     def score(self, padded: str) -> np.ndarray:
         """Total weight of a padded text per language."""
-        points = np.frombuffer(padded.encode("utf-32-le"), dtype=np.uint32)
-        total = np.zeros(len(self.languages), dtype=np.int64)
-        # Long texts are scored window by window (overlapping by two), to bound memory.
-        for start in range(0, len(points) - GRAM + 1, _WINDOW):
-            codes = _codes(points[start : start + _WINDOW + GRAM - 1])
-            place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            known = self.codes[place] == codes
-            total += self.weights[place[known]].sum(axis=0)
-            total += (len(codes) - known.sum()) * self.missing
-        return total
-
-    def detect(self, text: Column) -> Column:
-        """Language with the highest score (first in name order on a tie); null if blank."""
-        profiles = self
+        return self._sums(_windows(padded))[0].sum(axis=0)
+
+    def best(self, texts: list[str], min_known: float) -> list[str | None]:
+        """The language of each padded text; None where too few trigrams are known."""
+        out: list[str | None] = []
+        group, size = [], 0
+        for i, text in enumerate(texts):
+            group.append(text)
+            size += len(text)
+            if size >= _WINDOW or i == len(texts) - 1:
+                # Long texts are cut into windows that overlap by two, to bound memory.
+                parts = [_windows(t) for t in group]
+                owner = np.repeat(np.arange(len(group)), [len(p) for p in parts])
+                sums = self._sums([w for p in parts for w in p])
+                score, hits, count = (_per_owner(x, owner, len(group)) for x in sums)
+                found = (hits > 0) & (hits >= min_known * count)
+                names = score.argmax(axis=1)
+                out += [self.languages[n] if ok else None for n, ok in zip(names, found)]
+                group, size = [], 0
+        return out
+
+    def detect(self, text: Column, min_known: float = 0.0) -> Column:
+        """Language with the highest score (first in name order on a tie).
+
+        Null if the text is blank, has no known trigram, or a smaller share of known ones
+        than ``min_known``.
+        """
+        packed = SparkSession.active().sparkContext.broadcast(
+            (self.languages, self.codes, self.weights, self.missing)
+        )
 
         @F.pandas_udf(T.StringType())
         def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            profiles = LanguageProfiles(*packed.value)
             for batch in batches:
-                yield batch.map(
-                    lambda t: profiles.languages[int(profiles.score(t).argmax())],
-                    na_action="ignore",
-                ).astype(object)
+                present = batch.notna().to_numpy()
+                found = np.full(len(batch), None, dtype=object)
+                found[present] = profiles.best(batch[present].tolist(), min_known)
+                yield pd.Series(found)
 
         return best(F.when(~is_blank(text), gram_text(text)))
 
 
+def _windows(text: str) -> list[str]:
+    """Pieces with every trigram of the text in exactly one of them."""
+    return [text[i : i + _WINDOW + GRAM - 1] for i in range(0, max(1, len(text) - GRAM + 1), _WINDOW)]
+
+
+def _per_owner(values: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((size, *values.shape[1:]), np.int64)
+    np.add.at(out, owner, values)
+    return out
+
+
+def detect_by_join(
+    df: DataFrame, text: str, profiles: DataFrame, id_column: str, min_known: float = 0.0
+) -> DataFrame:
+    """``id_column, detected`` of every text, with a profile table of any size.
+
+    The same scores as :meth:`LanguageProfiles.detect`, summed over a join on trigrams.
+    ``id_column`` is unique.
+    """
+    terms = (
+        df.where(~is_blank(F.col(text)))
+        .select(id_column, F.explode(grams(F.col(text))).alias("gram"))
+        .groupBy(id_column, "gram")
+        .agg(F.count("*").alias("_tf"))
+    )
+    missing = profiles.agg((F.min("weight") - SCALE).alias("_missing"))
+    known_grams = profiles.select("gram").distinct().withColumn("_known", F.lit(1))
+    sizes = (
+        terms.join(known_grams, "gram", "left")
+        .groupBy(id_column)
+        .agg(F.sum("_tf").alias("_all"), F.sum(F.col("_tf") * F.coalesce("_known", F.lit(0))).alias("_hits"))
+    )
+    sums = (
+        terms.join(profiles.select("lang", "gram", "weight"), "gram")
+        .groupBy(id_column, "lang")
+        .agg(F.sum(F.col("_tf") * F.col("weight")).alias("_weight"), F.sum("_tf").alias("_own"))
+    )
+    low = F.lit(missing.first()[0])
+    score = F.col("_weight") + low * (F.col("_all") - F.col("_own"))
+    best = (
+        sums.join(sizes, id_column)
+        .where((F.col("_hits") > 0) & (F.col("_hits") >= min_known * F.col("_all")))
+        .groupBy(id_column)
+        .agg(F.min_by("lang", F.struct(-score, "lang")).alias("detected"))
+    )
+    return df.select(id_column).join(best, id_column, "left")
+
+
 def _codes(points: np.ndarray) -> np.ndarray:
     """Every trigram of a code-point array as one 63-bit number."""
     wide = points.astype(np.int64)
