@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from sentiweave.catalog.registry import Query, register, sql_normalize, table
 from sentiweave.functions.text import merge_title_body
 from sentiweave.operators.metrics import audit_sources
 from sentiweave.operators.metrics import range_violations as violations
-from sentiweave.operators.sampling import newest_n
+from sentiweave.operators.sampling import first_n, newest_n
 from sentiweave.sources.posts import collect_posts as collect
 from sentiweave.sources.posts import with_topic
 
@@ -82,6 +84,36 @@ def posts_newest_n_per_community(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest_n(events, 500, "event_type", "created_utc", "event_id")
 
 
+@register(
+    CATALOG,
+    """WITH e AS (SELECT event_type, event_id,
+           CASE WHEN event_id % 7 <> 0 THEN epoch_us(ts) // 1000000 // 86400 * 86400 END AS day FROM events)
+    SELECT event_type, event_id, day FROM e
+    QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY day DESC NULLS LAST, event_id) <= 1500""",
+)
+def newest_n_null_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole days as times, so that many are equal, and every seventh missing."""
+    day = F.floor(_seconds("ts") / 86400) * 86400
+    events = table(spark, sf_dir, "events").select(
+        "event_type", "event_id", F.when(F.col("event_id") % 7 != 0, day).alias("day")
+    )
+    return newest_n(events, 1500, "event_type", "day", "event_id")
+
+
+@register(
+    CATALOG,
+    """WITH d AS (SELECT CASE WHEN doc_id % 3 <> 0 THEN source || '-' || doc_id END AS id, lang, n_chars
+              FROM documents)
+    SELECT * FROM d ORDER BY id NULLS LAST LIMIT 600""",
+)
+def first_n_string_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat("source", F.lit("-"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 3 != 0, name).alias("id"), "lang", "n_chars"
+    )
+    return first_n(docs, 600, "id")
+
+
 @register(CATALOG, f"SELECT doc_id, source AS community, {_TOPIC_SQL} AS topic FROM documents")
 def posts_topic_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("community"))
@@ -117,7 +149,8 @@ def collect_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'labels', count(*), 'missing column label', false FROM labels
     UNION ALL SELECT 'conversations', count(*), '', count(*) > 0 FROM conversations
     UNION ALL SELECT 'benchmark', count(*), 'missing column lang, missing column label', false
-    FROM benchmark""",
+    FROM benchmark
+    UNION ALL SELECT 'nowhere', 0, 'cannot load: AnalysisException', false""",
 )
 def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     required = {
@@ -126,21 +159,24 @@ def source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conversations": ["text", "role"],
         "benchmark": ["text", "lang", "label"],
     }
-    return audit_sources({n: (table(spark, sf_dir, n), cols) for n, cols in required.items()})
+    sources = {n: (partial(table, spark, sf_dir, n), cols) for n, cols in required.items()}
+    return audit_sources(sources | {"nowhere": (partial(table, spark, sf_dir, "nowhere"), ["text"])})
 
 
 @register(
     CATALOG,
-    """SELECT 'sentiment_label' AS rule,
-           count(*) FILTER (WHERE NOT label BETWEEN 0 AND 1) AS violations FROM embeddings
+    """WITH e AS (SELECT CASE WHEN vec_id % 5 <> 0 THEN label END AS label, embedding FROM embeddings)
+    SELECT 'sentiment_label' AS rule,
+           count(*) FILTER (WHERE label IS NULL OR NOT label BETWEEN 0 AND 1) AS violations FROM e
     UNION ALL SELECT 'sentiment_score',
-           count(*) FILTER (WHERE NOT list_min(embedding)::DOUBLE BETWEEN 0 AND 1) FROM embeddings
+           count(*) FILTER (WHERE NOT list_min(embedding)::DOUBLE BETWEEN 0 AND 1) FROM e
     UNION ALL SELECT 'confidence',
-           count(*) FILTER (WHERE NOT list_max(embedding)::DOUBLE BETWEEN 0 AND 1) FROM embeddings""",
+           count(*) FILTER (WHERE NOT list_max(embedding)::DOUBLE BETWEEN 0 AND 1) FROM e""",
 )
 def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select(
-        F.col("label").alias("sentiment_label"),
+        # Every fifth label is missing here, which is a violation, too.
+        F.when(F.col("vec_id") % 5 != 0, F.col("label")).alias("sentiment_label"),
         F.array_min("embedding").cast("double").alias("sentiment_score"),
         F.array_max("embedding").cast("double").alias("confidence"),
     )

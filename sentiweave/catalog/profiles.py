@@ -203,16 +203,21 @@ def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
            language, 'local/' || corpus AS dataset_id, n_rows, is_binary, positive_ratio,
            label_skew, char_len_p95, word_len_p95,
            pct_over_char_threshold AS pct_over_char_256, duplicate_rate, empty_texts, label_counts
-    FROM summary WHERE language = 'en'""",
+    FROM summary WHERE language <> 'de'
+    UNION ALL SELECT corpus, NULL, language, NULL, n_rows, is_binary, positive_ratio, label_skew,
+           char_len_p95, word_len_p95, pct_over_char_threshold, duplicate_rate, empty_texts, label_counts
+    FROM summary WHERE language = 'de'""",
 )
 def summary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = tuple(
-        CorpusSpec(name, role, "en", f"local/{name}", "train", "text", "label", name)
+        CorpusSpec(name, name, role, language, "text", "label", dataset_id=f"local/{name}")
         for name, role in (
             ("quality", "train"),
             ("toxic", "validation"),
             ("benchmark", "validation"),
         )
+        # The registry doesn't know the German parts: they stay, without its fields.
+        for language in ("en", "es", "fr", "zh")
     )
     return profile.summary_rows(_summary(spark, sf_dir), registry_frame(spark, specs))
 

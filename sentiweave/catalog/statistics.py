@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentiweave.catalog.registry import Query, register, sql_round, sql_strip, table
@@ -157,14 +157,56 @@ def mann_whitney_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     CATALOG,
     _rank_test_sql(
-        """SELECT 0 AS one, value AS v, event_type = 'click' AS in_a
-           FROM events WHERE event_type IN ('click', 'view')""",
-        "one",
+        """SELECT sample_a, sample_b, value AS v, event_type = sample_a AS in_a
+           FROM events JOIN (
+             SELECT a.t AS sample_a, b.t AS sample_b
+             FROM (SELECT DISTINCT event_type AS t FROM events) a
+             JOIN (SELECT DISTINCT event_type AS t FROM events) b ON a.t < b.t)
+           ON event_type IN (sample_a, sample_b)""",
+        "sample_a, sample_b",
     ),
 )
 def mann_whitney_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "view"))
-    tests = mann_whitney(rows, "value", F.col("event_type") == "click")
-    return tests.select(
-        F.lit(0).alias("one"), "n_a", "n_b", "ties", "u", round_to(F.col("z"), 6).alias("z")
-    )
+    events = table(spark, sf_dir, "events")
+    types = [r[0] for r in events.select("event_type").distinct().collect()]
+    tests = mann_whitney_pairs(events, "value", "event_type", types)
+    return tests.drop("p_value").withColumn("z", round_to(F.col("z"), 6))
+
+
+@register(
+    CATALOG,
+    f"""WITH r AS (
+      SELECT o_custkey AS grp, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2 AS in_a,
+             rank() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS rk,
+             count(*) OVER (PARTITION BY o_custkey, o_totalprice) AS same
+      FROM orders),
+    s AS (
+      SELECT grp, count(*) AS n, sum(rk) FILTER (WHERE in_a) AS ra FROM r
+      GROUP BY grp HAVING count(*) > 2 AND max(same) = 1),
+    u AS (SELECT grp, n, ra - 3 AS u, least(ra - 3, 2 * (n - 2) - (ra - 3)) AS low FROM s),
+    c AS (
+      SELECT grp, count(*) AS ways FROM (
+        SELECT grp, low, i, unnest(range(i + 1, n + 1)) AS j
+        FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u))
+      WHERE i + j - 3 <= low GROUP BY grp)
+    SELECT u.grp, 2 AS n_a, n - 2 AS n_b, u.u::DOUBLE AS u,
+           {sql_round("least(1.0::DOUBLE, 2 * ways::DOUBLE / (n * (n - 1) / 2)::DOUBLE)", 9)} AS p_value
+    FROM u JOIN c ON c.grp = u.grp
+    UNION ALL
+    SELECT -1, 1, n - 1, (rk - 1)::DOUBLE,
+           {sql_round("least(1.0::DOUBLE, 2 * (least(rk - 1, n - rk) + 1)::DOUBLE / n::DOUBLE)", 9)}
+    FROM (SELECT (SELECT count(*) FROM orders) AS n,
+                 (SELECT count(*) FROM orders WHERE o_orderkey < (SELECT o_orderkey FROM orders
+                  ORDER BY o_totalprice, o_orderkey LIMIT 1)) + 1 AS rk)""",
+)
+def mann_whitney_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact p: each customer's first two orders against the others, and the key of the
+    cheapest order against all other keys."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    small = mann_whitney(orders.withColumn("_a", nth <= 2), "o_totalprice", F.col("_a"), ["o_custkey"])
+    tested = small.where("n_b > 0 and ties = 0").select(F.col("o_custkey").alias("grp"), "n_a", "n_b", "u", "p_value")
+    cheapest = orders.agg(F.min_by("o_orderkey", F.struct("o_totalprice", "o_orderkey"))).first()[0]
+    one = mann_whitney(orders, "o_orderkey", F.col("o_orderkey") == F.lit(cheapest))
+    alone = one.select(F.lit(-1).alias("grp"), "n_a", "n_b", "u", "p_value")
+    return tested.unionByName(alone).withColumn("p_value", round_to(F.col("p_value"), 9))

@@ -213,13 +213,13 @@ def training_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     CATALOG,
     f"""WITH {NOTICED}, t AS (
       SELECT {sql_clean("text", "lang")} AS text, quality AS label, lang AS language
-      FROM noticed JOIN labels USING (doc_id) WHERE lang IN ('zh', 'de'))
+      FROM noticed JOIN labels USING (doc_id) WHERE lang IN ('zh', 'de', 'en', 'fr'))
     SELECT * FROM t WHERE length(text) > 0 AND label IN (0, 1)""",
 )
 def validation_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     docs = noticed_documents(spark, sf_dir).join(labels, "doc_id")
-    sources = {code: (docs.where(F.col("lang") == code), "text", "quality") for code in ("zh", "de")}
+    sources = {code: (docs.where(F.col("lang") == code), "text", "quality") for code in ("zh", "de", "en", "fr")}
     return validation_set(sources)
 
 

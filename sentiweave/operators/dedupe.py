@@ -12,19 +12,22 @@ from sentiweave.functions.text import fingerprint, is_blank
 def keep_first(
     df: DataFrame, text_column: str = "text", id_column: str = "id", within: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Keep the copy with the lowest id of every text (per ``within`` columns); equal ids
-    are taken in text order.
+    """Keep the copy with the lowest id of every text (per ``within`` columns); of equal ids
+    the one whose exact text has the lowest hash.
 
     ``row_number() = 1`` is reduced before the shuffle, so each map task sends at
     most one row per text: a text that makes up a third of the corpus does not
     land on one reducer. Rows without copies are shuffled once, as they must be.
     """
-    first = Window.partitionBy(*within, "_copy").orderBy(id_column, text_column)
+    # Order and partition are fixed-size values: a text that isn't asked for isn't shuffled.
+    first = Window.partitionBy(*within, "_copy").orderBy(id_column, "_tie")
     return (
-        df.withColumn("_copy", fingerprint(F.col(text_column)))
+        df.withColumns(
+            {"_copy": fingerprint(F.col(text_column)), "_tie": F.xxhash64(text_column)}
+        )
         .withColumn("_nth", F.row_number().over(first))
         .where(F.col("_nth") == 1)
-        .drop("_copy", "_nth")
+        .drop("_copy", "_tie", "_nth")
     )
 
 

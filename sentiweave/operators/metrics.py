@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentiweave.functions.numeric import ratio
@@ -20,6 +22,10 @@ PREDICTION_RANGES = {
 }
 
 
+# Columns of a corpus row that must hold a value.
+CORPUS_REQUIRED = ("text", "lang", "source", "topic")
+
+
 def predicted_class(logits: Column) -> Column:
     """Index of the largest logit, the first one on a tie."""
     return (F.array_position(logits, F.array_max(logits)) - 1).cast("int")
@@ -60,12 +66,12 @@ def metrics_long(metrics: DataFrame, language: str = "language") -> DataFrame:
 def range_violations(
     df: DataFrame, ranges: dict[str, tuple[float, float]] | None = None
 ) -> DataFrame:
-    """``(rule, violations)``: non-null values outside each closed range, in one pass."""
+    """``(rule, violations)``: values that are missing or outside each closed range, in one pass."""
     ranges = PREDICTION_RANGES if ranges is None else ranges
     require_columns(df, ranges)
     counts = df.agg(
         *(
-            F.count_if(~F.col(c).between(low, high)).alias(c)
+            F.count_if(F.col(c).isNull() | ~F.col(c).between(low, high)).alias(c)
             for c, (low, high) in ranges.items()
         )
     )
@@ -88,7 +94,31 @@ def audit_source(df: DataFrame, name: str, required: list[str]) -> DataFrame:
     )
 
 
-def audit_sources(sources: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """``audit_source`` over several sources."""
-    rows = [audit_source(df, name, required) for name, (df, required) in sources.items()]
-    return reduce(DataFrame.unionByName, rows)
+def audit_sources(
+    sources: dict[str, tuple[DataFrame | Callable[[], DataFrame], list[str]]],
+) -> DataFrame:
+    """``audit_source`` over several sources.
+
+    A source may be a function that loads it: one that can't be loaded becomes a row with
+    the error's class, and the audit goes on.
+    """
+    found, failed = [], []
+    for name, (source, required) in sources.items():
+        try:
+            df = source() if callable(source) else source
+        except (PySparkException, OSError, ValueError) as error:
+            failed.append((name, 0, f"cannot load: {type(error).__name__}", False))
+            continue
+        found.append(audit_source(df, name, required))
+    if failed:
+        schema = "source string, n_rows long, errors string, ok boolean"
+        found.append(SparkSession.active().createDataFrame(failed, schema))
+    return reduce(DataFrame.unionByName, found)
+
+
+def missing_values(df: DataFrame, required: Sequence[str] = CORPUS_REQUIRED) -> DataFrame:
+    """``(column, missing)``: rows without a value in each required column, in one pass."""
+    require_columns(df, required)
+    counts = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in required))
+    rows = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in required))
+    return counts.select(F.inline(rows))

@@ -34,8 +34,13 @@ MAX_PCT_OVER_LENGTH = 5.0
 
 
 def label_text(label: Column) -> Column:
-    """Labels as strings, so that corpora with different encodings stack; null is ``None``."""
-    return F.coalesce(label.cast("string"), F.lit("None"))
+    """Labels as strings, so that corpora with different encodings stack; null is ``None``.
+
+    Booleans are ``True`` and ``False``.
+    """
+    text = label.cast("string")
+    boolean = F.typeof(label) == "boolean"
+    return F.coalesce(F.when(boolean, F.initcap(text)).otherwise(text), F.lit("None"))
 
 
 def eda_frame(
@@ -243,15 +248,15 @@ def summarize_corpora(
 def summary_rows(summary: DataFrame, registry: DataFrame) -> DataFrame:
     """Display rows: summary fields plus registry metadata, in role, language, name order.
 
-    ``summary`` is grouped by ``corpus`` and ``language``; both sides hold one row per
-    corpus.
+    ``summary`` is grouped by ``corpus`` and ``language``. Corpora that the registry doesn't
+    have stay, without its fields.
     """
     meta = registry.select(
         F.col("name"), F.col("role"), F.col("language"), F.col("dataset_id")
     )
     return (
         summary.withColumnRenamed("corpus", "name")
-        .join(meta, ["name", "language"])
+        .join(meta, ["name", "language"], "left")
         .select(
             "name",
             "role",
@@ -324,14 +329,14 @@ def token_length_stats(
     text_column: str,
     id_column: str,
     tokenizer: Tokenizer = WORDS,
-    max_samples: int | None = 500,
+    max_samples: int | None = None,
     by: list[str] | None = None,
 ) -> DataFrame:
-    """Token-length statistics of the first ``max_samples`` rows (all rows if None)."""
+    """Token-length statistics of all rows, or of the first ``max_samples`` of each group."""
     by = by or []
     rows = df.select(*by, text_column, id_column)
     if max_samples is not None:
-        rows = first_n(rows, max_samples, id_column)
+        rows = first_n(rows, max_samples, id_column, strata=by)
     counts = value_counts(rows, by, token_count(F.col(text_column), tokenizer))
     running = with_running_counts(counts, by)
     size = F.sum("n")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from sentiweave.sources.corpora import raw_table, save_corpus_table
-from sentiweave.sources.posts import POST_COLUMNS, POSTS_PER_COMMUNITY, collect_posts
+from sentiweave.sources.corpora import raw_table, save_language
+from sentiweave.sources.posts import POST_COLUMNS, collect_posts
 
 
 def collect_job(
@@ -13,9 +13,9 @@ def collect_job(
     posts_path: str,
     root: str,
     language: str,
-    limit_per_community: int = POSTS_PER_COMMUNITY,
+    limit_per_community: int | None = None,
 ) -> str:
-    """Read posts, keep the newest per community, replace the language in the raw table."""
+    """Read posts, keep the newest per community (or all), replace the language in the raw table."""
     posts = spark.read.parquet(posts_path).select(*POST_COLUMNS)
     rows = collect_posts(posts, language, limit_per_community=limit_per_community)
-    return save_corpus_table(rows, raw_table(root))
+    return save_language(rows, raw_table(root), language)

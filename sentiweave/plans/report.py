@@ -28,7 +28,10 @@ def primary_length() -> Column:
 def corpus_report(
     corpora: dict[str, tuple[CorpusSpec, DataFrame]], tokenizer: Tokenizer = WORDS
 ) -> dict[str, DataFrame]:
-    """Named report tables over all corpora. Nothing runs until a table is read."""
+    """Named report tables over whole corpora.
+
+    Finding the sample rows runs small jobs over the id columns; the rest runs when read.
+    """
     specs = tuple(spec for spec, _ in corpora.values())
     spark = next(iter(corpora.values()))[1].sparkSession
     frames = {

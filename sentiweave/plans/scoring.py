@@ -23,10 +23,7 @@ def model_scorer(model: PipelineModel, text_column: str = "text") -> Scorer:
     """Score with a fitted pipeline, JVM-side."""
 
     def run(df: DataFrame) -> DataFrame:
-        if text_column == "text":
-            return score(model, df)
-        renamed = df.withColumn("text", F.col(text_column))
-        return score(model, renamed).select(*df.columns, "probabilities")
+        return score(model, df, text_column)
 
     return run
 
@@ -73,5 +70,5 @@ def predict_job(
     """Read a corpus, score it, write predictions. An empty corpus is an error."""
     df = load_corpus_table(spark, input_path)
     if df.isEmpty():
-        raise ValueError(f"Input corpus is empty: {input_path}")
+        raise ValueError(f"No rows to score in {input_path}")
     return save_predictions(predict_corpus(df, scorer), output_path)

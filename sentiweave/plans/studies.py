@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,13 +16,28 @@ from sentiweave.operators.metrics import binary_metrics
 from sentiweave.schema import require_columns
 
 
+#: Scripts without spaces between words: Han, kana, Thai.
+_UNSPACED = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\U00020000-\U0002ffff]")
+#: Tables of first choices up to so many rows travel to every task.
+_BROADCAST_ROWS = 10_000
+
+
 def tag_aspects(text: Column, keywords: dict[str, list[str]]) -> Column:
-    """Array of the aspects with a keyword among the words of the lower-cased text."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    tags = [
-        F.when(F.arrays_overlap(words, F.array(*map(F.lit, terms))), F.lit(aspect))
-        for aspect, terms in keywords.items()
-    ]
+    """Array of the aspects with a keyword in the lower-cased text.
+
+    A keyword is one of the text's words; keywords of scripts that are written without
+    spaces count wherever they stand.
+    """
+    low = F.lower(text)
+    words = F.split(low, r"[^\p{L}\p{N}]+")
+    tags = []
+    for aspect, terms in keywords.items():
+        inside = [t for t in terms if _UNSPACED.search(t)]
+        spaced = [t for t in terms if t not in inside]
+        hit = F.arrays_overlap(words, F.array(*map(F.lit, spaced))) if spaced else F.lit(False)
+        for term in inside:
+            hit = hit | F.contains(low, F.lit(term.lower()))
+        tags.append(F.when(hit, F.lit(aspect)))
     return F.array_compact(F.array(*tags))
 
 
@@ -127,6 +144,10 @@ def fit_temperature(
         F.sequence(F.lit(-10), F.lit(10)), lambda i: F.col("_first") * F.pow(F.lit(step), i / 10)
     )
     first = best.select(*by, F.col("temperature").alias("_first"))
+    # Few groups with many rows each: their small table is read once and goes to the rows.
+    found = first.limit(_BROADCAST_ROWS + 1).collect()
+    if len(found) <= _BROADCAST_ROWS:
+        first = F.broadcast(df.sparkSession.createDataFrame(found, first.schema))
     rows = df.select(*by, logits, label).join(first, by)
     return _best_temperature(nll_by_temperature(rows, logits, label, by, near), by)
 
@@ -167,11 +188,25 @@ _ENDS = T.StructType(
 
 @F.pandas_udf(_ENDS)
 def _word_ends_hit(words: pd.Series, subwords: pd.Series) -> pd.DataFrame:
-    """Word ends of each text, and how many of them are subword ends, from token lengths."""
-    counts = [
-        (len(w), int(np.isin(np.cumsum(w), np.cumsum(s)).sum())) for w, s in zip(words, subwords)
-    ]
-    return pd.DataFrame(counts, columns=["words", "hits"])
+    """Word ends of each text, and how many of them are subword ends, from token lengths.
+
+    The ends of a whole batch are compared at once: each text's start at a place of its own.
+    """
+    ends, sizes = zip(*(_batch_ends(tokens) for tokens in (words, subwords)))
+    span = max((int(e.max()) for e in ends if len(e)), default=0) + 1
+    own, other = (e + span * np.repeat(np.arange(len(n)), n) for e, n in zip(ends, sizes))
+    hit = np.concatenate(([0], np.cumsum(np.isin(own, other))))
+    edges = np.concatenate(([0], np.cumsum(sizes[0])))
+    return pd.DataFrame({"words": sizes[0], "hits": hit[edges[1:]] - hit[edges[:-1]]})
+
+
+def _batch_ends(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of all tokens, counted from their text's start, and the number of each text's."""
+    sizes = np.fromiter((len(t) for t in tokens), np.int64, len(tokens))
+    total = np.cumsum(np.concatenate([np.asarray(t, np.int64) for t in tokens] or [np.empty(0, np.int64)]))
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
+    before = np.where(starts > 0, total[np.maximum(starts - 1, 0)], 0) if len(total) else starts * 0
+    return total - np.repeat(before, sizes), sizes
 
 
 def _lengths(tokens: Column) -> Column:

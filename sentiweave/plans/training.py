@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentiweave.functions.text import MAX_SEQUENCE_LENGTH, WHITESPACE, WORDS, WS, Tokenizer
@@ -19,6 +19,10 @@ from sentiweave.sources.corpora import append_metrics
 from sentiweave.sources.registry import SEED
 
 
+#: Column that fitted pipelines read; it can't clash with the columns of a corpus.
+TEXT = "_scored_text"
+
+
 @dataclass(frozen=True)
 class TrainingOptions:
     """Settings of a fit. The number of features bounds the model, not the vocabulary."""
@@ -33,7 +37,8 @@ class TrainingOptions:
 
 def _features(options: TrainingOptions) -> list:
     # A SQL expression runs in codegen; the ML tokenizers are per-row functions.
-    words = f"split(btrim(lower(text), '{WHITESPACE}'), r'{WS}+')"
+    # A missing text is an empty one.
+    words = f"split(btrim(lower(coalesce({TEXT}, '')), '{WHITESPACE}'), r'{WS}+')"
     return [
         SQLTransformer(statement=f"SELECT *, {words} AS _tokens FROM __THIS__"),
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=options.features),
@@ -49,18 +54,23 @@ def tokenized(
 ) -> DataFrame:
     """``input_ids, attention_mask, labels`` of ``text, label`` rows, for an outside model.
 
-    Ids are token hashes below ``vocabulary``; no other column is kept.
+    Ids are the first 32 bits of a token's md5, modulo ``vocabulary``; no other column is kept.
     """
     tokens = df.select(
         F.slice(tokenizer.split(F.col("text")), 1, limit).alias("_tokens"), "label"
     )
     return tokens.select(
-        F.transform("_tokens", lambda t: F.pmod(F.hash(t), F.lit(vocabulary))).alias("input_ids"),
+        F.transform("_tokens", lambda t: _token_id(t, vocabulary)).alias("input_ids"),
         F.transform("_tokens", lambda t: F.lit(1)).alias("attention_mask"),
         F.col("label").alias("labels"),
     )
 
 
+def _token_id(token: Column, vocabulary: int) -> Column:
+    code = F.conv(F.substring(F.md5(F.encode(token, "UTF-8")), 1, 8), 16, 10).cast("long")
+    return F.pmod(code, F.lit(vocabulary)).cast("int")
+
+
 def fit_classifier(
     train: DataFrame, options: TrainingOptions = TrainingOptions(), id_column: str | None = None
 ) -> PipelineModel:
@@ -71,7 +81,7 @@ def fit_classifier(
     """
     fold_key = F.col(id_column) if id_column else F.col("text")
     rows = train.select(
-        "text",
+        F.col("text").alias(TEXT),
         F.col("label").cast("double").alias("label"),
         F.pmod(F.xxhash64(fold_key, F.lit(options.seed)), F.lit(options.folds))
         .cast("int")
@@ -108,9 +118,9 @@ def fit_classifier(
     return PipelineModel([tokens, counts, weights, classifier])
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: PipelineModel, df: DataFrame, text_column: str = "text") -> DataFrame:
     """Input columns plus ``probabilities`` (array of class probabilities)."""
-    scored = model.transform(df)
+    scored = model.transform(df.withColumn(TEXT, F.col(text_column)))
     return scored.select(
         *df.columns, vector_to_array(F.col("probability")).alias("probabilities")
     )

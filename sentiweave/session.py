@@ -6,9 +6,16 @@ from pyspark.sql import SparkSession
 
 
 def build_session(
-    master: str | None = None, shuffle_partitions: int | None = None, app: str = "sentiweave"
+    master: str | None = None,
+    shuffle_partitions: int | None = None,
+    app: str = "sentiweave",
+    initial_partitions: int | None = None,
 ) -> SparkSession:
-    """UTC, adaptive execution with skew handling, Arrow; the rest is the cluster's choice."""
+    """UTC, adaptive execution with skew handling, Arrow; the rest is the cluster's choice.
+
+    Adaptive execution merges shuffle partitions but doesn't add any: give a job over a
+    large corpus ``initial_partitions``, about its shuffled bytes / 200 MB.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -23,10 +30,14 @@ def build_session(
         builder = (
             builder.master(master)
             .config("spark.ui.enabled", "false")
-            .config("spark.driver.memory", "16g")
+            .config("spark.driver.memory", "10g")
             .config("spark.driver.bindAddress", "127.0.0.1")
             .config("spark.driver.host", "127.0.0.1")
         )
+    if initial_partitions:
+        builder = builder.config(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(initial_partitions)
+        )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()

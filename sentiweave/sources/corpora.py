@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,16 @@ from sentiweave.functions.text import clean
 from sentiweave.operators.rows import with_text
 from sentiweave.operators.sampling import first_n, seeded_shuffle
 from sentiweave.schema import CORPUS_SCHEMA, METRICS_SCHEMA, as_corpus, require_columns
-from sentiweave.sources.registry import EN_TRAINING_ROWS, SEED
+from sentiweave.sources.registry import (
+    CORPORA,
+    EN_TRAINING_ROWS,
+    SEED,
+    CorpusSpec,
+    read_corpus,
+    split_slice,
+    take_slice,
+    validation_specs,
+)
 
 
 def load_corpus_table(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +39,13 @@ def save_corpus_table(df: DataFrame, path: str) -> str:
     return path
 
 
+def save_language(df: DataFrame, path: str, language: str) -> str:
+    """Write the rows of one language as its partition; no rows empty the partition."""
+    rows = df.where(F.col("lang") == language).drop("lang")
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/lang={language}")
+    return path
+
+
 def raw_table(root: str) -> str:
     return f"{root.rstrip('/')}/raw"
 
@@ -132,8 +150,9 @@ def study_corpus(
     source: str = "weibo",
     topic: str = "general",
     community: str = "weibo_senti_100k",
+    id_column: str | None = None,
 ) -> DataFrame:
-    """A study corpus from a labelled pool: cleaned text plus constant columns."""
+    """A study corpus from a labelled pool: cleaned text, constant columns, ids if there are any."""
     columns = {
         "text": F.col(text_column).cast("string"),
         "lang": F.lit(language),
@@ -141,7 +160,59 @@ def study_corpus(
         "topic": F.lit(topic),
         "community": F.lit(community),
         "timestamp": F.lit(None),
-        "post_id": F.lit(""),
+        # A stable id, so that "the first copy" means the same row in every run.
+        "post_id": (F.col(id_column).cast("string") if id_column else F.lit("")),
     }
     rows = as_corpus(df.select(*(c.alias(name) for name, c in columns.items())))
     return with_text(rows, "text", clean(F.col("text"), language))
+
+
+def _one(specs: Sequence[CorpusSpec], role: str, language: str) -> CorpusSpec:
+    found = [s for s in specs if s.role == role and s.language == language]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} {role} corpora for {language!r} in the registry")
+    return found[0]
+
+
+def load_training_set(
+    spark: SparkSession,
+    root: str,
+    specs: Sequence[CorpusSpec] = CORPORA,
+    *,
+    en_rows: int = EN_TRAINING_ROWS,
+    zh_rows: int | None = None,
+    seed: int = SEED,
+) -> DataFrame:
+    """The mixed training set from the registry's training corpora below ``root``."""
+    zh, en = (_one(specs, "train", language) for language in ("zh", "en"))
+    frames = {s.language: take_slice(read_corpus(spark, root, s), s.split, s.id_column) for s in (zh, en)}
+    if zh.id_column != en.id_column:
+        frames["en"] = frames["en"].withColumnRenamed(en.id_column, zh.id_column)
+    return training_set(
+        (frames["zh"], zh.text_column, zh.label_column),
+        (frames["en"], en.text_column, en.label_column),
+        zh.id_column,
+        en_rows=en_rows,
+        zh_rows=zh_rows,
+        seed=seed,
+    )
+
+
+def load_validation_set(
+    spark: SparkSession, root: str, specs: Sequence[CorpusSpec] = CORPORA
+) -> DataFrame:
+    """The validation rows of all languages from the registry's corpora below ``root``."""
+    sources = {
+        s.language: (take_slice(read_corpus(spark, root, s), s.split, s.id_column), s.text_column, s.label_column)
+        for s in validation_specs(tuple(specs))
+    }
+    return validation_set(sources)
+
+
+def load_study_corpus(
+    spark: SparkSession, root: str, specs: Sequence[CorpusSpec] = CORPORA, max_rows: int | None = None
+) -> DataFrame:
+    """The Chinese study corpus from the registry's Chinese training corpus."""
+    spec = _one(specs, "train", "zh")
+    rows = take_slice(read_corpus(spark, root, spec), split_slice(spec, max_rows), spec.id_column)
+    return study_corpus(rows, spec.text_column, community=spec.name, id_column=spec.id_column)

@@ -27,7 +27,6 @@ TOPICS: dict[str, str] = {
     "podemos": "politics",
 }
 DEFAULT_TOPIC = "general"
-POSTS_PER_COMMUNITY = 500
 POST_COLUMNS = ("id", "title", "selftext", "created_utc", "community")
 
 _BROADCAST_ROWS = 10_000
@@ -76,14 +75,19 @@ def collect_posts(
     posts: DataFrame,
     language: str,
     *,
-    limit_per_community: int = POSTS_PER_COMMUNITY,
+    limit_per_community: int | None = None,
     communities: Mapping[str, Sequence[str]] = COMMUNITIES,
     topics: Mapping[str, str] = TOPICS,
 ) -> DataFrame:
-    """Newest posts of a language's communities as corpus rows (typed even when empty)."""
+    """Newest posts of a language's communities as corpus rows (typed even when empty).
+
+    Without a limit all posts are taken.
+    """
     if language not in communities:
         raise ValueError(f"Unsupported language: {language!r}")
     require_columns(posts, POST_COLUMNS)
     mine = in_communities(posts.select(*POST_COLUMNS), communities[language])
-    newest = newest_n(mine, limit_per_community, "community", "created_utc", "id")
+    newest = mine
+    if limit_per_community is not None:
+        newest = newest_n(mine, limit_per_community, "community", "created_utc", "id")
     return post_rows(with_topic(newest, topics), language)

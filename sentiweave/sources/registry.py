@@ -20,43 +20,48 @@ EN_TRAINING_ROWS = 100_000
 
 @dataclass(frozen=True)
 class CorpusSpec:
-    """Where a labelled corpus lives and which columns hold text and label."""
+    """Where a labelled corpus lies and how its rows are read.
+
+    ``folder`` is below the root that a loader is given. ``role`` is train, validation or
+    inspection; ``rows`` caps a training corpus in id order.
+    """
 
     name: str
+    folder: str
     role: str
     language: str
-    dataset_id: str
-    split: str
     text_column: str
     label_column: str
-    plan_id: str
-    config: str | None = None
-    train_subsample: int | None = None
-    load_note: str = ""
+    split: str = "train"
     format: str = "parquet"
     id_column: str = "row_id"
+    rows: int | None = None
+    dataset_id: str = ""
+    load_note: str = ""
 
 
-# The four baseline corpora.
+# The baseline corpora, and the full English training source.
 CORPORA: tuple[CorpusSpec, ...] = (
     CorpusSpec(
-        "weibo_senti_100k", "train", "zh", "dirtycomputer/weibo_senti_100k",
-        "train", "review", "label", "dirtycomputer/weibo_senti_100k",
+        "weibo_senti_100k", "weibo_senti_100k", "train", "zh", "review", "label",
+        dataset_id="dirtycomputer/weibo_senti_100k",
+    ),
+    CorpusSpec(
+        "sentiment140_full", "sentiment140_full", "train", "en", "text", "label",
+        rows=EN_TRAINING_ROWS, dataset_id="sentiment140",
     ),
     CorpusSpec(
-        "sentiment140", "train", "en", "Roh2014/sentiment140_10k_tweets",
-        "train", "clean_tweet", "sentiment", "sentiment140",
-        train_subsample=EN_TRAINING_ROWS,
+        "sentiment140", "sentiment140", "inspection", "en", "clean_tweet", "sentiment",
+        rows=EN_TRAINING_ROWS, dataset_id="Roh2014/sentiment140_10k_tweets",
         load_note="10k-row mirror for inspection; training takes the head of the full set.",
     ),
     CorpusSpec(
-        "ChnSentiCorp", "validation", "zh", "lansinuote/ChnSentiCorp",
-        "validation", "text", "label", "seamew/ChnSentiCorp",
-        load_note="Parquet mirror of the planned corpus.",
+        "ChnSentiCorp", "ChnSentiCorp", "validation", "zh", "text", "label", "validation",
+        dataset_id="lansinuote/ChnSentiCorp", load_note="Parquet mirror of the planned corpus.",
     ),
     CorpusSpec(
-        "sst2", "validation", "en", "nyu-mll/glue",
-        "validation", "sentence", "label", "sst2", config="sst2",
+        "sst2", "sst2/sst2", "validation", "en", "sentence", "label", "validation",
+        dataset_id="nyu-mll/glue",
     ),
 )
 
@@ -73,7 +78,7 @@ def registry_frame(spark: SparkSession, specs: tuple[CorpusSpec, ...] = CORPORA)
     """The registry as a table: one row per spec."""
     schema = T.StructType(
         [
-            T.StructField(name, T.LongType() if name == "train_subsample" else T.StringType())
+            T.StructField(name, T.LongType() if name == "rows" else T.StringType())
             for name in CorpusSpec.__dataclass_fields__
         ]
     )
@@ -100,7 +105,7 @@ def with_row_cap(registry: DataFrame, max_rows: int | None) -> DataFrame:
 
 def split_slice(spec: CorpusSpec, max_rows: int | None = None) -> str:
     """``split`` or ``split[:N]``; an explicit cap wins over the spec's own."""
-    cap = spec.train_subsample if max_rows is None else max_rows
+    cap = spec.rows if max_rows is None else max_rows
     return spec.split if cap is None else f"{spec.split}[:{cap}]"
 
 
@@ -116,7 +121,7 @@ def take_slice(df: DataFrame, slice_: str, id_column: str) -> DataFrame:
 
 def corpus_path(root: str, spec: CorpusSpec) -> str:
     """Table folder of a corpus, with one ``split=`` partition per split."""
-    return "/".join(p for p in (root.rstrip("/"), spec.name, spec.config) if p)
+    return f"{root.rstrip('/')}/{spec.folder}"
 
 
 def read_corpus(spark: SparkSession, root: str, spec: CorpusSpec) -> DataFrame:
@@ -126,9 +131,9 @@ def read_corpus(spark: SparkSession, root: str, spec: CorpusSpec) -> DataFrame:
 
 
 def load_corpus(
-    spark: SparkSession, root: str, spec: CorpusSpec, max_rows: int | None = INSPECTION_ROWS
+    spark: SparkSession, root: str, spec: CorpusSpec, max_rows: int | None = None
 ) -> DataFrame:
-    """One labelled corpus: a seeded sample of the split, or the full slice if uncapped."""
+    """One labelled corpus: the full slice, or a seeded sample if ``max_rows`` asks for one."""
     df = read_corpus(spark, root, spec)
     if max_rows is None:
         return take_slice(df, split_slice(spec), spec.id_column)

@@ -114,7 +114,7 @@ def test_collect_prepare_train_score(spark, labelled, tmp_path):
 
 def test_report(spark, labelled):
     spec = CorpusSpec(
-        "a", "train", "en", "local/a", "train", "text", "label", "a", id_column="id"
+        "a", "a", "train", "en", "text", "label", dataset_id="local/a", id_column="id"
     )
     tables = report.corpus_report({"a": (spec, labelled)})
     assert tables["summary"].first().n_rows == 80

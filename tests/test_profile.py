@@ -112,7 +112,7 @@ def test_summary_rows_and_flags(spark):
     df = labelled(spark, [("one two three", 1), ("four five", 0)])
     eda = profile.stack_corpora({"tiny": profile.eda_frame(df, "text", "label", "en")})
     summary = profile.summarize_corpora(eda, ["corpus", "language"])
-    spec = CorpusSpec("tiny", "train", "en", "local/tiny", "train", "text", "label", "tiny")
+    spec = CorpusSpec("tiny", "tiny", "train", "en", "text", "label", dataset_id="local/tiny")
     row = profile.summary_rows(summary, registry_frame(spark, (spec,))).first()
     assert row.is_binary and row.role == "train" and row.dataset_id == "local/tiny"
     assert (row.char_len_p95, row.word_len_p95) == (9.0, 2.0)

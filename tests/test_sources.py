@@ -20,7 +20,7 @@ def test_registry(spark):
     assert {s.language for s in registry.CORPORA} == {"zh", "en"}
     table = registry.registry_frame(spark)
     assert table.where("role = 'train'").count() == 2
-    assert table.where("name = 'sentiment140'").first().train_subsample == 100_000
+    assert table.where("name = 'sentiment140'").first().rows == 100_000
 
 
 def test_split_slices():
