@@ -41,7 +41,6 @@ SEGMENT = 1 << 16
 SORT_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 _VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -53,10 +52,11 @@ class Powers:
 
     def upto(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < size:
-            more = max(size, 2 * len(self.up), SEGMENT + 512) - 1
-            base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-            self.up = np.concatenate(([1], np.full(more, base))).astype(np.uint64).cumprod(dtype=np.uint64)
-            self.down = np.concatenate(([1], np.full(more, inverse))).astype(np.uint64).cumprod(dtype=np.uint64)
+            most = max(size, 2 * len(self.up), SEGMENT + 512)
+            self.up, self.down = (
+                np.concatenate((np.ones(1, np.uint64), np.full(most - 1, factor, np.uint64))).cumprod(dtype=np.uint64)
+                for factor in (_BASE, pow(_BASE, -1, 1 << 64))
+            )
         return self.up[:size], self.down[:size]
 
 
