@@ -80,7 +80,7 @@ def test_predict_job(spark, tmp_path):
     empty = save_corpus_table(
         spark.createDataFrame([row], CORPUS_SCHEMA).where("lang = 'xx'"), str(tmp_path / "none")
     )
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="No rows to score"):
         scoring.predict_job(spark, empty, str(tmp_path / "out2"), scorer)
 
 
