@@ -21,7 +21,7 @@ from .common import table
 
 #: A run of key characters that no other joins, with a digit among its first 64 or all in
 #: capitals at its start.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9]|[A-Z+/_-]{16})[A-Za-z0-9+/_-]{16,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9]|[A-Z+/_-]{16})[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_-]))?"
 #: Characters before and behind a candidate that its neighbouring words are taken from.
 CONTEXT = 48
 #: Findings score at least this.
@@ -96,13 +96,15 @@ def candidates(docs: DataFrame) -> DataFrame:
     """
     found = F.regexp_extract_all("text", F.lit(CANDIDATE), 0)
     pieces = F.split("text", CANDIDATE, -1)
+    # A neighbouring candidate is context, too, such as the name that a value is given to.
+    beside = lambda i: F.when(i >= 0, F.coalesce(F.get("found", i), F.lit(""))).otherwise("")
     each = F.transform(
         F.col("found"),
         lambda c, i: F.struct(
             (i + 1).alias("number"),
             c.alias("candidate"),
-            F.right(F.get("pieces", i), F.lit(CONTEXT)).alias("before"),
-            F.left(F.get("pieces", i + 1), F.lit(CONTEXT)).alias("behind"),
+            F.right(F.concat(beside(i - 1), F.get("pieces", i)), F.lit(CONTEXT)).alias("before"),
+            F.left(F.concat(F.get("pieces", i + 1), beside(i + 1)), F.lit(CONTEXT)).alias("behind"),
         ),
     )
     return (
@@ -142,6 +144,7 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
         ("identifier", 0, F.concat(word(4), F.lit(" ")), F.concat_ws("_", word(1), word(2), word(3), F.col("id").cast("string")), F.lit("(")),
         ("slug", 0, F.lit("http://www."), F.concat_ws("-", word(1), word(2), word(3), word(5), F.col("id").cast("string")), F.lit("/")),
         ("placeholder", 0, F.lit("password="), F.concat(F.lit("your-"), word(1), F.lit("-placeholder-"), F.col("id").cast("string")), F.lit(" ")),
+        ("constant", 0, F.lit("\n"), F.concat_ws("_", F.upper(word(1)), F.upper(word(2)), F.lit("SECRET_KEY")), F.lit("=")),
         ("shouted", 0, F.concat(F.upper(word(4)), F.lit("!! ")), F.upper(F.concat(word(1), word(2), word(3), word(5))), F.lit("!! ")),
         ("capital_key", 1, F.concat(word(1), F.lit(" ")), F.concat(F.lit("AKIA"), F.translate(F.substring(plain, 1, 16), "0123456789", "GHJKLMNPRS")), F.concat(F.lit(" "), word(2))),
         ("long_word", 0, F.concat(word(4), F.lit(" ")), F.concat(word(1), word(2), word(3), F.pmod(F.col("id"), F.lit(10)).cast("string")), F.concat(F.lit(" "), word(5))),
