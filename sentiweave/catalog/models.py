@@ -21,7 +21,9 @@ from sentiweave.functions.text import NWS as JAVA_NWS
 from sentiweave.functions.text import WS as JAVA_WS
 from sentiweave.functions.text import Tokenizer
 from sentiweave.operators import langid
+from sentiweave.operators.metrics import binary_metrics
 from sentiweave.plans import scoring, studies
+from sentiweave.plans.bayes import BayesModel
 from sentiweave.plans.prepare import preprocess
 from sentiweave.plans.training import TrainingOptions, evaluate, fit_classifier, tokenized
 from sentiweave.sources.corpora import training_rows
@@ -184,23 +186,103 @@ def _classifier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register(CATALOG)
+# Rows are told apart by the first digit of an md5 of their id: a quarter is held out.
+_HELD_OUT = "md5(doc_id::VARCHAR)[1] < '4'"
+
+
+def _held_out():
+    return F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 1) < "4"
+
+
+@register(
+    CATALOG,
+    """SELECT doc_id, lang, source AS topic, text, true AS label_agrees, true AS in_range
+    FROM documents""",
+)
 def predict_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: the classifier is fitted by an iterative solver."""
+    """The solver is iterative: what SQL can state of its scores is checked for every row."""
     model = fit_classifier(_classifier_rows(spark, sf_dir))
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "lang", F.col("source").alias("topic"), "text"
     )
-    return scoring.predict_corpus(docs, scoring.model_scorer(model))
+    scored = scoring.predict_corpus(docs, scoring.model_scorer(model))
+    label, positive, sure = (F.col(c) for c in ("sentiment_label", "sentiment_score", "confidence"))
+    agrees = (label == (positive > 0.5).cast("int")) & (
+        F.abs(sure - F.greatest(positive, 1 - positive)) < 1e-9
+    )
+    in_range = label.isin(0, 1) & positive.between(0, 1) & sure.between(0.5, 1)
+    return scored.select(*docs.columns, agrees.alias("label_agrees"), in_range.alias("in_range"))
 
 
-@register(CATALOG)
+@register(
+    CATALOG,
+    f"""SELECT 'val_' || lang || '_eval_' || k AS metric, true AS in_range
+    FROM (SELECT DISTINCT lang FROM documents JOIN labels USING (doc_id)
+          WHERE {_HELD_OUT} AND toxic IN (0, 1) AND regexp_matches(text, '{NWS}')),
+         (VALUES ('accuracy'), ('precision'), ('recall'), ('f1')) AS v(k)""",
+)
 def train_eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows only: model selection over two settings, metrics per language on other rows."""
+    """Model selection over two settings, metrics per language on held-out rows."""
     rows = _classifier_rows(spark, sf_dir)
-    held_out = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(4)) == 0
     options = TrainingOptions(regularization=(0.01, 0.1))
-    return evaluate(fit_classifier(rows.where(~held_out), options, "doc_id"), rows.where(held_out))
+    model = fit_classifier(rows.where(~_held_out()), options, "doc_id")
+    found = evaluate(model, rows.where(_held_out()))
+    return found.select("metric", F.col("value").between(0, 1).alias("in_range"))
+
+
+_BAYES = f"""train AS (
+  SELECT text, 1 - toxic AS y FROM documents JOIN labels USING (doc_id)
+  WHERE NOT {_HELD_OUT} AND toxic IN (0, 1)),
+w AS (SELECT y, unnest(regexp_extract_all(lower(text), '{NWS}+')) AS word FROM train),
+c AS (SELECT word, count(*) FILTER (WHERE y = 1) AS n1, count(*) FILTER (WHERE y = 0) AS n0
+      FROM w GROUP BY word),
+s AS (SELECT (count(*) + sum(n1) + 1)::DOUBLE AS one, (count(*) + sum(n0) + 1)::DOUBLE AS zero FROM c),
+weights AS (SELECT word, round_even(ln(((n1 + 1) / one) / ((n0 + 1) / zero)) * 1000, 0)::BIGINT AS weight
+            FROM c CROSS JOIN s),
+prior AS (SELECT round_even(ln((count(*) FILTER (WHERE y = 1) + 1)::DOUBLE
+                               / (count(*) FILTER (WHERE y = 0) + 1)::DOUBLE) * 1000, 0)::BIGINT AS prior
+          FROM train),
+terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{NWS}+')) AS word FROM documents),
+sums AS (SELECT doc_id, sum(coalesce(weight, round_even(ln(zero / one) * 1000, 0)::BIGINT)) AS total
+         FROM terms LEFT JOIN weights USING (word) CROSS JOIN s GROUP BY doc_id),
+bayes AS (SELECT doc_id, lang, (prior + coalesce(total, 0))::BIGINT AS log_odds
+          FROM documents LEFT JOIN sums USING (doc_id) CROSS JOIN prior)"""
+
+
+def _bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    train = docs.join(labels.select("doc_id", (1 - F.col("toxic")).alias("label")), "doc_id")
+    model = BayesModel.fit(train.where(~_held_out()))
+    return model.score(docs, "doc_id")
+
+
+@register(
+    CATALOG,
+    f"""WITH {_BAYES}
+    SELECT doc_id, log_odds, (log_odds > 0)::INTEGER AS sentiment_label,
+           {sql_round("1 / (1 + exp(-greatest(least(log_odds / 1000.0::DOUBLE, 500), -500)))", 6)} AS sentiment_score
+    FROM bayes""",
+)
+def bayes_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _bayes(spark, sf_dir)
+    return found.withColumn("sentiment_score", round_to(F.col("sentiment_score"), 6))
+
+
+@register(
+    CATALOG,
+    f"""WITH {_BAYES}
+    SELECT lang, count(*) AS n_rows,
+           {sql_round("avg(((log_odds > 0)::INTEGER = 1 - toxic)::INTEGER::DOUBLE)", 6)} AS accuracy
+    FROM bayes JOIN labels USING (doc_id) WHERE {_HELD_OUT} AND toxic IN (0, 1) GROUP BY lang""",
+)
+def bayes_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    truth = docs.select("doc_id", "lang").join(
+        labels.where("toxic in (0, 1)").select("doc_id", (1 - F.col("toxic")).alias("label")), "doc_id"
+    )
+    rows = truth.where(_held_out()).join(_bayes(spark, sf_dir), "doc_id")
+    found = binary_metrics(rows, "label", "sentiment_label", ["lang"])
+    return found.select("lang", "n_rows", round_to(F.col("accuracy"), 6).alias("accuracy"))
 
 
 # Frequent words of the four languages stand in for aspect keywords.

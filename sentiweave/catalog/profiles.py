@@ -12,6 +12,7 @@ from sentiweave.catalog.registry import (
     Query,
     quality_corpus,
     register,
+    sql_normalize,
     sql_round,
     sql_strip,
     sql_words,
@@ -21,7 +22,14 @@ from sentiweave.catalog.registry import (
 from sentiweave.functions.numeric import round_to
 from sentiweave.operators import histogram, profile
 from sentiweave.plans.report import primary_length
-from sentiweave.sources.registry import CorpusSpec, registry_frame
+from sentiweave.sources.corpora import training_rows
+from sentiweave.sources.registry import (
+    CorpusSpec,
+    registry_frame,
+    split_slice,
+    take_slice,
+    with_row_cap,
+)
 
 CATALOG: dict[str, Query] = {}
 
@@ -390,3 +398,73 @@ def boxplot_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = histogram.boxplot_stats(long, ["corpus", "metric"], "v")
     rounded = boxes.withColumns({c: round_to(F.col(c), 4) for c in ("q1", "median", "q3")})
     return _wide(rounded, "whisker_low", "whisker_high")
+
+
+_SPECS = tuple(
+    CorpusSpec(
+        name, name, role, "en", "text", label, rows=rows, dataset_id=f"local/{name}", load_note=note
+    )
+    for name, role, label, rows, note in (
+        ("quality", "train", "label", 150, ""),
+        ("toxic", "validation", "label", None, "Words as labels."),
+    )
+)
+_REGISTRY_SQL = """SELECT n AS name, n AS folder, r AS role, 'en' AS language, 'text' AS text_column,
+       'label' AS label_column, 'train' AS split, 'parquet' AS format, 'row_id' AS id_column,
+       c::BIGINT AS rows, 'local/' || n AS dataset_id, {note} AS load_note, size
+    FROM (VALUES ('quality', 'train', 150, ''), ('toxic', 'validation', NULL, 'Words as labels.')) AS v(n, r, c, t)
+    JOIN (SELECT 'quality' AS n, count(quality) AS size FROM labels
+          UNION ALL SELECT 'toxic', count(toxic) FROM labels) USING (n)"""
+
+
+def _sized_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with the rows that each corpus has labels for."""
+    labels = table(spark, sf_dir, "labels").agg(F.count("quality"), F.count("toxic"))
+    sizes = labels.select(F.explode(F.create_map(F.lit("quality"), "count(quality)", F.lit("toxic"), "count(toxic)")).alias("name", "size"))
+    return registry_frame(spark, _SPECS).join(sizes, "name")
+
+
+@register(CATALOG, _REGISTRY_SQL.format(note="t"))
+def registry_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sized_registry(spark, sf_dir)
+
+
+@register(
+    CATALOG,
+    _REGISTRY_SQL.format(note="CASE WHEN t = '' THEN '' ELSE t || ' ' END || 'Inspection cap: 2,000 rows.'"),
+)
+def row_cap_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_row_cap(_sized_registry(spark, sf_dir), 2_000)
+
+
+@register(
+    CATALOG,
+    f"""SELECT doc_id, {sql_normalize("text")} AS text, quality AS label, 'en' AS language
+    FROM (SELECT * FROM documents JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 150)
+    WHERE length({sql_normalize("text")}) > 0 AND quality IN (0, 1)""",
+)
+def labelled_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slice that the registry names, harmonized."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = docs.join(labels, "doc_id").withColumnRenamed("quality", "label")
+    head = take_slice(rows, split_slice(_SPECS[0]), "doc_id")
+    return training_rows(head, "text", "label", "en", keep=["doc_id"])
+
+
+@register(
+    CATALOG,
+    f"""SELECT lang AS name, count(*) AS n_rows, count(DISTINCT quality) AS n_unique_labels,
+           min(length(text)) AS char_len_min, max(length(text)) AS char_len_max,
+           {sql_round("avg(length(text)::DOUBLE)", 1)} AS char_len_mean,
+           count(*) FILTER (WHERE NOT regexp_matches(text, '{NWS}')) AS empty_texts
+    FROM documents JOIN labels USING (doc_id) GROUP BY lang""",
+)
+def profiles_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = docs.join(labels, "doc_id")
+    profiles = {
+        lang: profile.corpus_profile(rows.where(F.col("lang") == lang), "text", "quality")
+        for lang in ("de", "en", "es", "fr")
+    }
+    kept = ("name", "n_rows", "n_unique_labels", "char_len_min", "char_len_max", "char_len_mean", "empty_texts")
+    return profile.profiles_frame(profiles).select(*kept)
