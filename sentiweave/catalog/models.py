@@ -22,6 +22,7 @@ from sentiweave.functions.text import WS as JAVA_WS
 from sentiweave.functions.text import Tokenizer
 from sentiweave.operators import langid
 from sentiweave.operators.metrics import binary_metrics
+from sentiweave.operators.ratios import sentiment_ratios
 from sentiweave.plans import scoring, studies
 from sentiweave.plans.bayes import BayesModel
 from sentiweave.plans.prepare import preprocess
@@ -285,6 +286,30 @@ def bayes_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", "n_rows", round_to(F.col("accuracy"), 6).alias("accuracy"))
 
 
+@register(
+    CATALOG,
+    f"""WITH {_DETECTED}, {_BAYES.replace("terms", "word_terms")},
+    first AS (
+      SELECT doc_id, lang, source FROM documents WHERE regexp_matches(text, '{NWS}')
+      QUALIFY row_number() OVER (
+        PARTITION BY lang, lower({sql_strip(f"regexp_replace(text, '{WS}+', ' ', 'g')")})
+        ORDER BY doc_id) = 1)
+    SELECT f.lang, source, {sql_round("avg((log_odds > 0)::INTEGER::DOUBLE)", 6)} AS positive_ratio,
+           count(*) AS count
+    FROM first f JOIN detected USING (doc_id) JOIN bayes USING (doc_id)
+    WHERE detected = f.lang GROUP BY f.lang, source""",
+)
+def whole_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean, drop copies, check the language, fit, score, and shares of positive rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    rows = preprocess(
+        docs, F.col("lang"), id_column="doc_id", within=("lang",), profiles=_fit(spark, sf_dir)
+    )
+    scored = rows.select("doc_id", "lang", "source").join(_bayes(spark, sf_dir), "doc_id")
+    found = sentiment_ratios(scored, ["lang", "source"])
+    return found.withColumn("positive_ratio", round_to(F.col("positive_ratio"), 6))
+
+
 # Frequent words of the four languages stand in for aspect keywords.
 _ASPECTS = {"article": ["the", "der", "el", "le"], "link": ["and", "und", "y", "et"], "rest": ["zzz"]}
 _TAGS_SQL = " || ".join(
