@@ -82,11 +82,6 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case; every other character as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def hash_pair(value: Column) -> Column:
     """128 bits of hash of a text as two longs: a key for whole corpora."""
     return F.struct(
