@@ -222,6 +222,7 @@ def parse_record(raw: bytes) -> dict:
 
 def with_originals(pages: DataFrame) -> DataFrame:
     """page_id, url, html and refers_to: the page whose equal payload was kept, if any."""
+    pages = pages.select("page_id", "url", "html")
     data = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     digests = pages.select("page_id", F.sha2(data, 256).alias("digest"), F.octet_length(data).alias("size")).where(
         F.col("size") >= REVISIT_BYTES
