@@ -10,10 +10,10 @@ positions of one anchor form a run whose strings lie in one *span* of bytes.
 1. Anchor hashes that occur once are dropped by a counting aggregate.
 2. Of equal spans (128 bits of hash) one stands for all. A span that occurs twice is
    repeated throughout.
-3. The spans of an anchor hash are brought together, and the suffixes at their positions
-   are sorted: a mergesort whose comparisons find the common extension of two suffixes by
-   binary search over prefix polynomial hashes, in a logarithmic number of steps. Neighbours
-   with ``length`` bytes in common are compared byte by byte, and are repeated positions.
+3. The spans of an anchor hash are brought together and the suffixes at their anchors are
+   sorted: a mergesort whose comparisons find the common extension of two suffixes by
+   binary search over prefix polynomial hashes, in a logarithmic number of steps. Strings
+   that agree behind and before their anchors are compared byte by byte, and are repeated.
 4. An anchor hash with very many different spans (a passage in ever different places) isn't
    given to one task: its positions are dealt by a hash of their string and counted.
 
@@ -35,7 +35,7 @@ from .common import ROWS_AT_A_TIME, arrow_map, table, written
 LENGTH = 200
 GRAM = 64
 #: Anchors with more different spans are dealt by string (step 4).
-SPANS = 2_048
+SPANS = 32_768
 #: Window starts handled at a time in a text, and bytes of spans sorted at a time.
 SEGMENT = 1 << 16
 SORT_BYTES = 1 << 20
@@ -139,39 +139,42 @@ RUN = "row start count offset anchor span"
 
 
 class SuffixSort:
-    """Suffixes inside of spans, compared over their first ``length`` bytes by hashes."""
+    """Suffixes of a text, each up to a limit of its own, compared by prefix hashes."""
 
-    def __init__(self, data: np.ndarray, length: int, powers: Powers):
-        self.data, self.length = data, length
+    def __init__(self, data: np.ndarray, powers: Powers):
+        self.data = data
         self.prefix = prefix_hashes(data, powers)
         self.down = powers.upto(len(data) + 1)[1]
 
     def hashes(self, at: np.ndarray, size) -> np.ndarray:
         return (self.prefix[at + size] - self.prefix[at]) * self.down[at]
 
-    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common start of the suffixes at a and b, at most ``length``."""
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length)
-        whole = self.hashes(a, self.length) == self.hashes(b, self.length)
-        low[whole] = self.length
-        for _ in range(int(self.length).bit_length()):
+    def common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Length of the common start of the suffixes at a and b, at most ``most``."""
+        low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
+        whole = self.hashes(a, high) == self.hashes(b, high)
+        low[whole] = high[whole]
+        for _ in range(int(most.max(initial=0)).bit_length()):
             middle = (low + high + 1) // 2
             same = self.hashes(a, middle) == self.hashes(b, middle)
             low = np.where(same, middle, low)
             high = np.where(same, high, np.maximum(low, middle - 1))
         return low
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        size = self.common(a, b)
-        at = np.minimum(size, self.length - 1)
-        return np.where(size == self.length, or_equal, self.data[a + at] < self.data[b + at])
-
-    def order(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
+    def order(self, at: np.ndarray, limit: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Order of suffixes by group (ascending already) and text: a bottom-up mergesort.
 
         All merges of a level are made at once: a suffix's new place is its place in its
         own run plus its rank, found by binary search, in the run beside it.
         """
+
+        def before(x: np.ndarray, y: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
+            most = np.minimum(limit[x], limit[y])
+            size = self.common(at[x], at[y], most)
+            inside = np.minimum(size, most - 1)
+            by_length = np.where(limit[x] == limit[y], or_equal, limit[x] < limit[y])
+            return np.where(size == most, by_length, self.data[at[x] + inside] < self.data[at[y] + inside])
+
         begin = np.searchsorted(group, group)  # first of each one's group
         local = np.arange(len(at)) - begin
         size = np.searchsorted(group, group, "right") - begin
@@ -184,17 +187,15 @@ class SuffixSort:
             other = begin[place] + (own ^ 1) * width
             end = np.minimum(other + width, begin[place] + size[place])
             low, high = other.copy(), np.maximum(end, other)
-            one = at[order[place]]
+            one = order[place]
             right = own % 2 == 1
-            while True:
+            while (low < high).any():
                 open_ = low < high
-                if not open_.any():
-                    break
                 middle = (low[open_] + high[open_]) // 2
                 # A right suffix passes equal left ones, a left one stays before right ones.
-                before = self.less(at[order[middle]], one[open_], right[open_])
-                low[open_] = np.where(before, middle + 1, low[open_])
-                high[open_] = np.where(before, high[open_], middle)
+                passed = before(order[middle], one[open_], right[open_])
+                low[open_] = np.where(passed, middle + 1, low[open_])
+                high[open_] = np.where(passed, high[open_], middle)
             target = begin[place] + (own - own % 2) * width + (inside - own * width) + (low - other)
             new = order.copy()
             new[target] = order[place]
@@ -202,51 +203,58 @@ class SuffixSort:
             width *= 2
         return order
 
-    def repeated(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Whether another suffix of the same group (ascending) has the same first bytes."""
-        order = self.order(at, group)
-        a, b = order[:-1], order[1:]
-        together = np.flatnonzero(group[a] == group[b])
-        a, b = a[together], b[together]
-        same = self.common(at[a], at[b]) == self.length
-        a, b = a[same], b[same]
-        out = np.zeros(len(at), bool)
-        for begin in range(0, len(a), 4_096):
-            one, other = a[begin : begin + 4_096], b[begin : begin + 4_096]
-            steps = np.arange(self.length)
-            equal = (self.data[at[one][:, None] + steps] == self.data[at[other][:, None] + steps]).all(1)
-            if not equal.all():  # two strings with one hash: the order can't be trusted
-                return self._by_bytes(at, group)
-            out[one] = out[other] = True
-        return out
-
-    def _by_bytes(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        seen: dict[tuple[int, bytes], list[int]] = {}
-        for i, (a, g) in enumerate(zip(at.tolist(), group.tolist(), strict=True)):
-            seen.setdefault((g, self.data[a : a + self.length].tobytes()), []).append(i)
-        out = np.zeros(len(at), bool)
-        for places in seen.values():
-            out[places] = len(places) > 1
-        return out
-
 
 def sort_spans(rows: list[tuple[int, int, int, int, bytes]], length: int, powers: Powers) -> list[list[dict]]:
     """For (anchor, span, offset, count, bytes) of whole anchor groups: the runs of repeated
-    positions of each, as first and end (exclusive) relative to the span's start."""
+    positions of each, as first and end (exclusive) relative to the span's start.
+
+    The suffixes that start at the anchors are sorted. What two of them have in common
+    behind the anchor is the least of the extensions between their neighbours, so the ones
+    that agree on any number of bytes lie side by side. A string that starts ``d`` bytes
+    before its anchor is repeated if, of those that agree on the ``length - d`` bytes from
+    the anchor on, another has the same ``d`` bytes before it.
+    """
     sizes = np.array([len(r[4]) for r in rows])
-    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    base = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-    counts = np.array([r[3] for r in rows])
-    row = np.repeat(np.arange(len(rows)), counts)
-    inside = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    anchors = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
-    distance = np.array([r[2] for r in rows])[row] - inside  # from the position to the anchor
-    group = anchors[row] * np.int64(length) + distance
-    by_group = np.argsort(group, kind="stable")
-    at = (base[row] + inside)[by_group]
-    found = np.zeros(len(row), bool)
-    found[by_group] = SuffixSort(data, length, powers).repeated(at, group[by_group])
-    return [_intervals(part) for part in np.split(found, np.cumsum(counts)[:-1])]
+    offset, count = (np.array([r[i] for r in rows]) for i in (2, 3))
+    group = np.unique(np.array([r[0] for r in rows]), return_inverse=True)[1]
+    at, limit = base + offset, sizes - offset
+    sort = SuffixSort(data, powers)
+    order = sort.order(at, limit, group)
+    a, b = order[:-1], order[1:]
+    most = np.where(group[a] == group[b], np.minimum(limit[a], limit[b]), 0)
+    extension = np.concatenate(([-1], np.where(group[a] == group[b], sort.common(at[a], at[b], most), -1)))
+    found = np.zeros(int(count.sum()), bool)
+    first = np.cumsum(count) - count
+    at, offset, count, first = at[order], offset[order], count[order], first[order]
+    steps = np.arange(length)
+    for d in range(int((offset - count + 1).min()), int(offset.max()) + 1):
+        block = np.cumsum(extension < length - d)
+        own = np.flatnonzero((offset - count < d) & (d <= offset))
+        block, left = block[own], sort.hashes(at[own] - d, d)
+        by = np.lexsort((left, block))
+        same = np.flatnonzero((block[by[1:]] == block[by[:-1]]) & (left[by[1:]] == left[by[:-1]]))
+        one, other = own[by[same]], own[by[same + 1]]
+        for begin in range(0, len(one), 4_096):
+            x, y = (p[begin : begin + 4_096] for p in (one, other))
+            if not (data[(at[x] - d)[:, None] + steps] == data[(at[y] - d)[:, None] + steps]).all():
+                return _by_bytes(rows, length)  # two strings with one hash
+            found[first[x] + offset[x] - d] = found[first[y] + offset[y] - d] = True
+    return [_intervals(part) for part in np.split(found, np.cumsum([r[3] for r in rows])[:-1])]
+
+
+def _by_bytes(rows: list[tuple[int, int, int, int, bytes]], length: int) -> list[list[dict]]:
+    """As :func:`sort_spans`, where hashes have failed."""
+    places: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
+    for i, (anchor, _, offset, count, raw) in enumerate(rows):
+        for j in range(count):
+            places.setdefault((anchor, offset - j, raw[j : j + length]), []).append((i, j))
+    found = [np.zeros(r[3], bool) for r in rows]
+    for own in places.values():
+        for i, j in own:
+            found[i][j] = len(own) > 1
+    return [_intervals(f) for f in found]
 
 
 def _intervals(flags: np.ndarray) -> list[dict]:
@@ -334,7 +342,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, most_
     of their own.
     """
     runs = text_runs(docs, length, gram)
-    often = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Written, so that both sides of the join are shuffled and hot anchors can be split.
+    often = written(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     met = written(runs.join(often, "anchor").select(*RUN.split()))
     spans = written(
         met.groupBy("anchor", "span").agg(

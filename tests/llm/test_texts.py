@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sentiweave.llm import bpe, decontaminate, lines, simhash, suffixes, toxicity
@@ -172,19 +173,20 @@ def test_suffixes(spark, most_spans):
 def test_suffix_sort_orders_like_bytes():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 4_000).astype(np.uint8)
-    at = rng.integers(0, 3_900, 700)
+    at, limit = rng.integers(0, 3_900, 700), rng.integers(1, 60, 700)
     group = np.sort(rng.integers(0, 5, 700))
-    order = suffixes.SuffixSort(data, 60, suffixes.Powers()).order(at, group)
-    key = [(int(group[i]), data[at[i] : at[i] + 60].tobytes()) for i in range(700)]
+    order = suffixes.SuffixSort(data, suffixes.Powers()).order(at, limit, group)
+    key = [(int(group[i]), data[at[i] : at[i] + limit[i]].tobytes()) for i in range(700)]
     assert [key[i] for i in order] == sorted(key)
 
 
 def test_suffix_hash_collisions_are_seen(monkeypatch):
     """With hashes that are all alike the bytes decide."""
+    rows = [(1, i, 0, 1, raw) for i, raw in enumerate([b"abcdefghij", b"klmnopqrst", b"abcdefghij"])]
+    expected = [[{"first": 0, "end": 1}], [], [{"first": 0, "end": 1}]]
+    assert suffixes.sort_spans(rows, 10, suffixes.Powers()) == expected
     monkeypatch.setattr(suffixes.SuffixSort, "hashes", lambda self, at, size: np.zeros(len(at), np.uint64))
-    data = np.frombuffer(b"abcdefghij" * 3 + b"klmnopqrst", np.uint8)
-    sort = suffixes.SuffixSort(data, 10, suffixes.Powers())
-    assert sort.repeated(np.array([0, 10, 30]), np.zeros(3, np.int64)).tolist() == [True, True, False]
+    assert suffixes.sort_spans(rows, 10, suffixes.Powers()) == expected
 
 
 def brute_hits(texts, items, window=10):
@@ -247,6 +249,28 @@ def test_lines(spark):
     assert len(got) == len(texts)
 
 
+CLASHING = "row doc cut cut_id removed site line _keeper _doc_id _key score features key gram at left spans runs kept".split()
+
+
+def test_clashing_columns(spark):
+    """Extra columns with any name that the operators use come through the filters."""
+    texts = ["one two three four five six seven\nshared line", "shared line\nother words are here", None, ""]
+    docs = frame(spark, texts).withColumns({c: F.concat(F.lit(c), F.col("doc_id")) for c in CLASHING})
+    labels = spark.createDataFrame([], "doc_id long, toxic int, score string")
+    items = spark.createDataFrame([(1, "nothing of it", "x")], "item_id long, text string, size string")
+    for out in (
+        toxicity.without_toxic(docs, labels),
+        lines.without_boilerplate(docs, min_sites=2),
+        simhash.one_of_each_group(docs),
+        decontaminate.without_contaminated(docs, items),
+    ):
+        assert out.columns == docs.columns
+        for row in out.collect():
+            assert all(row[c] == f"{c}{row['doc_id']}" for c in CLASHING)
+    assert suffixes.without_repeats(docs).count() == len(texts)
+    assert bpe.encode(docs, "text", bpe.vocabulary(), "key").count() == len(texts)
+
+
 def test_toxicity_features():
     weights = toxicity.Weights({"badword": 3.0, "awful-": 2.0})
     named = dict(zip(toxicity.FEATURES, toxicity.text_features("You badword! b.a.d.w.o.r.d AWFULLY", weights), strict=True))
