@@ -50,11 +50,11 @@ def boilerplate_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "
     seen = cut_lineage(spread.where(F.col("sites") >= min_sites / NEAR))
     sure = seen.where(F.col("sites") > min_sites * NEAR).select("line", "keeper")
     near = seen.where(F.col("sites") <= min_sites * NEAR).select("line", "keeper")
+    # Pairs are made distinct before the join: no task gets all rows of a frequent line.
     exact = (
         lines.select("line", "site")
+        .distinct()
         .join(near, "line")
-        .groupBy("line", "site")
-        .agg(F.min("keeper").alias("keeper"))
         .groupBy("line")
         .agg(F.count("*").alias("sites"), F.min("keeper").alias("keeper"))
         .where(F.col("sites") >= min_sites)
@@ -79,32 +79,33 @@ def without_boilerplate(
     cuts = (
         lines.join(boilerplate, "line")
         .where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-        .groupBy(F.col("doc_id").alias("_doc_id"))
-        .agg(F.collect_set("line").alias("_cut"))
+        .groupBy(F.col("doc_id").alias("cut_id"))
+        .agg(F.collect_set("line").alias("cut"))
     )
-    joined = docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_doc_id"]), "left")
+    # Other columns travel as one struct, so that none can clash with those used here.
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select(F.struct(*(others or [F.lit(0)])).alias("row"), "doc_id", "text")
+    joined = packed.join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")), "left")
     split = F.split(F.col("text"), "\n", -1)
     kept = F.filter(
         split,
-        lambda x: (line_text(x) == "") | ~F.array_contains(F.col("_cut"), hash_pair(line_text(x))),
+        lambda x: (line_text(x) == "") | ~F.array_contains(F.col("cut"), hash_pair(line_text(x))),
     )
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_text", text)
-    columns = []
-    for name in docs.columns:
-        if name == "text":
-            columns.append(F.col("_text").alias("text"))
-        elif name == "n_chars":
-            changed = F.length("_text").cast(docs.schema["n_chars"].dataType)
-            columns.append(F.when(F.col("_cut").isNull(), F.col("n_chars")).otherwise(changed).alias("n_chars"))
-        else:
-            columns.append(docs[name])
+    untouched = F.col("cut").isNull()
+    out = joined.select(
+        "row",
+        "doc_id",
+        F.when(untouched, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.when(untouched, F.lit(0)).otherwise(F.size(split) - F.size(kept)).cast("long").alias("removed"),
+    )
+    own = ("doc_id", "text")
+    columns = {c: F.col(c) if c in own else F.col("row")[c] for c in docs.columns}
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.col("removed") > 0, F.length("text").cast(kind)).otherwise(columns["n_chars"])
     if removed:
-        before, after = F.size(split), F.size(kept)
-        columns.append(
-            F.when(F.col("_cut").isNull(), F.lit(0)).otherwise(before - after).cast("long").alias(removed)
-        )
-    return out.select(*columns)
+        columns[removed] = F.col("removed")
+    return out.select(*(column.alias(name) for name, column in columns.items()))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
