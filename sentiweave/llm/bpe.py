@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, plus, share, table
 
 #: Words that a Python worker remembers the codes of; when full it starts anew.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 100_000
+#: Entries of the transition table that a worker keeps; when full it starts anew.
+TABLE_ENTRIES = 400_000
 
 START = -1
 
@@ -112,6 +114,7 @@ class MergeAutomaton:
         for number, (left, right, merged) in enumerate(merges):
             self._gadget(number, left, right, merged)
         self.rows: dict[int, dict[int, bool]] = {}
+        self.entries = 0
         self.arcs: dict[bytes, int] = {}  # label or start of labels -> token or START
         for token, label in labels.items():
             for end in range(1, len(label)):
@@ -163,6 +166,8 @@ class MergeAutomaton:
         Tries arcs from the longest on. A position from which the end can't be reached is
         marked and not entered again, which makes the time linear in the word's length.
         """
+        if self.entries > TABLE_ENTRIES:
+            self.rows, self.entries = {}, 0
         size, label, shorter, rows = len(word), self.label, self.shorter, self.rows
         dead = bytearray(size + 1)
         path: list[int] = []
@@ -177,6 +182,7 @@ class MergeAutomaton:
                     open_ = row.get(token)
                     if open_ is None:
                         open_ = row[token] = state == START or self.follows(state, token)
+                        self.entries += 1
                     if open_:
                         break
                 token = shorter[token]
@@ -213,27 +219,25 @@ class ByteBpe:
         }
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
         self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+        self._labels = None
         self.patterns = [word_pattern(below) for below in (0x100, 0x10000, sys.maxunicode + 1)]
         self._ready = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_ready": None}
+        return self.__dict__ | {"_ready": None, "_labels": None}
 
     def ready(self):
-        """Built once in each Python worker: split, added tokens, automaton, memory, labels."""
+        """Built once in each Python worker that encodes: split, added tokens, automaton, memory."""
         if self._ready is None:
             automaton = MergeAutomaton(self.labels, self.merges)
             longest_first = sorted(self.added, key=len, reverse=True)
             added = re.compile("|".join(map(re.escape, longest_first))) if self.added else None
-            labels = [b""] * (max([*self.labels, *self.added_label], default=-1) + 1)
-            for token, label in (self.labels | self.added_label).items():
-                labels[token] = label
             split = [re.compile(p).findall for p in self.patterns]
-            self._ready = split, added, automaton, {}, labels
+            self._ready = split, added, automaton, {}
         return self._ready
 
     def _codes(self, text: str) -> list[bytes]:
-        split, _, automaton, memory, _ = self.ready()
+        split, _, automaton, memory = self.ready()
         words = split[_width(text)](text)
         try:
             return [memory[w] for w in words]
@@ -268,7 +272,11 @@ class ByteBpe:
 
     def decode(self, ids: bytes) -> str:
         """The labels of the arcs, one after the other."""
-        labels = self.ready()[4]
+        if self._labels is None:
+            self._labels = [b""] * (max([*self.labels, *self.added_label], default=-1) + 1)
+            for token, label in (self.labels | self.added_label).items():
+                self._labels[token] = label
+        labels = self._labels
         codes = array("I", ids)
         if sys.byteorder == "big":
             codes.byteswap()

@@ -48,7 +48,7 @@ def share(spark: SparkSession, value: object) -> Callable[[], object]:
     def get() -> object:
         found = held.value
         if "value" not in found:
-            found["value"] = cloudpickle.loads(found["packed"])
+            found["value"] = cloudpickle.loads(found.pop("packed"))
         return found["value"]
 
     return get

@@ -28,7 +28,7 @@ WINDOW = 10
 GRAM = 5
 #: log2 of the bits in the table of the items' hashes: 2 MB, whatever the benchmark's size.
 TABLE_BITS = 24
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 100_000
 
 #: Bytes that belong to no word become spaces; A-Z becomes a-z.
 _WORD_BYTES = bytes(

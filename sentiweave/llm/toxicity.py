@@ -32,7 +32,9 @@ STARTS = (4, 5, 6, 7)
 MIN_TOXIC_TEXTS = 6
 MIN_LOG_ODDS = 1.5
 PROXIMITY_WORDS = 5
-REMEMBERED_WORDS = 200_000
+#: Units that a task counts before it hands the counts on.
+COUNTED_UNITS = 100_000
+REMEMBERED_WORDS = 100_000
 #: Share of the trees' probability in a score; the rest is the calibrated value.
 OWN_SHARE = 0.02
 
@@ -154,13 +156,19 @@ def learn_lexicon(texts: DataFrame, rows: int = LEXICON_UNITS) -> dict[str, floa
                 for text, toxic in zip(part["text"], part["toxic"], strict=True):
                     words = set(_WORD.findall(text.lower()))
                     counts[toxic].update({u for w in words for u in _units(w)})
+                    if len(counts[0]) + len(counts[1]) > COUNTED_UNITS:
+                        yield handed_on(counts)
+        yield handed_on(counts)
+
+    def handed_on(counts: dict[int, Counter]) -> pa.RecordBatch:
         names = list({*counts[0], *counts[1]})
-        for start in range(0, len(names), 10_000):
-            some = names[start : start + 10_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some), *(pa.array([counts[y][u] for u in some], pa.int64()) for y in (1, 0))],
-                ["unit", "toxic", "other"],
-            )
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), *(pa.array([counts[y][u] for u in names], pa.int64()) for y in (1, 0))],
+            ["unit", "toxic", "other"],
+        )
+        for y in counts:
+            counts[y] = Counter()
+        return out
 
     distinct = texts.groupBy("text").agg(F.max("toxic").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in distinct.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
