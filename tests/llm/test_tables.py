@@ -87,6 +87,27 @@ def test_vectors(spark, monkeypatch, block):
     assert pivots.near_vectors(table.limit(0)).count() == 0
 
 
+def test_vectors_of_a_dense_group(spark):
+    """A third of the rows around one centre, so many that all pivots are drawn."""
+    rng = np.random.default_rng(3)
+    scatter = rng.normal(size=(7_000, 64))
+    group = rng.normal(size=64) + rng.normal(size=(3_500, 64)) * 0.25
+    copies = np.repeat(rng.normal(size=(1, 64)), 500, 0)
+    x = np.concatenate([scatter, group, copies])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = (x @ x.T >= 0.93).sum(1) - 1
+    table = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    pivots_drawn = pivots.draw_pivots(pivots.usable(table), 100_000)
+    assert len(pivots_drawn[64]) == pivots.MAX_PIVOTS
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(pivots, "ROWS_PER_PIVOT", 1)
+        got = {r["vec_id"]: r["n_links"] for r in pivots.near_vectors(table).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= links).all()
+    assert found[7_000:10_500].sum() > 0.99 * links[7_000:10_500].sum()
+    assert (found[10_500:] == 499).all()
+
+
 SECRETS = [
     ("the token = \"96d17ded865a61704b5b8dc58aafba7d26a3c1ef\" and", True),
     ("nor password=569f672d50d5949088 the", True),
