@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sentiweave.llm import bpe, decontaminate, lines, simhash, suffixes, toxicity
+from sentiweave.llm import bpe, decontaminate, lines, minhash, simhash, suffixes, toxicity
 
 ODD = [
     None, "", " ", "\n\n  \t", "a", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "it's I'LL we've'd",
@@ -139,6 +139,36 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 5, 6]
 
 
+def test_near_copies_by_shingle_sets(spark):
+    """Scattered edits: all pairs at a Jaccard similarity of 0.8 or more end in one group, and no others."""
+    rng = random.Random(12)
+    words = ["w%d" % i for i in range(3_000)]
+    texts, pairs = [], []
+    for i in range(240):
+        text = [rng.choice(words) for _ in range(300)]
+        copy = list(text)
+        for at in rng.sample(range(300), 1 + i % 14):
+            copy[at] = rng.choice(words)
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(text), " ".join(copy)]
+    hot = [rng.choice(words) for _ in range(300)]
+    for _ in range(60):  # edits of one text; many pairs of them are below the threshold
+        copy = list(hot)
+        for at in rng.sample(range(300), 5):
+            copy[at] = rng.choice(words)
+        texts.append(" ".join(copy))
+    texts += ["", None, " ", "one two", "One  TWO", "one three"]
+    docs = frame(spark, texts)
+    sets = [frozenset(minhash.shingle_set(t).tolist()) for t in texts]
+    likeness = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a] | sets[b]) or 1) if sets[a] or sets[b] else 1
+    roots = closure(list(range(len(texts))), lambda a, b: likeness(a, b) >= 0.8)
+    kept = {r["doc_id"] for r in minhash.one_of_each_group(docs).collect()}
+    assert kept == set(roots.values())
+    # Fingerprints miss most of these, at every similarity.
+    assert sum(likeness(a, b) >= 0.8 for a, b in pairs) > 100
+    assert minhash.one_of_each_group(docs.limit(0)).count() == 0
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     count = Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
