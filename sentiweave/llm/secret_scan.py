@@ -1,6 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false findings.
 
-Candidates are long runs of key characters with a digit. The forest sees how a candidate
+Candidates are long runs of key characters with a digit, and whatever of six characters or
+more is assigned to a secret word. The forest sees how a candidate
 looks (length, kinds of characters and the transitions between them, what a dictionary
 covers, whether it is a path) and which words stand before and behind it. It is trained
 from labelled findings, a table that the caller may give; the default one is made here
@@ -19,9 +20,6 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: A run of key characters that no other joins, with a digit among its first 64 or all in
-#: capitals at its start.
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9]|[A-Z+/_-]{16})[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_-]))?"
 #: Characters before and behind a candidate that its neighbouring words are taken from.
 CONTEXT = 48
 #: Findings score at least this.
@@ -55,6 +53,20 @@ OTHER_WORDS = (
 )
 
 
+#: What stands for a value.
+NOTHING = "string undefined ******** required optional varchar changed invalid missing incorrect default ${password} <password> xxxxxxxx".split()
+#: A value that directly follows a secret word and a sign, up to a blank or quote.
+ASSIGNED = (
+    r"(?<=[=:\s\"'`])(?<=(?i:" + SECRET_WORDS + r")[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,3}(?::=|=>|[=:]{1,2})\s{0,3}[\"'`]?)"
+    r"(?![=:>]|(?i:bearer|basic)\s)[^\s\"'`]{5,}[^\s\"'`,;.)\]}>]"
+)
+#: Such a value, or a run of key characters that no other joins, with a digit among its first
+#: 64 or all in capitals at its start.
+CANDIDATE = (
+    ASSIGNED + r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9]|[A-Z+/_-]{16})[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_-]))?"
+)
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("double")
 
@@ -71,6 +83,7 @@ def features() -> dict[str, Column]:
         "digits": _count(c, "[0-9]") / size,
         "capitals": _count(c, "[A-Z]") / size,
         "signs": _count(c, "[+/_=-]") / size,
+        "other_signs": _count(c, "[^A-Za-z0-9+/_=-]") / size,
         "beyond_hex": _count(low, "[g-z]") / size,
         "different": F.size(letters) / size,
         "letter_to_digit": _count(c, "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])") / size,
@@ -123,6 +136,8 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
     words = F.array(*map(F.lit, DICTIONARY))
     word = lambda n: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(n)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     size = 16 + F.pmod(F.xxhash64("id"), F.lit(25)).cast("int")
+    short = 6 + F.pmod(F.xxhash64("id"), F.lit(10)).cast("int")
+    either = 8 + F.pmod(F.xxhash64("id"), F.lit(25)).cast("int")
     # kind, secret, text before, candidate, text behind
     kinds = [
         ("password", 1, F.lit("and password="), F.substring(digest, F.lit(1), size), F.lit(" the")),
@@ -148,6 +163,17 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
         ("shouted", 0, F.concat(F.upper(word(4)), F.lit("!! ")), F.upper(F.concat(word(1), word(2), word(3), word(5))), F.lit("!! ")),
         ("capital_key", 1, F.concat(word(1), F.lit(" ")), F.concat(F.lit("AKIA"), F.translate(F.substring(plain, 1, 16), "0123456789", "GHJKLMNPRS")), F.concat(F.lit(" "), word(2))),
         ("long_word", 0, F.concat(word(4), F.lit(" ")), F.concat(word(1), word(2), word(3), F.pmod(F.col("id"), F.lit(10)).cast("string")), F.concat(F.lit(" "), word(5))),
+        ("short_password", 1, F.lit("password="), F.substring(digest, F.lit(1), short), F.lit(" ")),
+        ("short_base", 1, F.lit("db_password: '"), F.substring(base, F.lit(1), short), F.lit("'")),
+        ("short_words", 1, F.lit("and password="), F.concat(word(1), F.pmod(F.col("id"), F.lit(100)).cast("string"), word(2)), F.lit(" ")),
+        ("letters", 1, F.lit("SECRET_KEY="), F.substring(F.translate(base, "0123456789-_", "xKqZvBwTjRgH"), F.lit(1), either), F.lit("\n")),
+        ("lower_letters", 1, F.lit("token: "), F.substring(F.translate(digest, "0123456789", "xkqzvwtjrg"), F.lit(1), either), F.lit(" ")),
+        ("signs", 1, F.lit("passwd="), F.regexp_replace(F.substring(base, F.lit(1), either), "^(..)(..)(.)", "$1!$2@$3\\$."), F.lit(" ")),
+        ("assigned_word", 0, F.lit("the key: "), F.rpad(word(1), 6, "s"), F.concat(F.lit(" "), word(2))),
+        ("assigned_name", 0, F.lit("password = "), F.concat_ws(".", word(1), word(2), word(3)), F.lit("\n")),
+        ("assigned_call", 0, F.lit("token = "), F.concat(F.lit("get_"), word(1), F.lit("("), word(2)), F.lit(")\n")),
+        ("assigned_kind", 0, F.lit("password: "), F.element_at(F.array(*map(F.lit, NOTHING)), (F.pmod(F.col("id"), F.lit(len(NOTHING))) + 1).cast("int")), F.lit("\n")),
+        ("assigned_link", 0, F.lit("api: "), F.concat(F.lit("https://"), word(1), F.lit(".org/"), word(2)), F.lit(" ")),
     ]
     rows = None
     for kind, secret, before, candidate, behind in kinds:
@@ -155,7 +181,8 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
             candidate.alias("candidate"), before.alias("before"), behind.alias("behind"), F.lit(secret).alias("secret")
         )
         rows = own if rows is None else rows.unionByName(own)
-    return rows.where(F.length("candidate") >= 16)
+    assigned = F.concat("before", "candidate").rlike(ASSIGNED)
+    return rows.where((F.length("candidate") >= 16) | assigned)
 
 
 @dataclass

@@ -133,6 +133,25 @@ def test_secrets(spark):
     assert secret_scan.scan(docs.limit(0)).count() == 0
 
 
+SHORT = [
+    ("db password=hunter2secret now", "hunter2secret", True),
+    ("nor token: 'kQzvXwTjRgHbNpLd' and", "kQzvXwTjRgHbNpLd", True),
+    ("passwd=a7!f9@3$.d81c, or", "a7!f9@3$.d81c", True),
+    ("SECRET_KEY = 9f3a7c1e", "9f3a7c1e", True),
+    ("password: undefined", "undefined", False),
+    ("password = config.database.user", "config.database.user", False),
+]
+
+
+def test_short_and_broken_secrets(spark):
+    """Values that are assigned to a secret word are scored at any length, with any characters."""
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(SHORT)], "doc_id long, text string")
+    found = {(r["doc_id"], r["candidate"]): r for r in secret_scan.scan(docs).collect()}
+    assert set(found) == {(i, c) for i, (_, c, _) in enumerate(SHORT)}
+    wrong = [(c, found[i, c]["score"]) for i, (_, c, secret) in enumerate(SHORT) if found[i, c]["secret"] != secret]
+    assert not wrong, wrong
+
+
 def test_secrets_learn_from_given_findings(spark):
     """The forest follows the labelled findings that it is given."""
     rows = [(f"{'ab12' * 5}{i:04d}", "secret=", " ", 0) for i in range(60)]
