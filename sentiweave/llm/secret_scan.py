@@ -57,7 +57,7 @@ OTHER_WORDS = (
 NOTHING = "string undefined ******** required optional varchar changed invalid missing incorrect default ${password} <password> xxxxxxxx".split()
 #: A value that directly follows a secret word and a sign, up to a blank or quote.
 ASSIGNED = (
-    r"(?<=[=:\s\"'`])(?<=(?i:" + SECRET_WORDS + r")[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,3}(?::=|=>|[=:]{1,2})\s{0,3}[\"'`]?)"
+    r"(?<=[=:>]\s{0,3}[\"'`]?)(?<=(?i:" + SECRET_WORDS + r")[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,3}(?::=|=>|[=:]{1,2})\s{0,3}[\"'`]?)"
     r"(?![=:>]|(?i:bearer|basic)\s)[^\s\"'`]{5,}[^\s\"'`,;.)\]}>]"
 )
 #: Such a value, or a run of key characters that no other joins, with a digit among its first
