@@ -344,7 +344,7 @@ def _token_stats_sql(source: str, keys: str) -> str:
 @register(CATALOG, _token_stats_sql("(SELECT * FROM documents ORDER BY doc_id LIMIT 500)", ""))
 def token_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return _wide(profile.token_length_stats(docs, "text", "doc_id"), "token_len_max")
+    return _wide(profile.token_length_stats(docs, "text", "doc_id", max_samples=500), "token_len_max")
 
 
 @register(CATALOG, _token_stats_sql("documents", "lang"))

@@ -1,36 +1,24 @@
 """Heads, seeded shuffles, caps and newest-N.
 
-``ORDER BY … LIMIT n`` sends up to n whole rows from every input partition to one
-task, which fails when n or the number of partitions is large. The exact selection
-below looks at keys only until the n-th one is known:
-
-1. one pass takes quantiles of the order columns, whose points cut their range into
-   slices with about equal row counts. A value that is more than a slice by itself is
-   cut further by the next order column, so equal times or ids make no large slice;
-2. one pass counts rows per stratum and slice (map-side combined) and finds the slice
-   with the n-th row;
-3. the keys in that slice are ranked, which gives the n-th key itself; full rows are
-   kept where they lie if their key is not above it.
-
-Nulls and NaNs come last. Rows with equal keys are told apart by a hash of the row;
-rows that are equal altogether are interchangeable, and as many are kept as fit.
+Only keys are ordered: Spark's own order and limit (a rank per stratum, if there are strata)
+give the n-th key, and full rows are kept where they lie if their key is not above it. A
+stratum may hold most rows: it is ranked in SALTS parts first, of which each hands on n keys.
+
+Nulls and NaNs come last. The order columns alone are read unless rows are equal in them at
+the n-th key; these are told apart by a hash of the row. Rows that are equal altogether are
+interchangeable, and as many are kept as fit.
 """
 
 from __future__ import annotations
 
-import math
-import os
-
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SLICES = 1_024
 #: Cut tables (one row per stratum) up to so many rows are broadcast.
 _BROADCAST_ROWS = 10_000
-#: Characters that a text's place in its order is computed from.
-_CHARACTERS = 6
+#: Parts that a stratum's keys are ranked in before they meet.
+SALTS = 64
 
 
 def shuffle_key(id_column: str, seed: int) -> Column:
@@ -43,99 +31,64 @@ def seeded_shuffle(df: DataFrame, id_column: str, seed: int) -> DataFrame:
     return df.orderBy(shuffle_key(id_column, seed), id_column)
 
 
-def _place(keys: DataFrame, name: str) -> Column:
-    """A double that follows the order of an order column (equal for values close by)."""
-    kind = keys.schema[name].dataType
-    if not isinstance(kind, T.StringType):
-        return F.col(name).cast("double")
-    low, high = keys.agg(F.min(name), F.max(name)).first()
-    shared = len(os.path.commonprefix([(low or "").encode(), (high or "").encode()]))
-    code = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), shared + 1, _CHARACTERS)), 2 * _CHARACTERS, "0")
-    return F.conv(code, 16, 10).cast("double")
-
-
-def _edges(quantiles: list[float]) -> list[float]:
-    """Slice edges; a value that fills a slice or more gets one of its own."""
-    inner = [q for q in quantiles if math.isfinite(q)]
-    heavy = {q for q in inner if inner.count(q) > 1}
-    return [-math.inf, *sorted({*inner, *(math.nextafter(q, math.inf) for q in heavy)}), math.inf]
-
-
-def _sliced(keys: DataFrame, order: list[str]) -> tuple[DataFrame, list[str]]:
-    """``keys`` with slice numbers: compared in order they follow the order columns."""
-    placed = keys.withColumns({f"_p{i}": _place(keys, c) for i, c in enumerate(order)})
-    places = [f"_p{i}" for i in range(len(order))]
-    slices = [f"_s{i}" for i in range(len(order))]
-    points = [i / _SLICES for i in range(1, _SLICES)]
-    found = placed.stat.approxQuantile(places, points, 1 / (2 * _SLICES))
-    filled = placed.fillna(0.0, places)
-    for place, number, quantiles in zip(places, slices, found, strict=True):
-        edges = _edges(quantiles)
-        if len(edges) < 3:  # no value at all
-            filled = filled.withColumn(number, F.lit(0.0))
-        else:
-            filled = Bucketizer(splits=edges, inputCol=place, outputCol=number).transform(filled)
-        # Inside of a slice of several values the next column may not decide.
-        single = [float(i) for i in range(1, len(edges) - 2) if edges[i + 1] == math.nextafter(edges[i], math.inf)]
-        later = slices[slices.index(number) + 1 :]
-        filled = filled.withColumn(f"{number}_one", F.col(number).isin(single) if single and later else F.lit(False))
-    decides = F.lit(True)
-    columns = []
-    for number in slices:
-        columns.append(F.when(decides, F.col(number)).otherwise(0.0).alias(number))
-        decides = decides & F.col(f"{number}_one")
-    return filled.select(*keys.columns, *columns), slices
+def _edges(keys: DataFrame, n: int, groups: list[str]) -> DataFrame:
+    """The n-th ``_key`` of each group as ``_edge`` and the one after it as ``_after``, null where there is none."""
+    part = Window.partitionBy(*groups, "_salt").orderBy("_key")
+    whole = Window.partitionBy(*groups).orderBy("_key")
+    ranked = (
+        keys.withColumn("_salt", F.pmod(F.xxhash64("_key"), F.lit(SALTS)))
+        .withColumn("_nth", F.row_number().over(part))
+        .where(F.col("_nth") <= n + 1)
+        .withColumn("_nth", F.row_number().over(whole))
+        .where(F.col("_nth") <= n + 1)
+    )
+    return ranked.groupBy(*groups).agg(
+        F.max(F.when(F.col("_nth") == n, F.col("_key"))).alias("_edge"),
+        F.max(F.when(F.col("_nth") == n + 1, F.col("_key"))).alias("_after"),
+    )
+
+
+def _constant(row: Row, kind: T.StructType) -> Column:
+    return F.struct(*(F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in kind))
 
 
 def _select_first(
-    df: DataFrame, n: int, order: dict[str, Column], strata: list[str], unique: bool
+    df: DataFrame, n: int, order: dict[str, Column], strata: list[str], unique: bool, tie: bool = False
 ) -> DataFrame:
-    """The first n rows of each stratum by the order columns."""
+    """The first n rows of each stratum by the order columns (and a hash of the row, if ``tie``)."""
     if n <= 0:
         return df.limit(0)
-    groups = {f"_g{i}": F.col(c) for i, c in enumerate(strata)} or {"_g0": F.lit(0)}
+    groups = {f"_g{i}": F.col(c) for i, c in enumerate(strata)}
     plain = {c: F.when(F.isnan(v), None).otherwise(v) if _is_float(df, v) else v for c, v in order.items()}
-    names = list(plain)
-    tie = F.lit(0).cast("long") if unique else F.xxhash64(*_hashable(df))
-    keyed = df.withColumns({**groups, **plain}).withColumns(
-        {"_null": F.col(names[0]).isNull(), "_tie": tie}
-    )
-    keys = keyed.select(*groups, "_null", *names, "_tie")
-    key = F.struct("_null", *names, "_tie")
-    sliced, slices = _sliced(keys, names)
-    bucket = F.struct("_null", *slices)
-    running = Window.partitionBy(*groups).orderBy("_bucket")
-    cut = (
-        sliced.groupBy(*groups, bucket.alias("_bucket"))
-        .count()
-        .withColumn("_before", F.sum("count").over(running) - F.col("count"))
-        .where(F.col("_before") < n)
-        .groupBy(*groups)
-        .agg(F.max("_bucket").alias("_last"), (F.lit(n) - F.max("_before")).alias("_left"))
-    )
-    inside = _attach(sliced.withColumn("_bucket", bucket), cut, list(groups)).where(
-        F.col("_bucket") == F.col("_last")
-    )
-    nth = Window.partitionBy(*groups).orderBy(key)
-    edge = (
-        inside.withColumn("_key", key)
-        .withColumn("_nth", F.row_number().over(nth))
-        .where(F.col("_nth") <= F.col("_left"))
-        .groupBy(*groups)
-        .agg(F.max("_key").alias("_edge"))
-    )
-    # One row per stratum: few of them become a table of their own, computed once.
-    found = edge.limit(_BROADCAST_ROWS + 1).collect()
-    few = len(found) <= _BROADCAST_ROWS
-    if few:
-        edge = df.sparkSession.createDataFrame(found, edge.schema)
-    below = _attach(keyed.withColumn("_key", key), edge, list(groups), few).where(F.col("_key") <= F.col("_edge"))
-    if not unique:
-        # Equal rows at the edge: more of them may be there than fit.
-        narrow = _attach(keys.withColumn("_key", key), edge, list(groups), few)
-        over = narrow.where(F.col("_key") <= F.col("_edge")).groupBy(*groups).count().where(F.col("count") > n)
-        if not over.isEmpty():
-            below = below.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= n)
+    first = next(iter(plain))
+    last = [F.xxhash64(*_hashable(df)).alias("_tie")] if tie else []
+    key = F.struct(plain[first].isNull().alias("_null"), *(v.alias(c) for c, v in plain.items()), *last)
+    keyed = df.withColumns({**groups, "_key": key})
+    keys = keyed.select(*groups, "_key")
+    if not strata:
+        found = [r["_key"] for r in keys.orderBy("_key").offset(n - 1).limit(2).collect()]
+        if len(found) < 2:
+            return df
+        full = found[0] == found[1]
+        inside = F.col("_key") <= _constant(found[0], keys.schema["_key"].dataType)
+        below = keyed.where(inside)
+    else:
+        edges = _edges(keys, n, list(groups))
+        # One row per stratum: few of them become a table of their own, computed once.
+        found = edges.limit(_BROADCAST_ROWS + 1).collect()
+        few = len(found) <= _BROADCAST_ROWS
+        if few:
+            full = any(row["_after"] is not None and row["_edge"] == row["_after"] for row in found)
+            edges = df.sparkSession.createDataFrame(found, edges.schema)
+        else:
+            full = not edges.where(F.col("_edge") == F.col("_after")).limit(1).isEmpty()
+        inside = F.col("_edge").isNull() | (F.col("_key") <= F.col("_edge"))
+        below = _attach(keyed, edges, list(groups), few).where(inside)
+    if full and not unique and not tie:
+        return _select_first(df, n, order, strata, unique, tie=True)
+    if full:  # more equal rows at the edge than fit
+        nth = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("_key")
+        below = below.withColumn("_nth", F.row_number().over(nth)).where(F.col("_nth") <= n)
     return below.select(*df.columns)
 
 
@@ -147,7 +100,7 @@ def _hashable(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
 
 
-def _attach(rows: DataFrame, cut: DataFrame, groups: list[str], few: bool = False) -> DataFrame:
+def _attach(rows: DataFrame, cut: DataFrame, groups: list[str], few: bool) -> DataFrame:
     """A join with one row per stratum; broadcast if there are few, so full rows stay."""
     renamed = cut.select(*(F.col(g).alias(f"{g}_r") for g in groups), *(c for c in cut.columns if c not in groups))
     if few:

@@ -47,11 +47,11 @@ CORPORA: tuple[CorpusSpec, ...] = (
         dataset_id="dirtycomputer/weibo_senti_100k",
     ),
     CorpusSpec(
-        "sentiment140_full", "sentiment140_full", "train", "en", "text", "label",
+        "sentiment140", "sentiment140", "train", "en", "text", "label",
         rows=EN_TRAINING_ROWS, dataset_id="sentiment140",
     ),
     CorpusSpec(
-        "sentiment140", "sentiment140", "inspection", "en", "clean_tweet", "sentiment",
+        "sentiment140_mirror", "sentiment140_mirror", "inspection", "en", "clean_tweet", "sentiment",
         rows=EN_TRAINING_ROWS, dataset_id="Roh2014/sentiment140_10k_tweets",
         load_note="10k-row mirror for inspection; training takes the head of the full set.",
     ),

@@ -170,7 +170,7 @@ def test_registry_loaders(spark, tmp_path):
     root = str(tmp_path)
     train = corpora.load_training_set(spark, root, en_rows=5)
     assert {r.language: r["count"] for r in train.groupBy("language").count().collect()} == {"zh": 20, "en": 5}
-    assert train.where("text like 'sentiment140_full%'").count() == 5
+    assert train.where("text like 'sentiment140 text%'").count() == 5
     validation = corpora.load_validation_set(spark, root).groupBy("language").count().collect()
     assert {r.language: r["count"] for r in validation} == {"zh": 20, "en": 20}
     study = corpora.load_study_corpus(spark, root, max_rows=7)

@@ -84,13 +84,6 @@ def test_detection_scores_whole_long_texts(spark, monkeypatch):
     assert (profiles.score(padded) == whole).all()
 
 
-def test_profile_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(LanguageProfiles, "MAX_GRAMS", 3)
-    learn = frame(spark, ["abcdefgh"], lang="en")
-    with pytest.raises(ValueError, match="Profiles exceed"):
-        LanguageProfiles.fit(learn, "text", "lang")
-
-
 def test_corpus_round_trip_and_job(spark, tmp_path):
     rows = [
         ("hola  mundo", "es", "reddit", "general", "es", None, "a"),

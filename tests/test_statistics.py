@@ -132,7 +132,7 @@ def test_range_violations(spark):
         "sentiment_label int, sentiment_score double, confidence double",
     )
     found = {r.rule: r.violations for r in metrics.range_violations(df).collect()}
-    assert found == {"sentiment_label": 1, "sentiment_score": 1, "confidence": 1}
+    assert found == {"sentiment_label": 2, "sentiment_score": 2, "confidence": 2}
 
 
 def test_audit(spark):
