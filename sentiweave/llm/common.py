@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of its own only where it is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one of its own on a single machine."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
         found = context.getCheckpointDir()
     return found
@@ -82,6 +85,15 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it.
+
+    The optimizer writes an expression into every place that uses its column, inside of
+    lambdas too; a lambda's own variable stays as it is.
+    """
+    return F.element_at(F.transform(F.array(value), lambda bound: body(bound)), 1)
+
+
 def hash_pair(value: Column) -> Column:
     """128 bits of hash of a text as two longs: a key for whole corpora."""
     return F.struct(

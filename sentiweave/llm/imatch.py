@@ -23,22 +23,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import let, table, written
 from .ordering import Ranges
 
 #: Shares of all documents between which a term's documents must lie.
 LEAST = 1 / 10_000
 MOST = 1 / 100
 #: Subsets of each level.
-SUBSETS = 64
+SUBSETS = 32
 #: Terms (8 bytes each) up to which the lexicon is sent to all tasks.
 LEXICON_ROWS = 2_000_000
 
 
 def terms(text: Column) -> Column:
     """Hashes of the distinct words (letters and digits, in lower case) of a text, ascending."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    words = F.array_except(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(F.lit("")))
+    return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 def lexicon(docs: DataFrame, total: int, least: float = LEAST, most: float = MOST) -> DataFrame:
@@ -51,26 +51,31 @@ def lexicon(docs: DataFrame, total: int, least: float = LEAST, most: float = MOS
 
 def _dealt(found: Column, level: Column) -> Column:
     """Array of (slot, term) of the subsets of one level; slot is level * 256 + subset."""
-    parts = F.pow(F.lit(2), level).cast("long")
-    rounds = F.greatest(F.lit(1).cast("long"), F.lit(SUBSETS) / parts).cast("int")
 
-    def subset(seed: Column, term: Column) -> Column:
-        return seed * parts + F.xxhash64(seed, term).bitwiseAND(parts - 1)
+    def all_rounds(parts: Column) -> Column:
+        def slot(seed: Column, term: Column) -> Column:
+            return level * 256 + seed * parts + F.xxhash64(seed, term).bitwiseAND(parts - 1)
 
-    def one_round(seed: Column) -> Column:
-        pairs = F.transform(
-            found,
-            lambda term: F.struct((level * 256 + subset(seed, term)).alias("slot"), term.alias("term")),
-        )
-        return F.filter(pairs, lambda pair: pair["slot"] < level * 256 + SUBSETS)
+        def one_round(seed: Column) -> Column:
+            pairs = F.transform(found, lambda term: F.struct(slot(seed, term).alias("slot"), term.alias("term")))
+            return F.filter(pairs, lambda pair: pair["slot"] < level * 256 + SUBSETS)
+
+        rounds = F.greatest(F.lit(1).cast("long"), F.lit(SUBSETS) / parts).cast("int")
+        return F.flatten(F.transform(F.sequence(F.lit(0), rounds - 1), one_round))
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), rounds - 1), one_round))
+    return let(F.pow(F.lit(2), level).cast("long"), all_rounds)
 
 
 def subset_terms(found: Column) -> Column:
     """(slot, term) of the two levels of a text with these terms, before the lexicon is looked at."""
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)))).cast("int") - 1)
-    return F.concat(_dealt(found, level), _dealt(found, level + 1))
+
+    def both(found: Column, level: Column) -> Column:
+        return F.concat(*(let(x, lambda level: _dealt(found, level)) for x in (level, level + 1)))
+
+    def level(found: Column) -> Column:
+        return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)))).cast("int") - 1)
+
+    return let(found, lambda found: let(level(found), lambda level: both(found, level)))
 
 
 def _token(slot: Column, value: Column) -> Column:
@@ -78,23 +83,31 @@ def _token(slot: Column, value: Column) -> Column:
     return F.lpad(F.lower(F.hex(code)), 8, "0")
 
 
-def fingerprint_of(ordered: Column, bare: Column) -> Column:
-    """Tokens of sorted (slot, term); one token of ``bare`` (a hash of all words) if there are none."""
-    slots = F.array_distinct(F.transform(ordered, lambda p: p["slot"]))
+def fingerprint_of(entries: Column, bare: Column) -> Column:
+    """The tokens of (slot, term, known); one token of ``bare`` (a hash of all words) if there are none.
+
+    Entries that aren't known to the lexicon count if no other is there.
+    """
 
-    def token(slot: Column) -> Column:
+    def chosen(every: Column) -> Column:
+        inside = F.filter(every, lambda p: p["known"])
+        return F.sort_array(F.array_distinct(F.when(F.size(inside) > 0, inside).otherwise(every)))
+
+    def token(ordered: Column, slot: Column) -> Column:
         own = F.transform(F.filter(ordered, lambda p: p["slot"] == slot), lambda p: p["term"])
         return _token(slot, F.xxhash64(own))
 
-    tokens = F.array_join(F.transform(slots, token), " ")
+    def tokens(ordered: Column) -> Column:
+        slots = F.array_distinct(F.transform(ordered, lambda p: p["slot"]))
+        return F.array_join(F.transform(slots, lambda slot: token(ordered, slot)), " ")
+
     alone = F.concat(F.lit("ffff"), F.substring(F.lpad(F.lower(F.hex(bare)), 16, "0"), 1, 12))
-    return F.when(F.size(ordered) == 0, alone).otherwise(tokens)
+    return F.when(F.size(entries) == 0, alone).otherwise(let(entries, lambda every: let(chosen(every), tokens)))
 
 
 def likeness(one: Column, other: Column) -> Column:
     """0 to 1: of the subsets, on levels that both fingerprints have, in which either has
     terms, the share in which both have the same. Equal fingerprints have likeness 1."""
-    a, b = F.split(one, " "), F.split(other, " ")
 
     def level(token: Column) -> Column:
         return F.substring(token, 1, 2)
@@ -102,15 +115,22 @@ def likeness(one: Column, other: Column) -> Column:
     def levels(tokens: Column) -> Column:
         return F.array_distinct(F.transform(tokens, level))
 
-    both = F.array_intersect(levels(a), levels(b))
-    a, b = (F.filter(x, lambda t: F.array_contains(both, level(t))) for x in (a, b))
-
     def slots(tokens: Column) -> Column:
         return F.transform(tokens, lambda t: F.substring(t, 1, 4))
 
-    same = F.size(F.array_intersect(a, b))
-    either = F.size(F.array_union(slots(a), slots(b)))
-    return F.when(one == other, 1.0).when(either == 0, 0.0).otherwise(same / either)
+    def share(a: Column, b: Column) -> Column:
+        either = F.size(F.array_union(slots(a), slots(b)))
+        return F.when(either == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+
+    def on(both: Column, a: Column, b: Column) -> Column:
+        a, b = (F.filter(x, lambda t: F.array_contains(both, level(t))) for x in (a, b))
+        return let(a, lambda a: let(b, lambda b: share(a, b)))
+
+    def of(a: Column, b: Column) -> Column:
+        return let(F.array_intersect(levels(a), levels(b)), lambda both: on(both, a, b))
+
+    found = let(F.split(one, " "), lambda a: let(F.split(other, " "), lambda b: of(a, b)))
+    return F.when(one == other, 1.0).otherwise(found)
 
 
 def _in_lexicon(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -148,11 +168,6 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: dict[str, str], known:
     entry = F.struct("slot", "term", F.col("known").isNotNull().alias("known"))
     lists = [F.collect_list(F.when(F.col("side") == i, entry)).alias(f"_list{i}") for i in range(len(sides))]
     grouped = kept.groupBy(*names).agg(*lists)
-    for i in range(len(sides)):
-        every = F.col(f"_list{i}")
-        inside = F.filter(every, lambda p: p["known"])
-        chosen = F.when(F.size(inside) > 0, inside).otherwise(every)
-        grouped = grouped.withColumn(f"_list{i}", F.array_sort(F.array_distinct(chosen)))
     made = [
         F.when(F.col(bare[i]).isNotNull(), fingerprint_of(F.col(f"_list{i}"), F.col(bare[i]))).alias(side)
         for i, side in enumerate(sides)

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import let, table, written
 from .ordering import with_positions
 
 ARITY = 8
@@ -47,9 +47,12 @@ def _above(size: Column) -> Column:
 
 def _parents(nodes: Column, size: Column) -> Column:
     """The level above ``nodes``, aligned nodes of a level that has ``size`` in all; a single one stays."""
-    runs = F.sequence(F.lit(0), F.ceil(F.size(nodes) / ARITY).cast("int") - 1)
-    made = F.transform(runs, lambda i: digest(F.array_join(F.slice(nodes, i * ARITY + 1, F.lit(ARITY)), "")))
-    return F.when(size > 1, made).otherwise(nodes)
+
+    def made(nodes: Column) -> Column:
+        runs = F.sequence(F.lit(0), F.ceil(F.size(nodes) / ARITY).cast("int") - 1)
+        return F.transform(runs, lambda i: digest(F.array_join(F.slice(nodes, i * ARITY + 1, F.lit(ARITY)), "")))
+
+    return F.when(size > 1, let(nodes, made)).otherwise(nodes)
 
 
 def _subtrees(nodes: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .common import let
+
 #: Keys that are sampled for each range.
 KEYS_A_RANGE = 16
 #: Ranges for each shuffle partition, and the rows that a range has at least, on average.
@@ -64,13 +66,17 @@ class Ranges:
         """The number of a row's range (int, from 0)."""
         if not self.cuts:
             return F.lit(0)
-        key = F.struct(*self.names)
         width = max(1, math.isqrt(len(self.cuts)))
         coarse = F.expr(f"array({', '.join(self.cuts[width - 1 :: width])})")
         fine = F.expr(f"array({', '.join(self.cuts)})")
-        block = F.size(F.filter(coarse, lambda cut: cut <= key))
-        inside = F.slice(fine, block * width + 1, F.lit(width))
-        return block * width + F.size(F.filter(inside, lambda cut: cut <= key))
+
+        def upto(cuts: Column, key: Column) -> Column:
+            return F.size(F.filter(cuts, lambda cut: cut <= key))
+
+        def found(key: Column, before: Column) -> Column:
+            return before + upto(F.slice(fine, before + 1, F.lit(width)), key)
+
+        return let(F.struct(*self.names), lambda key: let(upto(coarse, key) * width, lambda before: found(key, before)))
 
 
 def with_positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:

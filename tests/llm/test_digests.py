@@ -55,11 +55,11 @@ def brute_fingerprint(text, known):
     pairs = set()
     for lv in (level, level + 1):
         parts = 2**lv
-        for seed in range(max(1, 64 // parts)):
+        for seed in range(max(1, imatch.SUBSETS // parts)):
             start = xx(seed.to_bytes(4, "little"))
             for t in found:
                 slot = seed * parts + (long_hash(t, start) & (parts - 1))
-                if slot < 64:
+                if slot < imatch.SUBSETS:
                     pairs.add((lv * 256 + slot, t))
     inside = {p for p in pairs if p[1] in known} or pairs
     tokens = []
