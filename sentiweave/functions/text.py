@@ -101,12 +101,14 @@ class Tokenizer:
     """Pluggable tokenizer: two Column functions plus the special tokens it would add.
 
     ``split`` and ``join`` may be built-in expressions (the default) or Arrow-batched
-    ``pandas_udf`` objects wrapping a subword model.
+    functions (:class:`sentiweave.operators.subwords.Subwords`). ``count``, if given, counts
+    the tokens without making an array of them.
     """
 
     split: Callable[[Column], Column]
     join: Callable[[Column], Column]
     special_tokens: int = 0
+    count: Callable[[Column], Column] | None = None
 
 
 def words(text: Column) -> Column:
@@ -115,7 +117,7 @@ def words(text: Column) -> Column:
     return F.when(is_blank(text), F.array().cast("array<string>")).otherwise(parts)
 
 
-WORDS = Tokenizer(split=words, join=lambda tokens: F.array_join(tokens, " "))
+WORDS = Tokenizer(split=words, join=lambda tokens: F.array_join(tokens, " "), count=word_count)
 
 
 def truncate_tokens(
@@ -126,7 +128,7 @@ def truncate_tokens(
 
 
 def token_count(text: Column, tokenizer: Tokenizer = WORDS) -> Column:
-    """Token count with special tokens; the default tokenizer counts without an array."""
+    """Token count with special tokens."""
     filled = F.coalesce(text, F.lit(""))
-    size = word_count(filled) if tokenizer is WORDS else F.size(tokenizer.split(filled))
+    size = tokenizer.count(filled) if tokenizer.count else F.size(tokenizer.split(filled))
     return size + F.lit(tokenizer.special_tokens)

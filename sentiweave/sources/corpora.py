@@ -18,31 +18,37 @@ from sentiweave.sources.registry import (
     SEED,
     CorpusSpec,
     read_corpus,
+    read_corpus_slice,
     split_slice,
     take_slice,
     validation_specs,
 )
+from sentiweave.sources.snapshots import SnapshotTable, is_snapshot
 
 
 def load_corpus_table(spark: SparkSession, path: str) -> DataFrame:
     """Read a corpus; a filter on ``lang`` prunes partitions."""
+    parent, _, last = path.rstrip("/").rpartition("/")
+    if last.startswith("lang=") and is_snapshot(spark, parent):
+        return as_corpus(SnapshotTable(spark, parent).read()).where(F.col("lang") == last.removeprefix("lang="))
+    if is_snapshot(spark, path):
+        return as_corpus(SnapshotTable(spark, path).read())
     return as_corpus(spark.read.schema(CORPUS_SCHEMA).parquet(path))
 
 
 def save_corpus_table(df: DataFrame, path: str) -> str:
-    """Write a corpus table, one partition per language.
+    """Write a corpus table, one partition per language, in one step.
 
     Languages present in ``df`` are replaced; others already in the table stay.
     """
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("lang").parquet(path)
+    SnapshotTable(df.sparkSession, path).replace_partitions(as_corpus(df), "lang")
     return path
 
 
 def save_language(df: DataFrame, path: str, language: str) -> str:
-    """Write the rows of one language as its partition; no rows empty the partition."""
-    rows = df.where(F.col("lang") == language).drop("lang")
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/lang={language}")
+    """Put the rows of one language in the place of those that were there; no rows empty it."""
+    table = SnapshotTable(df.sparkSession, path)
+    table.replace(as_corpus(df).where(F.col("lang") == language), f"lang={language}")
     return path
 
 
@@ -65,18 +71,19 @@ def processed_corpus_path(root: str, language: str) -> str:
 
 
 def save_predictions(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").parquet(path)
+    """Put ``df`` in the place of the predictions at ``path``; see :func:`read_table`."""
+    SnapshotTable(df.sparkSession, path).overwrite(df)
     return path
 
 
 def append_metrics(metrics: DataFrame, path: str, run: str, scope: str) -> str:
-    """Append ``(metric, value)`` rows to the metrics table under a run and scope."""
-    rows = metrics.select(
-        F.lit(run).alias("run"), F.lit(scope).alias("scope"), "metric", "value"
-    )
-    rows.select(
-        *(F.col(f.name).cast(f.dataType) for f in METRICS_SCHEMA)
-    ).write.mode("append").parquet(path)
+    """Add ``(metric, value)`` rows to the metrics table under a run and scope.
+
+    A repeated run replaces its own rows.
+    """
+    rows = metrics.select(F.lit(run).alias("run"), F.lit(scope).alias("scope"), "metric", "value")
+    typed = rows.select(*(F.col(f.name).cast(f.dataType) for f in METRICS_SCHEMA))
+    SnapshotTable(metrics.sparkSession, path).replace(typed, f"run={run}/scope={scope}")
     return path
 
 
@@ -117,7 +124,7 @@ def training_set(
     en: tuple[DataFrame, str, str],
     id_column: str,
     *,
-    en_rows: int = EN_TRAINING_ROWS,
+    en_rows: int | None = EN_TRAINING_ROWS,
     zh_rows: int | None = None,
     seed: int = SEED,
 ) -> DataFrame:
@@ -185,15 +192,16 @@ def load_training_set(
 ) -> DataFrame:
     """The mixed training set from the registry's training corpora below ``root``."""
     zh, en = (_one(specs, "train", language) for language in ("zh", "en"))
-    frames = {s.language: take_slice(read_corpus(spark, root, s), s.split, s.id_column) for s in (zh, en)}
+    caps = {"zh": zh_rows, "en": en_rows}
+    slices = {s.language: s.split if caps[s.language] is None else f"{s.split}[:{caps[s.language]}]" for s in (zh, en)}
+    frames = {s.language: read_corpus_slice(spark, root, s, slices[s.language]) for s in (zh, en)}
     if zh.id_column != en.id_column:
         frames["en"] = frames["en"].withColumnRenamed(en.id_column, zh.id_column)
     return training_set(
         (frames["zh"], zh.text_column, zh.label_column),
         (frames["en"], en.text_column, en.label_column),
         zh.id_column,
-        en_rows=en_rows,
-        zh_rows=zh_rows,
+        en_rows=None,  # the slices are cut already
         seed=seed,
     )
 
@@ -214,5 +222,5 @@ def load_study_corpus(
 ) -> DataFrame:
     """The Chinese study corpus from the registry's Chinese training corpus."""
     spec = _one(specs, "train", "zh")
-    rows = take_slice(read_corpus(spark, root, spec), split_slice(spec, max_rows), spec.id_column)
+    rows = read_corpus_slice(spark, root, spec, split_slice(spec, max_rows))
     return study_corpus(rows, spec.text_column, community=spec.name, id_column=spec.id_column)

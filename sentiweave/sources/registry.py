@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from sentiweave.operators.sampling import first_n, seeded_cap
 from sentiweave.schema import require_columns
+from sentiweave.sources.splits import parse_slice, read_slice
 
 # Seeds and row caps.
 SEED = 42
@@ -111,12 +111,9 @@ def split_slice(spec: CorpusSpec, max_rows: int | None = None) -> str:
 
 def take_slice(df: DataFrame, slice_: str, id_column: str) -> DataFrame:
     """Rows of a ``split`` or ``split[:N]`` slice; N counts rows in id order."""
-    match = re.fullmatch(r"(\w+)(?:\[:(\d+)\])?", slice_)
-    if match is None:
-        raise ValueError(f"Unsupported split slice: {slice_!r}")
-    name, cap = match.groups()
+    name, cap = parse_slice(slice_)
     rows = df.where(F.col("split") == name) if "split" in df.columns else df
-    return rows if cap is None else first_n(rows, int(cap), id_column)
+    return rows if cap is None else first_n(rows, cap, id_column)
 
 
 def corpus_path(root: str, spec: CorpusSpec) -> str:
@@ -130,11 +127,19 @@ def read_corpus(spark: SparkSession, root: str, spec: CorpusSpec) -> DataFrame:
     return require_columns(df, [spec.text_column, spec.label_column, spec.id_column])
 
 
+def read_corpus_slice(spark: SparkSession, root: str, spec: CorpusSpec, slice_: str) -> DataFrame:
+    """A slice of the spec's table; of a Parquet table a head opens the files alone that hold it."""
+    if spec.format != "parquet":
+        return take_slice(read_corpus(spark, root, spec), slice_, spec.id_column)
+    df = read_slice(spark, corpus_path(root, spec), slice_, spec.id_column)
+    return require_columns(df, [spec.text_column, spec.label_column, spec.id_column])
+
+
 def load_corpus(
     spark: SparkSession, root: str, spec: CorpusSpec, max_rows: int | None = None
 ) -> DataFrame:
     """One labelled corpus: the full slice, or a seeded sample if ``max_rows`` asks for one."""
-    df = read_corpus(spark, root, spec)
     if max_rows is None:
-        return take_slice(df, split_slice(spec), spec.id_column)
+        return read_corpus_slice(spark, root, spec, split_slice(spec))
+    df = read_corpus(spark, root, spec)
     return seeded_cap(take_slice(df, spec.split, spec.id_column), max_rows, spec.id_column, SEED)

@@ -7,6 +7,7 @@ from sentiweave.plans import report, scoring, studies, training
 from sentiweave.plans.collect import collect_job
 from sentiweave.plans.prepare import preprocess_job
 from sentiweave.schema import CORPUS_SCHEMA
+from sentiweave.sources.snapshots import read_table
 from sentiweave.sources.corpora import (
     load_corpus_table,
     processed_table,
@@ -32,7 +33,7 @@ def labelled(spark):
 def test_train_score_evaluate(spark, labelled, tmp_path):
     best = training.train_job(labelled, labelled, str(tmp_path), "smoke", OPTIONS, "id")
     model = PipelineModel.load(best)
-    logged = spark.read.parquet(f"{tmp_path}/metrics")
+    logged = read_table(spark, f"{tmp_path}/metrics")
     values = {r.metric: r.value for r in logged.collect()}
     assert values["train_rows"] == 80.0
     assert values["val_zh_eval_f1"] == 1.0 and values["val_en_eval_accuracy"] == 1.0
@@ -76,7 +77,7 @@ def test_predict_job(spark, tmp_path):
     path = save_corpus_table(spark.createDataFrame([row], CORPUS_SCHEMA), str(tmp_path / "in"))
     scorer = lambda df: df.withColumn("probabilities", F.array(F.lit(0.2), F.lit(0.8)))
     out = scoring.predict_job(spark, path, str(tmp_path / "out"), scorer)
-    assert spark.read.parquet(out).first().sentiment_label == 1
+    assert read_table(spark, out).first().sentiment_label == 1
     empty = save_corpus_table(
         spark.createDataFrame([row], CORPUS_SCHEMA).where("lang = 'xx'"), str(tmp_path / "none")
     )
@@ -106,7 +107,7 @@ def test_collect_prepare_train_score(spark, labelled, tmp_path):
     assert load_corpus_table(spark, clean).count() == 30
     best = training.train_job(labelled, labelled, f"{root}/model", "run", OPTIONS, "id")
     scorer = scoring.model_scorer(PipelineModel.load(best))
-    out = spark.read.parquet(scoring.predict_job(spark, clean, f"{root}/predictions", scorer))
+    out = read_table(spark, scoring.predict_job(spark, clean, f"{root}/predictions", scorer))
     assert out.count() == 30
     wrong = (F.col("sentiment_label") == 1) != F.col("text").contains("lovely")
     assert out.where(wrong).count() == 0
