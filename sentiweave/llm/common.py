@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sentiweave.session import shared_folder
+
 #: Rows that a Python step holds as objects at a time; bounds memory for long texts.
 ROWS_AT_A_TIME = 256
 
@@ -21,18 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one of its own on a single machine."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="checkpoints-"))
-        found = context.getCheckpointDir()
-    return found
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of ``df`` written to the shared folder and read from there from now on."""
     folder = shared_folder(df.sparkSession)

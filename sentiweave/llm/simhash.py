@@ -65,16 +65,16 @@ def majority_bits(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, signed: str = "fingerprint") -> DataFrame:
-    """doc_id and the fingerprint as a signed long of every row; null texts have no words."""
+def fingerprints(docs: DataFrame, words: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` and the fingerprint as a signed long of every row; null texts have no words."""
+    schema = plus(docs.select(*keep).schema, "fingerprint long")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(1).to_pylist()
-        made = np.array([majority_bits(shingle_hashes(t or "", words)) for t in texts], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(made.view(np.int64))], ["doc_id", signed])
+        *kept, texts = batch.columns
+        made = np.array([majority_bits(shingle_hashes(t or "", words)) for t in texts.to_pylist()], np.uint64)
+        return pa.RecordBatch.from_arrays([*kept, pa.array(made.view(np.int64))], schema.names)
 
-    schema = plus(docs.select("doc_id").schema, f"{signed} long")
-    return arrow_map(docs.select("doc_id", "text"), schema, rows)
+    return arrow_map(docs.select(*keep, "text"), schema, rows)
 
 
 def distance(points: np.ndarray, point: np.uint64) -> np.ndarray:
@@ -250,6 +250,12 @@ def near_links(prints: DataFrame, total: int, bits: int = BITS, sample: int = SA
     )
 
 
+def group_roots(distinct: DataFrame, bits: int = BITS) -> DataFrame:
+    """``distinct`` (a row for each fingerprint) with ``root``, the same for all that links reach."""
+    found = components(near_links(distinct, distinct.count(), bits)).withColumnRenamed("node", "fingerprint")
+    return distinct.join(found, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (signed long) and component_id of every row of ``docs``.
 
@@ -258,11 +264,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFr
     others; a null doc_id is never a component_id unless a component has no other.
     """
     prints = cut_lineage(fingerprints(docs, words))
-    distinct = cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
-    found = components(near_links(distinct, distinct.count(), bits))
-    groups = distinct.join(found.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
-        "fingerprint", F.coalesce("root", "fingerprint").alias("root"), "low"
-    )
+    groups = group_roots(cut_lineage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("low"))), bits)
     smallest = groups.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = groups.join(smallest, "root").select("fingerprint", "component_id")
     return prints.join(ids, "fingerprint").select("doc_id", "fingerprint", "component_id")
@@ -272,16 +274,30 @@ def hex_digits(fingerprint: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint)), 16, "0")
 
 
-def one_of_each_group(docs: DataFrame, words: int = WORDS, bits: int = 3) -> DataFrame:
-    """The rows whose doc_id is the smallest of its group of near-duplicates.
+def one_of_each_group(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """One row of each group of near-duplicates: that with the smallest doc_id, all columns as they are.
 
-    Of rows that repeat a doc_id all stay or all go; rows without doc_id go when their
-    group has a row with one.
+    Null ids come last; of rows that repeat an id the one with the smallest hash of the row
+    stays, and of rows that are equal altogether one. Columns may have any names.
     """
-    keepers = near_groups(docs.select("doc_id", "text"), words, bits).where(
-        F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ).select(F.col("doc_id").alias("_keeper")).distinct()
-    return docs.join(keepers, docs["doc_id"].eqNullSafe(keepers["_keeper"]), "left_semi")
+    quoted = {c: F.col("`{}`".format(c.replace("`", "``"))) for c in docs.columns}
+    hashable = [c for c in quoted if "map<" not in docs.select(quoted[c]).schema[0].dataType.simpleString()]
+    # Inner names can't clash with the frame's own: its columns travel in one struct.
+    packed = docs.select(
+        F.struct(*quoted.values()).alias("row"),
+        quoted["doc_id"].alias("doc_id"),
+        quoted["text"].alias("text"),
+        F.xxhash64(*(quoted[c] for c in hashable)).alias("h1"),
+        F.xxhash64(F.lit("second"), *(quoted[c] for c in hashable)).alias("h2"),
+    )
+    prints = cut_lineage(fingerprints(packed, words, ("doc_id", "h1", "h2")))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")
+    lowest = cut_lineage(prints.groupBy("fingerprint").agg(F.min(key).alias("low")))
+    keepers = group_roots(lowest, bits).groupBy("root").agg(F.min("low").alias("low")).select("low.h1", "low.h2")
+    kept = packed.join(keepers, ["h1", "h2"], "left_semi")
+    if not prints.groupBy("h1", "h2").count().where("count > 1").limit(1).isEmpty():
+        kept = kept.dropDuplicates(["h1", "h2"])
+    return kept.select("row.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

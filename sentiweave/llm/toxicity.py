@@ -1,8 +1,8 @@
 """Toxicity of texts: boosted trees over dense features, calibrated by isotonic regression.
 
-Labelled rows are split by a hash of their id into three parts: one yields the lexicon,
-one the trees, one the calibration, so that neither later step sees rows that the former
-has learned by heart. A text's features are computed in one pass over it and don't depend
+Labelled rows are dealt in the order of a hash of their id, class by class, to three parts:
+one yields the lexicon, one the trees, one the calibration, so that neither later step sees
+rows that the former has learned by heart. A text's features are computed in one pass over it and don't depend
 on any other column.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import ROWS_AT_A_TIME, arrow_map, cut_lineage, plus, share, table
@@ -29,12 +29,15 @@ FIT_ROWS = 20_000
 LEXICON_UNITS = 5_000
 #: Lexicon units: whole words, and their starts of these lengths (for inflected words).
 STARTS = (4, 5, 6, 7)
-MIN_TOXIC_TEXTS = 6
+#: A unit is in at least this share of the part's toxic texts, and in two of them.
+MIN_TOXIC_SHARE = 0.03
 MIN_LOG_ODDS = 1.5
 PROXIMITY_WORDS = 5
 #: Units that a task counts before it hands the counts on.
 COUNTED_UNITS = 100_000
 REMEMBERED_WORDS = 100_000
+#: Parts that every eight rows of a class go to; the first two rows give a model already.
+PARTS = ("trees", "calibration", "lexicon", "trees", "lexicon", "trees", "lexicon", "lexicon")
 #: Share of the trees' probability in a score; the rest is the calibrated value.
 OWN_SHARE = 0.02
 
@@ -178,7 +181,7 @@ def learn_lexicon(texts: DataFrame, rows: int = LEXICON_UNITS) -> dict[str, floa
         distinct.mapInArrow(count, "unit string, toxic long, other long")
         .groupBy("unit")
         .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        .where(F.col("toxic") >= MIN_TOXIC_TEXTS)
+        .where(F.col("toxic") >= max(2, math.ceil(MIN_TOXIC_SHARE * total.get(1, 0))))
         .select("unit", "toxic", odds.alias("odds"))
         .where(F.col("odds") >= MIN_LOG_ODDS)
         .orderBy(F.desc(F.col("odds") * F.log("toxic")), "unit")
@@ -201,8 +204,8 @@ class ToxicityModel:
         """Fit on at most ``rows`` labelled documents, chosen by a hash of their id.
 
         docs: doc_id, text. labels: doc_id, toxic (0/1; null: not labelled). Of repeated
-        labels of a document the largest counts. With fewer than two classes in a fold the
-        score is the share of toxic rows, 0 without any label.
+        labels of a document the largest counts. With fewer than two documents of a class no
+        model can be fitted: the score is the share of toxic rows, 0 without any label.
         """
         spark = docs.sparkSession
         chosen = (
@@ -214,23 +217,23 @@ class ToxicityModel:
         )
         # At most ``rows`` rows of two numbers.
         sample = cut_lineage(
-            docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-            .join(F.broadcast(chosen), "doc_id")
-            .select("text", "toxic", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(8)).alias("fold"))
+            docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
         )
-        part = F.expr("case when fold < 4 then 'lexicon' when fold < 7 then 'trees' else 'calibration' end")
-        counts = {
-            (r["part"], r["toxic"]): r["n"]
-            for r in sample.groupBy(part.alias("part"), "toxic").agg(F.count("*").alias("n")).collect()
-        }
+        rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64(F.lit("part"), "doc_id"), "doc_id"))
+        turns = F.array(*map(F.lit, PARTS))
+        dealt = sample.select("doc_id", "toxic").distinct().select(
+            "doc_id", F.get(turns, F.pmod(rank - 1, F.lit(len(PARTS)))).alias("part")
+        )
+        sample = cut_lineage(sample.join(F.broadcast(dealt), "doc_id").select("text", "toxic", "part"))
+        counts = {(r["part"], r["toxic"]): r["n"] for r in sample.groupBy("part", "toxic").agg(F.count("*").alias("n")).collect()}
         total = sum(counts.values())
         share = sum(n for (_, y), n in counts.items() if y) / total if total else 0.0
         if not all(counts.get((f, y)) for f in ("trees", "calibration") for y in (0, 1)):
             return cls({}, None, None, share)
-        lexicon = learn_lexicon(sample.where(part == "lexicon"))
+        lexicon = learn_lexicon(sample.where("part = 'lexicon'"))
         dense = cut_lineage(
-            with_features(sample.where(part != "lexicon"), "text", lexicon, "features").select(
-                part.alias("part"), "toxic", "features"
+            with_features(sample.where("part <> 'lexicon'"), "text", lexicon, "features").select(
+                "part", "toxic", "features"
             ).coalesce(max(1, spark.sparkContext.defaultParallelism // 2))
         )
         rows_ = dense.select("part", "toxic", array_to_vector("features").alias("features"))
@@ -290,12 +293,16 @@ def toxicity_table(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that score below the threshold, all columns as they are."""
+    """The documents that score below the threshold, all columns as they are; all documents
+    if the labels don't suffice for a model."""
+    model = fit_without_held_out(docs, labels)
+    if model.trees is None:
+        return docs
     names = docs.columns
     score = "score"
     while score in names:
         score += "_"
-    scored = fit_without_held_out(docs, labels).score(docs, "text", score)
+    scored = model.score(docs, "text", score)
     return scored.where(F.col(f"`{score}`") < threshold).select(*(F.col(f"`{c}`") for c in names))
 
 

@@ -289,4 +289,4 @@ def test_nothing_else_imports_the_package():
     for path in [*root.glob("sentiweave/**/*.py"), root / "bench.py"]:
         if "llm" not in path.parts:
             assert "sentiweave.llm" not in path.read_text(), path
-    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))

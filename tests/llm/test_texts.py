@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sentiweave.llm import bpe, decontaminate, lines, minhash, simhash, suffixes, toxicity
+from sentiweave.llm import bpe, decontaminate, lines, simhash, suffixes, toxicity
 
 ODD = [
     None, "", " ", "\n\n  \t", "a", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "it's I'LL we've'd",
@@ -139,34 +140,17 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 5, 6]
 
 
-def test_near_copies_by_shingle_sets(spark):
-    """Scattered edits: all pairs at a Jaccard similarity of 0.8 or more end in one group, and no others."""
-    rng = random.Random(12)
-    words = ["w%d" % i for i in range(3_000)]
-    texts, pairs = [], []
-    for i in range(240):
-        text = [rng.choice(words) for _ in range(300)]
-        copy = list(text)
-        for at in rng.sample(range(300), 1 + i % 14):
-            copy[at] = rng.choice(words)
-        pairs.append((len(texts), len(texts) + 1))
-        texts += [" ".join(text), " ".join(copy)]
-    hot = [rng.choice(words) for _ in range(300)]
-    for _ in range(60):  # edits of one text; many pairs of them are below the threshold
-        copy = list(hot)
-        for at in rng.sample(range(300), 5):
-            copy[at] = rng.choice(words)
-        texts.append(" ".join(copy))
-    texts += ["", None, " ", "one two", "One  TWO", "one three"]
-    docs = frame(spark, texts)
-    sets = [frozenset(minhash.shingle_set(t).tolist()) for t in texts]
-    likeness = lambda a, b: len(sets[a] & sets[b]) / (len(sets[a] | sets[b]) or 1) if sets[a] or sets[b] else 1
-    roots = closure(list(range(len(texts))), lambda a, b: likeness(a, b) >= 0.8)
-    kept = {r["doc_id"] for r in minhash.one_of_each_group(docs).collect()}
-    assert kept == set(roots.values())
-    # Fingerprints miss most of these, at every similarity.
-    assert sum(likeness(a, b) >= 0.8 for a, b in pairs) > 100
-    assert minhash.one_of_each_group(docs.limit(0)).count() == 0
+def test_simhash_keeps_one_row_of_repeated_ids(spark):
+    rows = [(1, "a b c d", 1), (1, "a b c d", 1), (1, "a b c d", 2), (None, "a b c d", 3), (None, "x y z w", 4)]
+    rows += [(None, "x y z w", 4), (2, "p q r s", 5), (2, "p q r s t u v", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int").withColumns(
+        {"a.b": F.col("other"), "`": F.lit(1), "h1": F.lit("x"), "row": F.lit(None).cast("map<int,int>")}
+    )
+    kept = simhash.one_of_each_group(docs)
+    assert kept.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    assert sorted(got, key=str) == sorted([(1, "a b c d"), (2, "p q r s"), (2, "p q r s t u v"), (None, "x y z w")], key=str)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, simhash.one_of_each_group(docs.repartition(7)).collect()))
 
 
 def brute_repeats(texts, length):
@@ -308,6 +292,19 @@ def test_toxicity_features():
     assert not any(toxicity.text_features("", weights))
 
 
+def test_toxicity_of_few_labels(spark):
+    """Parts have both classes whenever two documents of each are there; without a model nothing is dropped."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = frame(spark, ["bad vilexo word" if i % 2 else "a good word" for i in range(400)])
+    few = [(i, int(k > 0)) for k, i in enumerate(ids[:8])]
+    labels = spark.createDataFrame(few, "doc_id long, toxic int")
+    model = toxicity.fit_without_held_out(docs, labels)
+    assert model.trees is None
+    assert toxicity.without_toxic(docs, labels).count() == 400
+    even = spark.createDataFrame([(i, i % 2) for i in ids[:5]] + [(9_999, 1)], "doc_id long, toxic int")
+    assert toxicity.fit_without_held_out(docs, even).trees is not None
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     clean = ["tree", "house", "river", "stone", "cloud", "garden", "window", "paper"]
