@@ -14,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sentiweave.llm import bpe, decontaminate, lines, minhash, toxicity
+from sentiweave.llm import bpe, decontaminate, lines, simhash, toxicity
 from sentiweave.llm.common import shared_folder, table
 
 
@@ -29,8 +29,8 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word shingle sets of Jaccard similarity 0.8 or more, the smallest doc_id stays."""
-    return minhash.one_of_each_group(docs)
+    """Of texts linked by fingerprints of three-word shingles at most two bits apart, the smallest doc_id stays."""
+    return simhash.one_of_each_group(docs, words=3, bits=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
