@@ -1,10 +1,11 @@
 """WARC records inside of ZIP packages: writing, and reading by ranges without extraction.
 
-A package is a ZIP file with two stored (not deflated) members: ``archive/data.warc.gz``,
-whose records are gzip members of their own, and ``indexes/index.cdxj``, one line with page,
-offset and length for each record. Because the members are stored, a byte of a member is a
-byte of the file: the reader fetches the end of a file, walks the central directory (the
-ZIP64 one, too), finds the members' places and then fetches ranges of records.
+A package is a ZIP file with stored (not deflated) members: archives below ``archive/``,
+whose records are gzip members of their own, and indexes below ``indexes/``, one line with
+archive, offset and length for each record. The writer here makes one of each; the reader
+takes as many as the directory lists, under whatever names. Because the members are stored, a
+byte of a member is a byte of the file: the reader fetches the end of a file, walks the central
+directory (the ZIP64 one, too), finds the members' places and then fetches ranges of records.
 
 Files are opened through Arrow's file systems by the URI of the shared folder, so the tasks
 of any executor reach them.
@@ -36,7 +37,8 @@ PACKAGE_BYTES = 16 << 20
 #: Neighbouring records are fetched together up to so many bytes.
 FETCH_BYTES = 2 << 20
 
-DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
+ARCHIVES, INDEXES = "archive/", "indexes/"
+DATA, INDEX = f"{ARCHIVES}data.warc.gz", f"{INDEXES}index.cdxj"
 _TOO_LARGE_16, _TOO_LARGE_32 = 0xFFFF, 0xFFFFFFFF
 
 
@@ -257,7 +259,8 @@ def write_packages(pages: DataFrame, folder: str, package_bytes: int = PACKAGE_B
                     digest = hashlib.sha256(payload).hexdigest()
                     raw = warc_record(row["page_id"], row["url"], payload, digest, row["refers_to"])
                     record = gzip.compress(raw, 1, mtime=0)
-                    lines.append(json.dumps({"page": row["page_id"], "offset": at, "length": len(record)}))
+                    place = {"filename": DATA.removeprefix(ARCHIVES), "offset": at, "length": len(record)}
+                    lines.append(json.dumps({"page": row["page_id"]} | place))
                     records.append(record)
                     at += len(record)
                     if at >= package_bytes:
@@ -304,20 +307,47 @@ def read_packages(packages: DataFrame, payload: bool = True) -> DataFrame:
     return packages.select("uri").repartition(count, "uri").mapInArrow(run, READ_SCHEMA)
 
 
+def record_places(file: RangeReader) -> dict[str, list[tuple[int, int]]]:
+    """Offset and length of every record of each archive member, as the indexes list them.
+
+    A line of an index is JSON, alone or (as in CDXJ) behind a key and a time; it names its
+    archive, unless there is only one. An archive without lines, or lines without their
+    archive, are an error: some records would be left out.
+    """
+    members = central_directory(file)
+    places: dict[str, list[tuple[int, int]]] = {
+        name: [] for name in members if name.startswith(ARCHIVES) and name != ARCHIVES
+    }
+    for name, member in members.items():
+        if not name.startswith(INDEXES) or name == INDEXES:
+            continue
+        for line in file.get(stored_start(file, member), member.size).decode().split("\n"):
+            if "{" not in line:
+                continue
+            entry = json.loads(line[line.index("{") :])
+            only = next(iter(places)).removeprefix(ARCHIVES) if len(places) == 1 else None
+            archive = ARCHIVES + str(entry.get("filename", only))
+            if archive not in places:
+                raise ValueError(f"{name} lists records of {archive}, which isn't there")
+            places[archive].append((int(entry["offset"]), int(entry["length"])))
+    if without := [name for name, own in places.items() if not own and members[name].size]:
+        raise ValueError(f"no index lists the records of {', '.join(without)}")
+    return {name: sorted(set(own)) for name, own in places.items()}
+
+
 def _records(file: RangeReader) -> Iterator[list[dict]]:
     members = central_directory(file)
-    start = stored_start(file, members[DATA])
-    lines = file.get(stored_start(file, members[INDEX]), members[INDEX].size).decode().split("\n")
-    places = [(x["offset"], x["length"]) for x in map(json.loads, filter(None, lines))]
-    group: list[tuple[int, int]] = []
-    for offset, length in [*places, (None, 0)]:
-        joins = group and offset == group[-1][0] + group[-1][1]
-        if group and not (joins and offset + length - group[0][0] <= FETCH_BYTES and len(group) < ROWS_AT_A_TIME):
-            first = group[0][0]
-            data = file.get(start + first, sum(n for _, n in group))
-            yield [parse_record(gzip.decompress(data[o - first : o - first + n])) for o, n in group]
-            group = []
-        group.append((offset, length))
+    for name, places in record_places(file).items():
+        start = stored_start(file, members[name])
+        group: list[tuple[int, int]] = []
+        for offset, length in [*places, (None, 0)]:
+            joins = group and offset == group[-1][0] + group[-1][1]
+            if group and not (joins and offset + length - group[0][0] <= FETCH_BYTES and len(group) < ROWS_AT_A_TIME):
+                first = group[0][0]
+                data = file.get(start + first, sum(n for _, n in group))
+                yield [parse_record(gzip.decompress(data[o - first : o - first + n])) for o, n in group]
+                group = []
+            group.append((offset, length))
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
