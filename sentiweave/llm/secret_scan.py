@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, and a random forest that removes false findings.
 
-Candidates are long runs of key characters with a digit, and whatever of six characters or
-more is assigned to a secret word. The forest sees how a candidate
+Candidates are long runs of key characters that a digit, a key's usual beginning or changes of
+case set apart from a word, blocks of private keys, names and passwords in addresses, and
+whatever of six characters or more is assigned to a secret word. The forest sees how a candidate
 looks (length, kinds of characters and the transitions between them, what a dictionary
 covers, whether it is a path) and which words stand before and behind it. It is trained
 from labelled findings, a table that the caller may give; the default one is made here
@@ -60,11 +61,19 @@ ASSIGNED = (
     r"(?<=[=:>]\s{0,3}[\"'`]?)(?<=(?i:" + SECRET_WORDS + r")[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,3}(?::=|=>|[=:]{1,2})\s{0,3}[\"'`]?)"
     r"(?![=:>]|(?i:bearer|basic)\s)[^\s\"'`]{5,}[^\s\"'`,;.)\]}>]"
 )
-#: Such a value, or a run of key characters that no other joins, with a digit among its first
-#: 64 or all in capitals at its start.
-CANDIDATE = (
-    ASSIGNED + r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9]|[A-Z+/_-]{16})[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_-]))?"
+#: How the keys of well-known services begin.
+KEY_STARTS = "AKIA|ASIA|AIza|gh[pousr]_|xox[abp]-|[sprS]k[-_]|eyJ|glpat-|npm_"
+#: A block of a private key, to its end line if it has one.
+KEY_BLOCK = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.]*+(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
+#: A name and a password before the host of an address.
+USER_INFO = r"(?<=://)[^\s/:@\"']{1,64}:[^\s/@\"']{3,128}(?=@)"
+#: A run of key characters that no other joins: with a digit, all in capitals at its start, with
+#: a key's beginning, or with two changes from small letters to capitals.
+KEY_RUN = (
+    r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|[A-Z+/_-]{16}|(?:" + KEY_STARTS + r")|[A-Z]*+[a-z]*+[A-Z]++[a-z]++[A-Z])"
+    r"[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_-]))?"
 )
+CANDIDATE = f"{KEY_BLOCK}|{USER_INFO}|{ASSIGNED}|{KEY_RUN}"
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -91,7 +100,8 @@ def features() -> dict[str, Column]:
         "vowel_changes": _count(low, "(?<=[aeiou])(?=[b-df-hj-np-tv-z])|(?<=[b-df-hj-np-tv-z])(?=[aeiou])") / size,
         "same_pairs": _count(c, r"(.)(?=\1)") / size,
         "dictionary": covered / size,
-        "key_prefix": c.rlike("^(AKIA|ASIA|AIza|gh[pousr]_|xox[abp]-|sk[-_]|pk[-_]|rk[-_]|eyJ|glpat-|npm_)").cast("double"),
+        "key_prefix": c.rlike(f"^({KEY_STARTS}|-----BEGIN)").cast("double"),
+        "user_info": (before.endswith("://") & behind.startswith("@")).cast("double"),
         "uuid": c.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$").cast("double"),
         "path": _count(c, "/"),
         "in_path": (before.rlike(r"[/\\.]$") | behind.rlike(r"^[/\\.]")).cast("double"),
@@ -136,6 +146,8 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
     words = F.array(*map(F.lit, DICTIONARY))
     word = lambda n: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(n)), F.lit(len(DICTIONARY))) + 1).cast("int"))
     size = 16 + F.pmod(F.xxhash64("id"), F.lit(25)).cast("int")
+    capital = lambda n: F.initcap(word(n))
+    letters = F.translate(base, "0123456789-_", "xKqZvBwTjRgH")
     short = 6 + F.pmod(F.xxhash64("id"), F.lit(10)).cast("int")
     either = 8 + F.pmod(F.xxhash64("id"), F.lit(25)).cast("int")
     # kind, secret, text before, candidate, text behind
@@ -173,6 +185,15 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
         ("assigned_name", 0, F.lit("password = "), F.concat_ws(".", word(1), word(2), word(3)), F.lit("\n")),
         ("assigned_call", 0, F.lit("token = "), F.concat(F.lit("get_"), word(1), F.lit("("), word(2)), F.lit(")\n")),
         ("assigned_kind", 0, F.lit("password: "), F.element_at(F.array(*map(F.lit, NOTHING)), (F.pmod(F.col("id"), F.lit(len(NOTHING))) + 1).cast("int")), F.lit("\n")),
+        ("bare_letters", 1, F.concat(word(1), F.lit(" ")), F.substring(letters, F.lit(1), size), F.concat(F.lit(" "), word(2))),
+        ("camel_case", 0, F.concat(word(4), F.lit(" ")), F.concat(word(1), capital(2), capital(3), capital(5)), F.lit("(")),
+        ("class_name", 0, F.concat(word(4), F.lit(" ")), F.concat(capital(1), capital(2), capital(3), capital(5)), F.concat(F.lit(" "), word(6))),
+        ("live_key", 1, F.concat(word(1), F.lit(" ")), F.concat(F.lit("sk_live_"), F.lower(F.substring(letters, 1, 20))), F.concat(F.lit(" "), word(2))),
+        ("test_name", 0, F.concat(word(1), F.lit(" ")), F.concat_ws("_", word(1), word(2), F.lit("live"), word(3), word(5)), F.concat(F.lit(" "), word(2))),
+        ("key_block", 1, F.lit("\n"), F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), base, base, F.lit("\n-----END RSA PRIVATE KEY-----")), F.lit("\n")),
+        ("user_info", 1, F.lit("postgres://"), F.concat(word(1), F.lit(":"), F.substring(base, F.lit(1), short)), F.concat(F.lit("@"), word(2))),
+        ("user_words", 1, F.lit("mysql://"), F.concat(F.lit("user:"), word(1), F.pmod(F.col("id"), F.lit(100)).cast("string"), word(2)), F.concat(F.lit("@"), word(3))),
+        ("user_placeholder", 0, F.lit("http://"), F.element_at(F.array(*map(F.lit, ("user:password", "user:pass", "username:${PASSWORD}", "user:<password>", "name:xxxxxx"))), (F.pmod(F.col("id"), F.lit(5)) + 1).cast("int")), F.concat(F.lit("@"), word(3))),
         ("assigned_link", 0, F.lit("api: "), F.concat(F.lit("https://"), word(1), F.lit(".org/"), word(2)), F.lit(" ")),
     ]
     rows = None
@@ -182,7 +203,7 @@ def labelled_findings(spark: SparkSession, examples: int = EXAMPLES) -> DataFram
         )
         rows = own if rows is None else rows.unionByName(own)
     assigned = F.concat("before", "candidate").rlike(ASSIGNED)
-    return rows.where((F.length("candidate") >= 16) | assigned)
+    return rows.where((F.length("candidate") >= 16) | assigned | F.endswith("before", F.lit("://")))
 
 
 @dataclass
