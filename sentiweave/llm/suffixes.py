@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROWS_AT_A_TIME, arrow_map, table, written
@@ -101,6 +101,12 @@ def anchor_runs(data: np.ndarray, length: int, gram: int, powers: Powers) -> lis
     return list(np.concatenate(parts, axis=1)) if parts else [np.empty(0, np.int64)] * 4
 
 
+def text_key(*columns: str) -> Column:
+    """128 bits of hash of a row, as 16 bytes."""
+    halves = (F.xxhash64(*columns), F.xxhash64(F.lit("second"), *columns))
+    return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in halves)))
+
+
 def text_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """row, start, count, offset, anchor (hash) and span (hash) of all runs of all texts."""
 
@@ -122,16 +128,16 @@ def text_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
                         digest(raw[a:b], seed) for a, b, seed in zip(start.tolist(), ends, seeds, strict=True)
                     ]
                     found.append(
-                        (np.full(len(start), row), start, count, offset, anchor, np.array(spans, np.uint64).view(np.int64))
-                    )
+                        (pa.repeat(pa.scalar(row, pa.binary()), len(start)), start, count, offset, anchor,
+                         np.array(spans, np.uint64).view(np.int64))
+                    )
                 if found:
-                    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-                    kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c.astype(k)) for c, k in zip(columns, kinds, strict=True)], RUN.split()
-                    )
+                    rows, *columns = zip(*found, strict=True)
+                    kinds = (np.int64, np.int32, np.int32, np.int64, np.int64)
+                    made = (pa.array(np.concatenate(c).astype(k)) for c, k in zip(columns, kinds, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(rows), *made], RUN.split())
 
-    schema = "row long, start long, count int, offset int, anchor long, span long"
+    schema = "row binary, start long, count int, offset int, anchor long, span long"
     return docs.select("row", "text").mapInArrow(run, schema)
 
 
@@ -389,7 +395,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, mos
     if not 0 < gram <= length:
         raise ValueError("a gram is at most as long as the strings")
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(
-        "row", F.xxhash64("doc_id", "text")
+        "row", text_key("doc_id", "text")
     )
     runs = repeated_runs(keyed.select("row", "text"), length, gram, most_spans)
     per_row = runs.groupBy("row").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
