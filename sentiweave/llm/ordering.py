@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import let
+from .common import let, written
 
 #: Keys that are sampled for each range.
-KEYS_A_RANGE = 16
+KEYS_A_RANGE = 8
 #: Ranges for each shuffle partition, and the rows that a range has at least, on average.
-RANGES_A_PARTITION = 8
+RANGES_A_PARTITION = 4
 ROWS_A_RANGE = 64
 
 
@@ -82,20 +82,21 @@ class Ranges:
 def with_positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
     """``rows`` with ``position`` (from 0, ascending by ``order`` within ``group``) and ``size`` of the group.
 
-    rows: a stored table; ``group`` has no nulls. A group of any size is dealt over ranges.
+    rows: a stored table; ``group`` has no nulls. Rows are numbered through all ranges, and a
+    group's numbers begin at its smallest: no group has a task of its own.
     """
     dealt = rows.withColumn("_range", Ranges(rows, [group, *order]).number())
-    below = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = dealt.groupBy(group, "_range").count().select(
-        group,
-        "_range",
-        (F.sum("count").over(below) - F.col("count")).alias("_before"),
-        F.sum("count").over(Window.partitionBy(group)).alias("size"),
-    )
-    here = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order)) - 1
-    return (
+    before, offsets = 0, []
+    for row in dealt.groupBy("_range").count().orderBy("_range").collect():  # a row for each range
+        offsets.append((row["_range"], before))
+        before += row["count"]
+    offset = dealt.sparkSession.createDataFrame(offsets, "_range int, _before long")
+    here = F.row_number().over(Window.partitionBy("_range").orderBy(group, *order)) - 1
+    placed = written(
         dealt.withColumn("_here", here)
-        .join(offsets, [group, "_range"])
-        .withColumn("position", F.col("_before") + F.col("_here"))
-        .drop("_range", "_here", "_before")
+        .join(F.broadcast(offset), "_range")
+        .withColumn("_at", F.col("_before") + F.col("_here"))
+        .drop("_range", "_before", "_here")
     )
+    groups = placed.groupBy(group).agg(F.min("_at").alias("_first"), F.count("*").alias("size"))
+    return placed.join(groups, group).withColumn("position", F.col("_at") - F.col("_first")).drop("_at", "_first")

@@ -1,6 +1,8 @@
 """Vectors, secrets, chats, archives, components and the pipeline, on small tables."""
 
+import gzip
 import hashlib
+import json
 import random
 import struct
 import zipfile
@@ -152,6 +154,25 @@ def test_short_and_broken_secrets(spark):
     assert not wrong, wrong
 
 
+BARE = [
+    ("and kQzvXwTjRgHbNpLd the", "kQzvXwTjRgHbNpLd", True),
+    ("use sk_live_abcdefghijklmnopqrst here", "sk_live_abcdefghijklmnopqrst", True),
+    ("call getElementByIdentifier( now", "getElementByIdentifier", False),
+    ("postgres://user:hunter2secret@db.host/x", "user:hunter2secret", True),
+    (f"-----BEGIN RSA PRIVATE KEY-----\n{'MIIEow' * 20}\n-----END RSA PRIVATE KEY-----", None, True),
+    ("x" * 80 + "9f3a7c1e5b2d4f60a1b2c3d4 end", None, None),
+]
+
+
+def test_secrets_without_a_digit_or_a_name(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(BARE)], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secret_scan.scan(docs).collect()}
+    assert set(found) == set(range(len(BARE)))
+    for i, (text, candidate, secret) in enumerate(BARE):
+        assert found[i]["candidate"] == (candidate or text.removesuffix(" end"))
+        assert secret is None or found[i]["secret"] == secret, (candidate, found[i]["score"])
+
+
 def test_secrets_learn_from_given_findings(spark):
     """The forest follows the labelled findings that it is given."""
     rows = [(f"{'ab12' * 5}{i:04d}", "secret=", " ", 0) for i in range(60)]
@@ -262,6 +283,43 @@ def test_archives(spark):
     assert warc.read_packages(warc.archive_pages(table.limit(0))).count() == 0
 
 
+def package(tmp_path, name, archives, indexes):
+    """archives: member -> pages; indexes: member -> (lines' file name or None, archive member)."""
+    members, places = [], {}
+    for member, pages in archives.items():
+        raw, places[member] = b"", []
+        for page in pages:
+            payload = f"page {page}".encode()
+            record = gzip.compress(warc.warc_record(page, "u", payload, hashlib.sha256(payload).hexdigest(), None))
+            places[member].append((len(raw), len(record)))
+            raw += record
+        members.append((member, raw))
+    for member, (named, archive) in indexes.items():
+        lines = [
+            f'com,x)/ 2026 {json.dumps(({"filename": named} if named else {}) | {"offset": str(o), "length": str(n)})}'
+            for o, n in places[archive]
+        ]
+        members.append((member, "\n".join(["!meta", *lines]).encode()))
+    (tmp_path / name).write_bytes(warc.zip_package([*members, ("datapackage.json", b"[]")]))
+    return f"file://{tmp_path / name}"
+
+
+def test_members_of_any_name_and_number(spark, tmp_path):
+    archives = {"archive/a.warc.gz": [1, 2, 3], "archive/sub/b.warc.gz": [4, 5]}
+    both = {"indexes/one": ("a.warc.gz", "archive/a.warc.gz"), "indexes/two.cdxj": ("sub/b.warc.gz", "archive/sub/b.warc.gz")}
+    uri = package(tmp_path, "two.wacz", archives, both)
+    read = lambda u: sorted(r["page_id"] for r in warc.read_packages(spark.createDataFrame([(u,)], "uri string")).collect())
+    assert read(uri) == [1, 2, 3, 4, 5]
+    alone = {"archive/other.warc.gz": [7]}
+    assert read(package(tmp_path, "one.wacz", alone, {"indexes/x": (None, "archive/other.warc.gz")})) == [7]
+    half = package(tmp_path, "half.wacz", archives, dict([*both.items()][:1]))
+    with warc.RangeReader(half) as file, pytest.raises(ValueError, match="no index lists the records of archive/sub/b"):
+        warc.record_places(file)
+    lost = package(tmp_path, "lost.wacz", alone, {"indexes/x": ("gone.warc.gz", "archive/other.warc.gz")})
+    with warc.RangeReader(lost) as file, pytest.raises(ValueError, match="isn't there"):
+        warc.record_places(file)
+
+
 def test_damaged_record():
     raw = warc.warc_record(1, "u", b"payload", hashlib.sha256(b"payload").hexdigest(), None)
     assert warc.parse_record(raw)["payload"] == b"payload"
