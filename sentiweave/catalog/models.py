@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +26,10 @@ from sentiweave.operators.metrics import binary_metrics
 from sentiweave.operators.ratios import sentiment_ratios
 from sentiweave.plans import scoring, studies
 from sentiweave.plans.bayes import BayesModel
+from sentiweave.plans.inference import score_by_length
 from sentiweave.plans.prepare import preprocess
-from sentiweave.plans.training import TrainingOptions, evaluate, fit_classifier, tokenized
+from sentiweave.plans.selection import f1_by_threshold, select_threshold
+from sentiweave.plans.training import TrainingOptions, evaluate, fit_classifier, tokenized, word_ids
 from sentiweave.sources.corpora import training_rows
 
 CATALOG: dict[str, Query] = {}
@@ -81,7 +84,7 @@ _CYRILLIC = ("abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрст
 _HARD = f"""hard AS (
   SELECT doc_id * 3 AS doc_id, lang, text FROM documents
   UNION ALL SELECT doc_id * 3 + 1, lang, '12345 ' || doc_id FROM documents
-  UNION ALL SELECT doc_id * 3 + 2, lang, translate(substr(lower(text), 1, 200), '{_CYRILLIC[0]}', '{_CYRILLIC[1]}')
+  UNION ALL SELECT doc_id * 3 + 2, lang, translate(lower(text), '{_CYRILLIC[0]}', '{_CYRILLIC[1]}')
   FROM documents)"""
 _HARD_DETECTED = _DETECTED.replace("terms AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY ALL)", f"""{_HARD},
 hard_padded AS (
@@ -93,9 +96,8 @@ terms AS (SELECT doc_id, c[i] || c[i + 1] || c[i + 2] AS gram, count(*) AS tf FR
 
 def _hard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    low = F.substring(F.lower("text"), 1, 200)
     digits = F.concat(F.lit("12345 "), F.col("doc_id").cast("string"))
-    foreign = F.translate(low, *_CYRILLIC)
+    foreign = F.translate(F.lower("text"), *_CYRILLIC)
     parts = F.array(F.col("text"), digits, foreign)
     return docs.select("doc_id", "lang", F.posexplode(parts).alias("_n", "text")).select(
         (F.col("doc_id") * 3 + F.col("_n")).alias("doc_id"), "lang", "text"
@@ -231,6 +233,43 @@ def train_eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("metric", F.col("value").between(0, 1).alias("in_range"))
 
 
+def _network():
+    """A small fixed network on whole numbers: two embeddings, summed, rectified, two classes."""
+
+    def logits(ids, mask):
+        one = np.where(mask, ids * 7919 % 1013 - 506, 0).sum(axis=1)
+        two = np.where(mask, ids * 9973 % 997 - 498, 0).sum(axis=1)
+        one, two = np.maximum(one, 0), np.maximum(two, 0)
+        return np.stack([one - 2 * two, 3 * two - one], axis=1)
+
+    return logits
+
+
+@register(
+    CATALOG,
+    f"""WITH t AS (SELECT doc_id, lang,
+           [('0x' || md5(x)[1:8])::BIGINT % 65536 FOR x IN regexp_extract_all(coalesce(text, ''), '{NWS}+')] AS ids
+         FROM documents),
+    h AS (SELECT *, greatest(coalesce(list_sum([x * 7919 % 1013 - 506 FOR x IN ids]), 0), 0) AS one,
+                 greatest(coalesce(list_sum([x * 9973 % 997 - 498 FOR x IN ids]), 0), 0) AS two FROM t)
+    SELECT doc_id, lang, (one - 2 * two)::BIGINT AS zero_class, (3 * two - one)::BIGINT AS one_class,
+           (3 * two - one > one - 2 * two)::INTEGER AS sentiment_label
+    FROM h""",
+)
+def network_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts through an outside model, in padded batches of similar length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    rows = docs.withColumn("ids", word_ids(F.coalesce("text", F.lit("")))).drop("text")
+    scored = score_by_length(rows, "ids", _network)
+    return with_softmax(scored, "logits").withColumns(prediction_columns(F.col("probabilities"))).select(
+        "doc_id",
+        "lang",
+        F.get("logits", F.lit(0)).cast("long").alias("zero_class"),
+        F.get("logits", F.lit(1)).cast("long").alias("one_class"),
+        "sentiment_label",
+    )
+
+
 _BAYES = f"""train AS (
   SELECT text, 1 - toxic AS y FROM documents JOIN labels USING (doc_id)
   WHERE NOT {_HELD_OUT} AND toxic IN (0, 1)),
@@ -310,6 +349,56 @@ def whole_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("positive_ratio", round_to(F.col("positive_ratio"), 6))
 
 
+# The threshold is chosen on one part of the training rows, with a model fitted on the others.
+_THRESHOLDS = [t * 1_000 for t in range(-40, 41, 4)]
+_CHOICE = "md5(doc_id::VARCHAR)[2] < '4'"
+
+
+def _choice():
+    return F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 2, 1) < "4"
+
+
+@register(
+    CATALOG,
+    f"""WITH {_BAYES.replace("WHERE NOT " + _HELD_OUT, f"WHERE NOT {_HELD_OUT} AND NOT {_CHOICE}")},
+    rows AS (SELECT doc_id, lang, log_odds, 1 - toxic AS label, {_HELD_OUT} AS held
+             FROM bayes JOIN labels USING (doc_id) WHERE toxic IN (0, 1)),
+    f AS (SELECT t, count(*) FILTER (WHERE label = 0 AND log_odds <= t) AS tp,
+                 count(*) FILTER (WHERE label = 1 AND log_odds <= t) AS fp,
+                 count(*) FILTER (WHERE label = 0 AND log_odds > t) AS fn
+          FROM rows, (SELECT unnest({_THRESHOLDS}) AS t) WHERE NOT held AND {_CHOICE} GROUP BY t),
+    best AS (SELECT t FROM f ORDER BY CASE WHEN 2 * tp + fp + fn > 0
+             THEN 2 * tp::DOUBLE / (2 * tp + fp + fn)::DOUBLE ELSE 0 END DESC, t LIMIT 1),
+    m AS (SELECT lang, t AS threshold, count(*) AS n_rows,
+                 count(*) FILTER (WHERE label = 0 AND log_odds <= t) AS tp,
+                 count(*) FILTER (WHERE label = 1 AND log_odds <= t) AS fp,
+                 count(*) FILTER (WHERE label = 0 AND log_odds > t) AS fn,
+                 avg((label = (log_odds > t)::INTEGER)::INTEGER::DOUBLE) AS accuracy
+          FROM rows, best WHERE held GROUP BY lang, t)
+    SELECT lang, threshold::BIGINT AS threshold, n_rows, {sql_round("accuracy", 6)} AS accuracy,
+           {sql_round("CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp::DOUBLE / (2 * tp + fp + fn)::DOUBLE ELSE 0 END", 6)} AS f1
+    FROM m""",
+)
+def selected_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model selection on F1 (of toxic texts): the best of 21 thresholds, measured per language on held-out rows."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    rows = docs.join(labels.where("toxic in (0, 1)").select("doc_id", (1 - F.col("toxic")).alias("label")), "doc_id")
+    model = BayesModel.fit(rows.where(~_held_out() & ~_choice()))
+    scored = model.score(rows, "doc_id").select("doc_id", "log_odds").join(rows.select("doc_id", "lang", "label"), "doc_id")
+    flipped = scored.withColumns({"truth": 1 - F.col("label"), "margin": -F.col("log_odds")})
+    chosen = select_threshold(
+        f1_by_threshold(flipped.where(~_held_out() & _choice()), "truth", "margin", [-t for t in _THRESHOLDS]), largest=True
+    )
+    guess = flipped.where(_held_out()).withColumn("guess", (F.col("margin") >= chosen).cast("int"))
+    return binary_metrics(guess, "truth", "guess", ["lang"]).select(
+        "lang",
+        F.lit(-chosen).cast("long").alias("threshold"),
+        "n_rows",
+        round_to(F.col("accuracy"), 6).alias("accuracy"),
+        round_to(F.col("f1"), 6).alias("f1"),
+    )
+
+
 # Frequent words of the four languages stand in for aspect keywords.
 _ASPECTS = {"article": ["the", "der", "el", "le"], "link": ["and", "und", "y", "et"], "rest": ["zzz"]}
 _TAGS_SQL = " || ".join(

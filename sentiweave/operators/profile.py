@@ -150,15 +150,12 @@ def label_counts_text(counts: Column, quote: bool = True) -> Column:
 _CHARS, _WORDS, _LABEL, _COPY = 0, 1, 2, 3
 
 
-def summarize_corpora(
-    eda: DataFrame, by: list[str] | None = None, char_threshold: int = MAX_SEQUENCE_LENGTH
-) -> DataFrame:
-    """The 21 summary fields per group of an EDA frame, from one scan.
+def summary_counts(eda: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """What a summary is made of: ``(by, facet, value, name, n)``, from one scan.
 
     Each row becomes four facets (character length, word length, label, text
-    fingerprint) which are counted together with map-side combine. Fingerprints are
-    then folded to two numbers per group, so that everything after the first shuffle
-    works on histograms. ``by`` must include ``language``.
+    fingerprint) which are counted together with map-side combine. Counts of parts of a
+    corpus add up to those of the whole; see :func:`merged_counts`.
     """
     by = by or ["language"]
     number, word = T.LongType(), T.StringType()
@@ -177,11 +174,31 @@ def summarize_corpora(
         facet(_LABEL, None, F.col("label")),
         facet(_COPY, None, F.when(~is_blank(text), fingerprint(text))),
     )
-    counted = (
-        eda.select(*by, F.inline(facets))
-        .groupBy(*by, "facet", "value", "name")
-        .agg(F.count("*").alias("n"))
-    )
+    return eda.select(*by, F.inline(facets)).groupBy(*by, "facet", "value", "name").agg(F.count("*").alias("n"))
+
+
+def merged_counts(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts of several parts (stacked) as those of the whole."""
+    by = by or ["language"]
+    return counts.groupBy(*by, "facet", "value", "name").agg(F.sum("n").alias("n"))
+
+
+def summarize_corpora(
+    eda: DataFrame, by: list[str] | None = None, char_threshold: int = MAX_SEQUENCE_LENGTH
+) -> DataFrame:
+    """The 21 summary fields per group of an EDA frame, from one scan. ``by`` must include ``language``."""
+    return summary_of_counts(summary_counts(eda, by), by, char_threshold)
+
+
+def summary_of_counts(
+    counted: DataFrame, by: list[str] | None = None, char_threshold: int = MAX_SEQUENCE_LENGTH
+) -> DataFrame:
+    """The summary fields per group, from counts.
+
+    Fingerprints are folded to two numbers per group, so that everything after the first
+    shuffle works on histograms.
+    """
+    by = by or ["language"]
     copies = F.col("facet") == _COPY
     folded = (
         counted.withColumn("blank", F.when(copies & F.col("name").isNull(), F.col("n")))

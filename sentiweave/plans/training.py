@@ -66,6 +66,11 @@ def tokenized(
     )
 
 
+def word_ids(text: Column, vocabulary: int = 1 << 16) -> Column:
+    """Ids of all words of a text, as in :func:`tokenized`."""
+    return F.transform(WORDS.split(text), lambda t: _token_id(t, vocabulary))
+
+
 def _token_id(token: Column, vocabulary: int) -> Column:
     code = F.conv(F.substring(F.md5(F.encode(token, "UTF-8")), 1, 8), 16, 10).cast("long")
     return F.pmod(code, F.lit(vocabulary)).cast("int")
