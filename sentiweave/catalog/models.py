@@ -26,6 +26,7 @@ from sentiweave.operators.metrics import binary_metrics
 from sentiweave.operators.ratios import sentiment_ratios
 from sentiweave.plans import scoring, studies
 from sentiweave.plans.bayes import BayesModel
+from sentiweave.plans.embedding import embedding_scorer, fit_embedding
 from sentiweave.plans.inference import score_by_length
 from sentiweave.plans.prepare import preprocess
 from sentiweave.plans.selection import f1_by_threshold, select_threshold
@@ -399,6 +400,18 @@ def selected_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(CATALOG)
+def embedding_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics per language of the embedding classifier on held-out rows."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    truth = labels.where("toxic in (0, 1)").select("doc_id", (1 - F.col("toxic")).alias("label"))
+    rows = docs.join(truth, "doc_id").select("doc_id", "lang", F.col("source").alias("topic"), "text", "label")
+    model = fit_embedding(rows.where(~_held_out()), "doc_id")
+    held = rows.where(_held_out())
+    scored = scoring.predict_corpus(held, embedding_scorer(model, held))
+    return binary_metrics(scored, "label", "sentiment_label", ["lang"])
+
+
 # Frequent words of the four languages stand in for aspect keywords.
 _ASPECTS = {"article": ["the", "der", "el", "le"], "link": ["and", "und", "y", "et"], "rest": ["zzz"]}
 _TAGS_SQL = " || ".join(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentiweave.operators import profile
-from sentiweave.plans import inference, selection
+from sentiweave.plans import embedding, inference, scoring, selection
 from sentiweave.plans.summaries import GrowingSummary
 from sentiweave.sources.snapshots import SnapshotTable
 
@@ -103,3 +103,63 @@ def test_parts_add_up_to_the_whole(spark, tmp_path):
     assert growing.parts() == ["all"] and sorted(map(str, growing.summary().collect())) == whole
     SnapshotTable(spark, str(tmp_path / "s")).expire(1)
     assert sorted(map(str, growing.summary().collect())) == whole
+
+
+def sentences(seed, n):
+    rng = random.Random(seed)
+    good, bad, rest = "lovely great fine".split(), "awful bad poor".split(), "the a film was it and so".split()
+    rows = []
+    for i in range(n):
+        y = rng.randrange(2)
+        text = rng.choices(rest, k=rng.randrange(3, 9)) + rng.choices(good if y else bad, k=2)
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), y))
+    return rows
+
+
+OPTIONS = embedding.EmbeddingOptions(buckets=256, size=8, epochs=4, batches=4)
+
+
+def test_gradients_are_those_of_the_loss():
+    layers = embedding.first_layers(embedding.EmbeddingOptions(buckets=5, size=3))
+    ids, sizes, labels = np.array([0, 1, 1, 4]), np.array([3, 0, 1]), np.array([1.0, 0.0, 1.0])
+    found = embedding.gradients(layers, ids, sizes, labels)
+    for name in layers:
+        for at in np.ndindex(layers[name].shape):
+            sides = []
+            for step in (1e-6, -1e-6):
+                moved = {n: v.copy() for n, v in layers.items()}
+                moved[name][at] += step
+                sides.append(embedding.gradients(moved, ids, sizes, labels)["_sums"][0])
+            assert found[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-6, abs=1e-6)
+
+
+def test_rates_warm_up_and_fall():
+    rates = [embedding.rate_at(i, 50, embedding.EmbeddingOptions(rate=1.0, warmup=0.2)) for i in range(50)]
+    assert rates[0] == 0.1 and max(rates) == 1.0 and rates.index(1.0) == 9
+    assert rates[:10] == sorted(rates[:10]) and rates[10:] == sorted(rates[10:], reverse=True) and 0 < rates[-1] < 0.05
+
+
+def test_embedding_classifier_learns_and_repeats(spark):
+    train = spark.createDataFrame([*sentences(1, 600), (9_000, None, 1), (9_001, "no label", None)], "id long, text string, label int")
+    model = embedding.fit_embedding(train.repartition(3), "id", OPTIONS)
+    again = embedding.fit_embedding(train.repartition(7), "id", OPTIONS)
+    assert all(np.array_equal(model.layers[n], again.layers[n]) for n in model.layers)
+    other = embedding.fit_embedding(train, "id", embedding.EmbeddingOptions(**{**OPTIONS.__dict__, "seed": 1}))
+    assert not np.array_equal(model.layers["output"], other.layers["output"])
+    assert np.mean(model.losses[-4:]) < 0.5 * np.mean(model.losses[:2])
+    held = spark.createDataFrame([*sentences(2, 200), (9_000, None, 0)], "id long, text string, label int")
+    rows = held.withColumns({"lang": F.lit("en"), "topic": F.lit("t")})
+    found = scoring.predict_corpus(rows, embedding.embedding_scorer(model, rows)).collect()
+    assert len(found) == 201
+    assert np.mean([r.sentiment_label == r.label for r in found]) > 0.95
+
+
+def test_frozen_layers_stay(spark):
+    train = spark.createDataFrame(sentences(3, 120), "id long, text string, label int")
+    options = embedding.EmbeddingOptions(**{**OPTIONS.__dict__, "frozen": ("embedding",), "epochs": 1})
+    model, first = embedding.fit_embedding(train, "id", options), embedding.first_layers(options)
+    assert np.array_equal(model.layers["embedding"], first["embedding"])
+    assert not np.array_equal(model.layers["output"], first["output"])
+    with pytest.raises(ValueError, match="no layers"):
+        embedding.fit_embedding(train, "id", embedding.EmbeddingOptions(frozen=("head",)))
