@@ -1,11 +1,14 @@
 """A sentiment classifier on averaged word embeddings, trained by mini-batches on the cluster.
 
 Words are hashed to rows of an embedding table; a text is the mean of its words' rows, and one
-layer above gives its log odds. Training rows are dealt to batches by a hash of their id and
-written once, a folder a batch. A step reads its batch, tasks add up their rows' gradients,
-and the driver, which holds the parameters (of a fixed size, whatever the corpus), moves them
-at a rate that warms up and then falls to zero. Layers can be frozen. Sums are taken in the
-order of the tasks' numbers, so equal seeds and data give equal models.
+layer above gives its log odds. Training rows are dealt to batches and parts of batches by a
+hash of their id and written once, a folder a batch, ids packed as bytes. A step reads its
+batch; a word moves log odds by one number, its row times the layer above, so tasks look up
+one number a word and add up one slope an embedding row, of which the driver makes the
+gradients. It holds the parameters (of a fixed size, whatever the corpus) and moves them at a
+rate that warms up and then falls to zero. Layers can be frozen. Sums are taken part by part,
+whatever tasks parts are read by, so equal seeds and data give equal models (parts of files
+that Spark splits in two or more are equal up to the last digits).
 """
 
 from __future__ import annotations
@@ -16,7 +19,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +27,10 @@ from sentiweave.plans.scoring import Scorer
 from sentiweave.session import scratch_path
 from sentiweave.sources.registry import SEED
 
-#: Tasks of a step; bounds what reaches the driver in one.
-STEP_TASKS = 8
+#: Parts of a batch and tasks of a step; bounds what reaches the driver in one.
+STEP_TASKS = 16
+#: Bytes of packed ids that a task adds up at once.
+_CHUNK = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -77,62 +81,91 @@ def rate_at(step: int, steps: int, options: EmbeddingOptions) -> float:
     return options.rate * min((step + 1) / warm, (steps - step) / max(1, steps - warm + 1))
 
 
-def text_means(layers: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Mean embedding of each text, zero for one without words."""
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    sums = np.zeros((len(sizes), layers["embedding"].shape[1]))
-    np.add.at(sums, owner, layers["embedding"][ids])
-    return sums / np.maximum(sizes, 1)[:, None]
+def word_odds(layers: dict[str, np.ndarray]) -> np.ndarray:
+    """What a word of each embedding row adds to the log odds of a text that is this word alone."""
+    return layers["embedding"] @ layers["output"]
 
 
-def odds(layers: dict[str, np.ndarray], means: np.ndarray) -> np.ndarray:
-    return means @ layers["output"] + layers["bias"][0]
+def odds(weights: np.ndarray, bias: float, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Log odds of each text: the mean of its words' :func:`word_odds`, zero without words, and the bias."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(owner, weights[ids], len(sizes)) / np.maximum(sizes, 1) + bias
 
 
 def _chances(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def gradients(layers: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
-    """Sums over rows of the loss's gradients, of the loss itself and of rows."""
-    means = text_means(layers, ids, sizes)
-    z = odds(layers, means)
+def slopes(weights: np.ndarray, bias: float, ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over rows: the loss's slope by each row of :func:`word_odds`; its slope by the bias, the loss, rows."""
+    z = odds(weights, bias, ids, sizes)
     off = _chances(z) - labels
-    share = np.repeat(off / np.maximum(sizes, 1), sizes)
-    embedding = np.zeros_like(layers["embedding"])
-    np.add.at(embedding, ids, share[:, None] * layers["output"][None, :])
+    words = np.bincount(ids, np.repeat(off / np.maximum(sizes, 1), sizes), len(weights))
     loss = np.logaddexp(0, z) - labels * z
+    return words, np.array([off.sum(), loss.sum(), len(labels)])
+
+
+def _chained(layers: dict[str, np.ndarray], words: np.ndarray, sums: np.ndarray) -> dict[str, np.ndarray]:
     return {
-        "embedding": embedding,
-        "output": off @ means,
-        "bias": np.array([off.sum()]),
-        "_sums": np.array([loss.sum(), len(labels)]),
+        "embedding": np.outer(words, layers["output"]),
+        "output": words @ layers["embedding"],
+        "bias": sums[:1],
+        "_sums": sums[1:],
     }
 
 
+def gradients(layers: dict[str, np.ndarray], ids: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+    """Sums over rows of the loss's gradients, of the loss itself and of rows."""
+    return _chained(layers, *slopes(word_odds(layers), layers["bias"][0], ids, sizes, labels))
+
+
 def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     return ids.flatten().to_numpy(zero_copy_only=False), sizes
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists of the first column as bytes: a step's rows travel to tasks in one piece, not id by id."""
+    for batch in batches:
+        ids, sizes = _flat(batch.column(0))
+        ends = np.cumsum(sizes).tolist()
+        ids = ids.astype(np.int32)
+        packed = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()), *batch.columns[1:]], batch.schema.names)
+
+
 def _step_gradients(rows: DataFrame, layers: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    held = rows.sparkSession.sparkContext.broadcast(layers)
-    names = [*layers, "_sums"]
+    held = rows.sparkSession.sparkContext.broadcast((word_odds(layers), layers["bias"][0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {n: np.zeros_like(v) for n, v in held.value.items()} | {"_sums": np.zeros(2)}
-        for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-            for name, value in gradients(held.value, *_flat(batch.column(0)), labels).items():
-                total[name] += value
-        packed = [pa.array([total[n].astype(np.float64).tobytes()], pa.binary()) for n in names]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), *packed], ["task", *names])
-
-    schema = "task long, " + ", ".join(f"`{n}` binary" for n in names)
-    found = sorted(rows.coalesce(STEP_TASKS).mapInArrow(run, schema).collect(), key=lambda r: r["task"])
+        totals: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for part, texts, labels in _chunks(batches):
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts)) // 4
+            found = slopes(*held.value, np.frombuffer(b"".join(texts), np.int32), sizes, np.array(labels, np.float64))
+            totals[part] = tuple(map(np.add, totals[part], found)) if part in totals else found
+        packed = [pa.array([found[i].tobytes() for found in totals.values()], pa.binary()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(totals, pa.int32()), *packed], ["part", "words", "sums"])
+
+    rows = rows.select("part", "ids", "label").coalesce(STEP_TASKS)
+    found = sorted(rows.mapInArrow(run, "part int, words binary, sums binary").collect())
     held.unpersist()
-    shapes = {n: v.shape for n, v in layers.items()} | {"_sums": (2,)}
-    return {n: sum((np.frombuffer(r[n]).reshape(shapes[n]) for r in found), np.zeros(shapes[n])) for n in names}
+    words = sum((np.frombuffer(r["words"]) for r in found), np.zeros(len(layers["embedding"])))
+    return _chained(layers, words, sum((np.frombuffer(r["sums"]) for r in found), np.zeros(3)))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[int]]]:
+    """Rows of one part, up to ``_CHUNK`` bytes of them, wherever Arrow's batches end."""
+    now, texts, labels, size = None, [], [], 0
+    for batch in batches:
+        for part, ids, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if texts and (part != now or size >= _CHUNK):
+                yield now, texts, labels
+                texts, labels, size = [], [], 0
+            now, size = part, size + len(ids)
+            texts.append(ids)
+            labels.append(label)
+    if texts:
+        yield now, texts, labels
 
 
 def fit_embedding(
@@ -142,21 +175,23 @@ def fit_embedding(
     if unknown := set(options.frozen) - {"embedding", "output", "bias"}:
         raise ValueError(f"no layers {sorted(unknown)}")
     spark, path = train.sparkSession, scratch_path(train.sparkSession, "batches")
+    dealt = F.xxhash64(F.col(id_column), F.lit(options.seed))
     rows = train.where(F.col(label).isin(0, 1)).select(
         bucket_ids(F.col(text), options.buckets).alias("ids"),
         F.col(label).cast("int").alias("label"),
-        F.pmod(F.xxhash64(F.col(id_column), F.lit(options.seed)), F.lit(options.batches)).alias("batch"),
-    )
+        F.pmod(dealt, F.lit(options.batches)).cast("int").alias("batch"),
+        F.pmod(F.xxhash64(dealt), F.lit(STEP_TASKS)).cast("int").alias("part"),
+    ).mapInArrow(_packed, "ids binary, label int, batch int, part int")
     # Sorted, so that files and sums don't depend on how the rows came.
-    count = min(options.batches, STEP_TASKS)
-    rows.repartition(count, "batch").sortWithinPartitions("batch", "label", "ids").write.partitionBy("batch").parquet(path)
+    parts = rows.repartition(options.batches * STEP_TASKS, "batch", "part").sortWithinPartitions("batch", "part", "label", "ids")
+    parts.write.partitionBy("batch").parquet(path)
     model = EmbeddingModel(first_layers(options))
-    table = spark.read.schema("ids array<int>, label int, batch int").parquet(path)
+    table = spark.read.schema("ids binary, label int, part int, batch int").parquet(path)
     order = np.random.default_rng(options.seed)
     steps = options.epochs * options.batches
     for epoch in range(options.epochs):
         for place, batch in enumerate(order.permutation(options.batches).tolist()):
-            found = _step_gradients(table.where(F.col("batch") == batch).select("ids", "label"), model.layers)
+            found = _step_gradients(table.where(F.col("batch") == batch), model.layers)
             loss, n = found.pop("_sums")
             if not n:
                 continue
@@ -171,15 +206,15 @@ def fit_embedding(
 
 
 def embedding_scorer(model: EmbeddingModel, df: DataFrame, text_column: str = "text") -> Scorer:
-    """Adds ``probabilities`` of the two classes; the layers go to the tasks once."""
-    held = df.sparkSession.sparkContext.broadcast(model.layers)
+    """Adds ``probabilities`` of the two classes; one number per embedding row goes to the tasks."""
+    held = df.sparkSession.sparkContext.broadcast((word_odds(model.layers), model.layers["bias"][0]))
 
     @F.pandas_udf("array<double>")
     def probabilities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for lists in batches:
             sizes = np.array([len(x) for x in lists], np.int64)
             ids = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.empty(0, np.int64)
-            one = _chances(odds(held.value, text_means(held.value, ids, sizes)))
+            one = _chances(odds(*held.value, ids, sizes))
             yield pd.Series(np.stack([1 - one, one], axis=1).tolist())
 
     return lambda rows: rows.withColumn("probabilities", probabilities(bucket_ids(F.col(text_column), model.buckets)))

@@ -163,3 +163,24 @@ def test_frozen_layers_stay(spark):
     assert not np.array_equal(model.layers["output"], first["output"])
     with pytest.raises(ValueError, match="no layers"):
         embedding.fit_embedding(train, "id", embedding.EmbeddingOptions(frozen=("head",)))
+
+
+def test_steps_look_up_one_number_a_word(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    layers = embedding.first_layers(embedding.EmbeddingOptions(buckets=50, size=7))
+    layers["bias"][0] = 0.25
+    ids, sizes, labels = rng.integers(0, 50, 400), np.array([0, 150, 0, 249, 1]), np.array([1.0, 0, 0, 1, 1])
+    texts = np.split(ids, np.cumsum(sizes)[:-1])
+    means = np.array([layers["embedding"][t].sum(axis=0) / max(1, len(t)) for t in texts])
+    z = means @ layers["output"] + 0.25
+    assert np.allclose(embedding.odds(embedding.word_odds(layers), 0.25, ids, sizes), z)
+    off = 1 / (1 + np.exp(-z)) - labels
+    assert np.allclose(embedding.gradients(layers, ids, sizes, labels)["output"], off @ means)
+    # A batch is read by many tasks, whose rows are bytes.
+    monkeypatch.setattr(embedding, "scratch_path", lambda spark, name: str(tmp_path / name))
+    train = spark.createDataFrame([*sentences(5, 900), (None, "twice", 1), (None, "twice", 1)], "id long, text string, label int")
+    embedding.fit_embedding(train, "id", embedding.EmbeddingOptions(buckets=64, size=4, epochs=1, batches=2))
+    table = spark.read.parquet(str(tmp_path / "batches"))
+    assert table.count() == 902 and dict(table.dtypes)["ids"] == "binary"
+    for batch in (0, 1):
+        assert len(list((tmp_path / "batches" / f"batch={batch}").glob("*.parquet"))) > 8
