@@ -102,13 +102,15 @@ class Tokenizer:
 
     ``split`` and ``join`` may be built-in expressions (the default) or Arrow-batched
     functions (:class:`sentiweave.operators.subwords.Subwords`). ``count``, if given, counts
-    the tokens without making an array of them.
+    the tokens without making an array of them; ``first`` joins the first ones without making
+    the others.
     """
 
     split: Callable[[Column], Column]
     join: Callable[[Column], Column]
     special_tokens: int = 0
     count: Callable[[Column], Column] | None = None
+    first: Callable[[Column, int], Column] | None = None
 
 
 def words(text: Column) -> Column:
@@ -124,7 +126,10 @@ def truncate_tokens(
     text: Column, limit: int = MAX_SEQUENCE_LENGTH, tokenizer: Tokenizer = WORDS
 ) -> Column:
     """Keep the first ``limit`` tokens and join them again."""
-    return tokenizer.join(F.slice(tokenizer.split(F.coalesce(text, F.lit(""))), 1, limit))
+    filled = F.coalesce(text, F.lit(""))
+    if tokenizer.first:
+        return tokenizer.first(filled, limit)
+    return tokenizer.join(F.slice(tokenizer.split(filled), 1, limit))
 
 
 def token_count(text: Column, tokenizer: Tokenizer = WORDS) -> Column:
