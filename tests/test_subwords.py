@@ -151,3 +151,36 @@ def test_exact_boxplot_equals_that_of_the_histogram(spark):
     columns = ["g", "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers"]
     one, other = (sorted(tuple(r) for r in f(df, ["g"], "v").select(columns).collect()) for f in (quantiles.exact_boxplot, boxplot_stats))
     assert one == [pytest.approx(x) for x in other]
+
+
+def test_chunks_are_cut_where_no_piece_goes_on(pieces, library, monkeypatch):
+    fresh = subwords.Pieces(pieces.table, pieces.byte_ids, pieces.names, pieces.begin, pieces.end)
+    plain = "the_quick#brown~fox" * 40  # one chunk, far longer than what is remembered
+    assert fresh.encode(plain) == library.encode(plain)
+    assert 0 < len(fresh.seen_parts) < 12 and set(fresh.seen) <= {""}
+    assert fresh._joined_long("▁there") == fresh._joined("▁there")
+    monkeypatch.setattr(subwords, "REMEMBERED", 5)
+    words = [f"w{i % 9}" for i in range(60)]
+    assert fresh.encode(" ".join(words)) == library.encode(" ".join(words))
+    assert len(fresh.seen) <= 5 and len(fresh.seen.older) == 5
+
+
+def test_truncation_encodes_no_more_than_it_keeps(spark, pieces, library):
+    fresh = subwords.Pieces(pieces.table, pieces.byte_ids, pieces.names, pieces.begin, pieces.end)
+    text = " ".join(f"word{i}" for i in range(5_000))
+    assert fresh.first(text, 10) == library.encode(text)[:10] and len(fresh.seen) <= 10
+    assert fresh.first(text, 0) == fresh.first("", 5) == [] and fresh.first("a b", 9) == library.encode("a b")
+    encoder = subwords.Subwords(spark)
+    df = spark.createDataFrame([(text,), ("",), (None,), ("  é 中",)], "text string")
+    found = [r[0] for r in df.select(truncate_tokens(F.col("text"), 7, encoder.tokenizer())).collect()]
+    assert found == [library.decode(library.encode(t or "")[:7]) for t in (text, "", None, "  é 中")]
+
+
+def test_long_words_go_on_from_their_beginnings():
+    known = {"a": 1.0, "ab": 1.5, "abcd": 2.0, "abcde": 2.5, "abcdefgh": 9.0, "cd": 0.5, "": 0.1, "fgh": 3.0}
+    graph = segmentation.WordGraph(known, 6.0, 7)
+    assert graph.cut("abcdefghx") == [5, 8, 9]  # eight characters are more than the longest
+    assert segmentation.WordGraph(known, 6.0, 8).cut("abcdefghab") == [5, 8, 10]
+    # Of equal costs the last word is the longest: ab + cd and abcd.
+    assert graph.cut("abcd") == [4] and set(graph._begun) >= {"abcd", "bcd", "cd", "d"}
+    assert segmentation.piece_ends(["ab", "c"], [0, 1, 0], range(5, 6)).tolist() == [2, 3, 5]
