@@ -4,7 +4,9 @@ A dictionary of bounded size (the most frequent words of a corpus with spaces, o
 words and counts) gives each word a cost, the negative logarithm of its share. A text is a
 graph of positions with an arc for every dictionary word that stands at one, and for each
 single character at the cost of a word rarer than all known ones; its words are the cheapest
-path from its start to its end. Texts are cut where they lie: the dictionary goes to tasks.
+path from its start to its end. Texts are cut where they lie: the dictionary goes to tasks,
+which read it as a tree of characters, so that a position is left at the first character that
+goes on to no word.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -25,6 +28,9 @@ from sentiweave.operators.subwords import Subwords
 #: Words that a dictionary has at most, and their length.
 DICTIONARY_WORDS = 50_000
 LONGEST_WORD = 24
+#: Characters that are looked up at once, and how many of their beginnings a task remembers.
+_STRIDE = 4
+_REMEMBERED = 100_000
 
 
 def word_counts(df: DataFrame, text_column: str, longest: int = LONGEST_WORD) -> DataFrame:
@@ -53,18 +59,64 @@ class WordGraph:
         costs = {r["word"]: -math.log(r["n"] / total) for r in rows}
         return cls(costs, math.log(total) + 1, max(map(len, costs), default=1))
 
+    def __getstate__(self):
+        return {name: self.__dict__[name] for name in ("costs", "unknown", "longest")}
+
+    @cached_property
+    def _tree(self) -> dict:
+        """character -> (cost of the word that ends here, or None; tree of the characters after it)."""
+        tree: dict = {}
+        for word, cost in self.costs.items():
+            if not 0 < len(word) <= self.longest:
+                continue
+            node = tree
+            for c in word[:-1]:
+                node = node.setdefault(c, (None, {}))[1]
+            node[word[-1]] = (cost, node.get(word[-1], (None, {}))[1])
+        return tree
+
+    @cached_property
+    def _begun(self) -> dict:
+        return {}
+
+    def _beginning(self, head: str) -> tuple[list[tuple[int, float]], dict | None]:
+        """Lengths and costs of the words that ``head`` begins with, and the tree of those that go on after it."""
+        node, found = self._tree, []
+        for size, c in enumerate(head, 1):
+            if c not in node:
+                node = None
+                break
+            cost, node = node[c]
+            if cost is not None:
+                found.append((size, cost))
+        if len(self._begun) >= _REMEMBERED:
+            self._begun.clear()
+        self._begun[head] = found, node or None
+        return self._begun[head]
+
     def cut(self, text: str) -> list[int]:
         """Ends of the words on the cheapest path; of equal paths that with the longest last words."""
-        best, back = [0.0], [0]
-        for end in range(1, len(text) + 1):
-            cost, start = best[end - 1] + self.unknown, end - 1
-            for at in range(end - 1, max(-1, end - 1 - self.longest), -1):
-                known = self.costs.get(text[at:end])
-                if known is not None and best[at] + known <= cost:
-                    cost, start = best[at] + known, at
-            best.append(cost)
-            back.append(start)
-        ends, end = [], len(text)
+        size, unknown, begun = len(text), self.unknown, self._begun
+        best, back = [0.0, *[math.inf] * size], [0] * (size + 1)
+        for at in range(size):
+            # Words that end at a place come in the order of their starts, so the longest stays if costs are equal.
+            here, head = best[at], text[at : at + _STRIDE]
+            words, node = begun.get(head) or self._beginning(head)
+            for length, cost in words:
+                if here + cost < best[at + length]:
+                    best[at + length], back[at + length] = here + cost, at
+            if node:
+                end = at + _STRIDE
+                for c in text[end : at + self.longest]:
+                    if c not in node:
+                        break
+                    cost, node = node[c]
+                    end += 1
+                    if cost is not None and here + cost < best[end]:
+                        best[end], back[end] = here + cost, at
+            if here + unknown < best[at + 1]:
+                best[at + 1], back[at + 1] = here + unknown, at
+        ends, end = [], size
         while end:
             ends.append(end)
             end = back[end]
@@ -99,6 +151,8 @@ def word_lengths(text: Column) -> Column:
 
 def piece_ends(names: list[str], ids: list[int], byte_ids: range) -> np.ndarray:
     """Ends of pieces in characters of the text (a character of several byte pieces ends with the last)."""
+    if not ids or max(ids) < byte_ids.start or min(ids) >= byte_ids.stop:
+        return np.cumsum([len(names[i]) for i in ids], dtype=np.int64)
     ends, at, pending = [], 0, b""
     for i in ids:
         if i in byte_ids:
@@ -137,12 +191,13 @@ def tokenization_gaps(
                 text = text or ""
                 ends = np.array(graph.cut(text), np.int64)
                 # The first piece has the space that stands before a text.
-                cuts = piece_ends(pieces.names, pieces.encode(text), byte_ids) - 1
+                ids = pieces.encode(text)
+                cuts = piece_ends(pieces.names, ids, byte_ids) - 1
                 cuts = np.unique(cuts[cuts > 0])
                 inside = np.searchsorted(cuts, ends, "left") - np.searchsorted(cuts, np.concatenate(([0], ends[:-1])), "right")
                 known = np.cumsum([] if truth is None else truth).astype(np.int64)
                 shared, found = (len(np.intersect1d(ends, x)) for x in (cuts, known))
-                out.append((1, len(ends), len(pieces.encode(text)), int((inside > 0).sum()), shared, len(known), found))
+                out.append((1, len(ends), len(ids), int((inside > 0).sum()), shared, len(known), found))
             made = pd.DataFrame(out, columns=["texts", "words", "pieces", "split", "shared", "true_words", "found"])
             yield pd.concat([batch[by].reset_index(drop=True), made], axis=1)
 
