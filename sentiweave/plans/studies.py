@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -186,24 +186,44 @@ _ENDS = T.StructType(
 )
 
 
-@F.pandas_udf(_ENDS)
-def _word_ends_hit(words: pd.Series, subwords: pd.Series) -> pd.DataFrame:
+#: Tokens whose ends are compared at once.
+_TOKENS = 1 << 18
+
+
+@F.arrow_udf(_ENDS)
+def _word_ends_hit(words: pa.Array, subwords: pa.Array) -> pa.Array:
     """Word ends of each text, and how many of them are subword ends, from token lengths.
 
-    The ends of a whole batch are compared at once: each text's start at a place of its own.
+    The ends of some texts are compared at once: each text's start at a place of its own.
     """
+    tokens = np.cumsum(_sizes(words) + _sizes(subwords))
+    hits, at = [], 0
+    while at < len(tokens):
+        # As many texts as have ``_TOKENS`` tokens, one at least.
+        to = max(at + 1, int(np.searchsorted(tokens, (tokens[at - 1] if at else 0) + _TOKENS, "right")))
+        hits.append(_hits(words.slice(at, to - at), subwords.slice(at, to - at)))
+        at = to
+    found = np.concatenate(hits) if hits else np.empty(0, np.int64)
+    return pa.StructArray.from_arrays([pa.array(_sizes(words)), pa.array(found)], ["words", "hits"])
+
+
+def _hits(words: pa.Array, subwords: pa.Array) -> np.ndarray:
     ends, sizes = zip(*(_batch_ends(tokens) for tokens in (words, subwords)))
     span = max((int(e.max()) for e in ends if len(e)), default=0) + 1
     own, other = (e + span * np.repeat(np.arange(len(n)), n) for e, n in zip(ends, sizes))
     hit = np.concatenate(([0], np.cumsum(np.isin(own, other))))
     edges = np.concatenate(([0], np.cumsum(sizes[0])))
-    return pd.DataFrame({"words": sizes[0], "hits": hit[edges[1:]] - hit[edges[:-1]]})
+    return hit[edges[1:]] - hit[edges[:-1]]
+
+
+def _sizes(tokens: pa.Array) -> np.ndarray:
+    return tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _batch_ends(tokens: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+def _batch_ends(tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ends of all tokens, counted from their text's start, and the number of each text's."""
-    sizes = np.fromiter((len(t) for t in tokens), np.int64, len(tokens))
-    total = np.cumsum(np.concatenate([np.asarray(t, np.int64) for t in tokens] or [np.empty(0, np.int64)]))
+    sizes = _sizes(tokens)
+    total = np.cumsum(tokens.flatten().to_numpy(zero_copy_only=False), dtype=np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1])) if len(sizes) else sizes
     before = np.where(starts > 0, total[np.maximum(starts - 1, 0)], 0) if len(total) else starts * 0
     return total - np.repeat(before, sizes), sizes

@@ -1,3 +1,5 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
@@ -197,3 +199,17 @@ def test_fragmentation(spark):
     row = studies.token_fragmentation(df, "text", ["lang"], pieces).first()
     assert (row.n_words, row.n_subwords, row.max_subwords) == (3, 4, 2)
     assert row.fragmentation_rate == pytest.approx(1 / 3)
+
+
+def test_word_ends_are_compared_some_texts_at_a_time(monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [([int(x) for x in rng.integers(1, 6, n)], [int(x) for x in rng.integers(1, 6, m)]) for n, m in rng.integers(0, 30, (200, 2))]
+    rows += [([], []), ([3], []), ([], [2]), ([5] * 900, [1] * 4500)]
+    words, pieces = (pa.array(side, pa.list_(pa.int32())) for side in zip(*rows))
+    wanted = [{"words": len(a), "hits": len(set(np.cumsum(a).tolist()) & set(np.cumsum(b).tolist()))} for a, b in rows]
+    sizes, hits = [], studies._hits
+    monkeypatch.setattr(studies, "_TOKENS", 100)
+    monkeypatch.setattr(studies, "_hits", lambda a, b: sizes.append(len(a.flatten()) + len(b.flatten())) or hits(a, b))
+    assert studies._word_ends_hit.func(words, pieces).to_pylist() == wanted
+    assert max(sizes[:-1]) <= 100 and sizes[-1] == 5400
+    assert studies._word_ends_hit.func(words[:0], pieces[:0]).to_pylist() == []
