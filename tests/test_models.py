@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sentiweave.operators import profile
-from sentiweave.plans import embedding, inference, scoring, selection
+from sentiweave.plans import bayes, embedding, inference, scoring, selection
 from sentiweave.plans.summaries import GrowingSummary
 from sentiweave.sources.snapshots import SnapshotTable
 
@@ -184,3 +184,24 @@ def test_steps_look_up_one_number_a_word(spark, tmp_path, monkeypatch):
     assert table.count() == 902 and dict(table.dtypes)["ids"] == "binary"
     for batch in (0, 1):
         assert len(list((tmp_path / "batches" / f"batch={batch}").glob("*.parquet"))) > 8
+
+
+def test_frequent_words_are_summed_where_texts_lie(spark, monkeypatch):
+    monkeypatch.setattr(bayes, "FREQUENT", 12)
+    train = spark.createDataFrame([*sentences(7, 80), (900, None, 1), (901, "rare once", 0)], "id long, text string, label int")
+    model = bayes.BayesModel.fit(train)
+    n, often = model.words.count(), {r.word for r in model.frequent.collect()}
+    assert 0 < len(often) <= 12 < n and "once" not in often
+    rows = [*sentences(8, 40), (500, "", 0), (501, None, 0), (502, "once unseen unseen", 0), (503, "the the", 0), (None, "a b", 1), (503, "film", 1)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    found = sorted(map(str, model.score(df, "id").collect()))
+    weights = {r.word: r.weight for r in model.words.collect()}
+    sums = {}
+    for i, text, _ in rows:
+        if i is not None:
+            sums[i] = sums.get(i, 0) + sum(weights.get(w, model.unseen) for w in (text or "").split())
+    odds = {i: model.prior + s for i, s in sums.items()}
+    whole = bayes.BayesModel(model.words, model.unseen, model.prior)
+    assert found == sorted(map(str, whole.score(df, "id").collect())) and len(found) == len(rows)
+    got = {r.id: r.log_odds for r in model.score(df, "id").collect()}
+    assert got == odds | {None: model.prior}
