@@ -1,6 +1,7 @@
 """Language identification from character-trigram profiles.
 
-Profiles are learned with one grouped count over a labelled corpus. A profile table of
+Profiles are learned with one grouped count over a labelled corpus: tasks count trigrams as
+numbers, text by text, and only counts are exploded and shuffled. A profile table of
 moderate size travels to every task once and each text is scored where it lies, so no
 text and no trigram is shuffled; :func:`detect_by_join` gives the same languages with a
 table of any size. A text without a known trigram has no language.
@@ -10,9 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +26,11 @@ GRAM = 3
 # Scores are integers (log-probability * SCALE), so they do not depend on addition order.
 SCALE = 1_000
 _WINDOW = 1 << 20
+#: Counts that a task holds before it gives them on, and rows of an Arrow batch of them.
+_HELD_COUNTS = 1 << 20
+_OUT_ROWS = 1 << 16
+#: Places of a table of all trigrams of the profiles' characters, if there are no more of them.
+_DENSE = 1 << 22
 _SALTS = 64
 
 
@@ -43,15 +51,17 @@ def language_profiles(
 ) -> DataFrame:
     """``(lang, gram, n, weight)``: trigrams with integer log weights, all or the most frequent.
 
-    Counting combines on the map side. The ranking runs first within salted parts of
+    Tasks count first. The ranking runs first within salted parts of
     each language, then over what those parts kept, so no task sorts all trigrams of
     a language.
     """
     rows = df.where(~is_blank(F.col(text)) & F.col(lang).isNotNull())
+    padded = rows.select(F.col(lang).alias("lang"), gram_text(F.col(text)).alias("_padded"))
+    schema = f"lang {padded.schema['lang'].dataType.simpleString()}, gram string, n long"
     counts = (
-        rows.select(F.col(lang).alias("lang"), F.explode(grams(F.col(text))).alias("gram"))
+        padded.mapInArrow(_gram_counts, schema)
         .groupBy("lang", "gram")
-        .agg(F.count("*").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .withColumn("_salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS)))
     )
     kept = counts
@@ -68,6 +78,75 @@ def language_profiles(
     return kept.join(totals, "lang").select("lang", "gram", "n", weight.alias("weight"))
 
 
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, gram, n of a task's padded texts; a gram comes once, or once for each ``_HELD_COUNTS`` of them."""
+    held: dict = {}
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        langs = batch.column(0).dictionary_encode()
+        names, owner = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
+        for place, name in enumerate(names):
+            parts = [held[name]] if name in held else []
+            parts += map(_counted, _groups(batch.column(1), np.flatnonzero(owner == place)))
+            held[name] = _added(parts)
+        if sum(len(codes) for codes, _ in held.values()) >= _HELD_COUNTS:
+            yield from _count_rows(held, kind)
+            held = {}
+    if held:
+        yield from _count_rows(held, kind)
+
+
+def _groups(texts: pa.Array, places: np.ndarray) -> Iterator[list[str]]:
+    """Texts at the places as windows, of about ``_WINDOW`` characters together."""
+    group, size = [], 0
+    for i in places.tolist():
+        for part in _windows(texts[i].as_py()):
+            group.append(part)
+            size += len(part)
+            if size >= _WINDOW:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts one after the other, and places where a trigram of one of them begins."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    begins = np.ones(max(0, len(points) - GRAM + 1), bool)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    for back in range(1, GRAM):
+        last = ends - back
+        begins[last[(last >= 0) & (last < len(begins))]] = False
+    return points, np.flatnonzero(begins)
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    points, begins = _points(texts)
+    if not len(begins):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.unique(_codes(points)[begins], return_counts=True)
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    sums = np.zeros(len(codes), np.int64)
+    np.add.at(sums, place, np.concatenate([n for _, n in parts]))
+    return codes, sums
+
+
+def _count_rows(held: dict, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+    mask = (1 << 21) - 1
+    for name, (codes, sums) in held.items():
+        for start in range(0, len(codes), _OUT_ROWS):
+            some, n = codes[start : start + _OUT_ROWS], sums[start : start + _OUT_ROWS]
+            points = np.stack([some >> 42, some >> 21 & mask, some & mask], axis=1).astype("<u4")
+            joint = points.tobytes().decode("utf-32-le")
+            grams = [joint[i : i + GRAM] for i in range(0, len(joint), GRAM)]
+            columns = [pa.array([name] * len(some), kind), pa.array(grams, pa.string()), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "gram", "n"])
+
+
 @dataclass(frozen=True)
 class LanguageProfiles:
     """Profiles as arrays: sorted trigram codes and one weight column per language."""
@@ -95,18 +174,42 @@ class LanguageProfiles:
         filled = table.fillna(missing).to_numpy().astype(np.int64)
         return cls(tuple(table.columns), codes[order], filled[order], missing)
 
+    @cached_property
+    def _dense(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Number of each character (0: in no profile), and place of three numbers' trigram (-1: none)."""
+        mask = (1 << 21) - 1
+        points = np.stack([self.codes >> 42, self.codes >> 21 & mask, self.codes & mask])
+        chars, numbers = np.unique(points, return_inverse=True)
+        size = len(chars) + 1
+        if size**GRAM > _DENSE:
+            return None
+        number = np.zeros(0x110000, np.int32)
+        number[chars] = np.arange(1, size)
+        one, two, three = numbers.reshape(points.shape) + 1
+        places = np.full(size**GRAM, -1, np.int32)
+        places[(one * size + two) * size + three] = np.arange(len(self.codes))
+        return number, places
+
+    def _places(self, points: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """Place in ``codes`` of the trigrams that begin there, -1 for others."""
+        if self._dense is None:
+            codes = _codes(points)[begins]
+            place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            return np.where(self.codes[place] == codes, place, -1)
+        number, places = self._dense
+        size = round(len(places) ** (1 / GRAM))
+        numbers = number[points]
+        return places[((numbers[:-2] * size + numbers[1:-1]) * size + numbers[2:])[begins]]
+
     def _sums(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weight per text and language, known trigrams and all trigrams per text.
 
         All texts are looked up at once; trigrams that cross two texts count for none.
         """
-        points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        inside = np.flatnonzero(owner[:-2] == owner[2:])
-        codes, owner = _codes(points)[inside], owner[inside]
-        place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        known = self.codes[place] == codes
+        points, begins = _points(texts)
+        owner = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))[begins]
+        place = self._places(points, begins) if len(begins) else np.empty(0, np.int64)
+        known = place >= 0
         count = np.bincount(owner, minlength=len(texts))
         hits = np.bincount(owner[known], minlength=len(texts))
         total = np.zeros((len(texts), len(self.languages)), np.int64)

@@ -1,6 +1,9 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sentiweave.operators import langid
 from sentiweave.operators.dedupe import duplicate_rate, keep_first
 from sentiweave.operators.langid import LanguageProfiles, filter_language
 from sentiweave.plans.prepare import preprocess, preprocess_job
@@ -127,3 +130,33 @@ def test_row_wise_steps_run_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert [r.text for r in spark.table("cleaned").collect()] == ["a b"]
+
+
+def test_trigrams_are_counted_as_numbers(monkeypatch):
+    texts = [(" ab c ", "x"), (" \U0001f600é\0 ", "x"), (" ab ", None), (" ab ab ", "y"), (" a ", "y"), (" abcabcabc ", "y")]
+    wanted = {}
+    for text, lang in texts:
+        for i in range(len(text) - 2):
+            wanted[lang, text[i : i + 3]] = wanted.get((lang, text[i : i + 3]), 0) + 1
+    batches = [pa.RecordBatch.from_pylist([{"lang": b, "_padded": a} for a, b in part]) for part in (texts[:3], texts[3:])]
+    for held, window in ((1 << 20, 1 << 20), (1, 4), (1 << 20, 5)):
+        monkeypatch.setattr(langid, "_HELD_COUNTS", held)
+        monkeypatch.setattr(langid, "_WINDOW", window)
+        found = {}
+        for row in (row for out in langid._gram_counts(iter(batches)) for row in out.to_pylist()):
+            found[row["lang"], row["gram"]] = found.get((row["lang"], row["gram"]), 0) + row["n"]
+        assert found == {k: n for k, n in wanted.items() if k[0]}
+
+
+def test_dense_and_sorted_lookups_agree(monkeypatch):
+    rng = np.random.default_rng(6)
+    codes = np.unique([langid._codes(rng.integers(97, 103, 3))[0] for _ in range(60)])
+    weights = rng.integers(-900, -10, (len(codes), 3))
+    texts = ["".join(chr(c) for c in rng.integers(96, 105, n)) for n in (0, 1, 2, 3, 40, 500)] + ["\U0010ffff中文"]
+    dense = langid.LanguageProfiles(("a", "b", "c"), codes, weights, -1900)
+    assert dense._dense is not None
+    monkeypatch.setattr(langid, "_DENSE", 10)
+    other = langid.LanguageProfiles(("a", "b", "c"), codes, weights, -1900)
+    assert other._dense is None
+    assert all(np.array_equal(a, b) for a, b in zip(dense._sums(texts), other._sums(texts)))
+    assert dense.best(texts, 0.0) == other.best(texts, 0.0)
