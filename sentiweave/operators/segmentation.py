@@ -18,12 +18,15 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentiweave.functions.numeric import ratio
 from sentiweave.functions.text import words
-from sentiweave.operators.subwords import Subwords
+from sentiweave.operators.pairtable import SEPARATOR, Tree, code_points, text_of
+from sentiweave.operators.subwords import Pieces, Subwords
 
 #: Words that a dictionary has at most, and their length.
 DICTIONARY_WORDS = 50_000
@@ -31,6 +34,9 @@ LONGEST_WORD = 24
 #: Characters that are looked up at once, and how many of their beginnings a task remembers.
 _STRIDE = 4
 _REMEMBERED = 100_000
+#: Characters of texts that are cut side by side (a longer text alone), and the longest stretch that is.
+_TOGETHER = 400_000
+_STRETCH = 2_000
 
 
 def word_counts(df: DataFrame, text_column: str, longest: int = LONGEST_WORD) -> DataFrame:
@@ -96,8 +102,12 @@ class WordGraph:
 
     def cut(self, text: str) -> list[int]:
         """Ends of the words on the cheapest path; of equal paths that with the longest last words."""
+        return self._cheapest(text, 0.0)[0]
+
+    def _cheapest(self, text: str, before: float) -> tuple[list[int], float]:
+        """Ends of the words on the cheapest path, and its cost if that of the path to the text is ``before``."""
         size, unknown, begun = len(text), self.unknown, self._begun
-        best, back = [0.0, *[math.inf] * size], [0] * (size + 1)
+        best, back = [before, *[math.inf] * size], [0] * (size + 1)
         for at in range(size):
             # Words that end at a place come in the order of their starts, so the longest stays if costs are equal.
             here, head = best[at], text[at : at + _STRIDE]
@@ -120,7 +130,102 @@ class WordGraph:
         while end:
             ends.append(end)
             end = back[end]
-        return ends[::-1]
+        return ends[::-1], best[size]
+
+    @cached_property
+    def _table(self) -> tuple[Tree, np.ndarray]:
+        """The tree in arrays, and the costs of the words that end at its nodes."""
+        words = [word for word in self.costs if 0 < len(word) <= self.longest]
+        tree = Tree(words)
+        cost = np.full(len(tree.base), math.inf)
+        cost[tree.ends] = [self.costs[word] for word in words]
+        return tree, cost
+
+    def last_characters(self, codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Which code points are the last of a word, for many texts as :func:`cut` finds them one by one.
+
+        Where no word goes on from one character to the next, all paths meet: the stretches between
+        such places are cut side by side, first all their first characters, then the second ones. A
+        path's cost is summed from its text's start, and the rounding of the sum may choose between
+        equal paths. So a stretch whose cheapest path has a rival as cheap as rounding may make it is
+        cut alone, from the cost before it, and so is a very long one.
+        """
+        tree, cost_of = self._table
+        n = len(codes)
+        single, reach, arcs = np.full(n, self.unknown), np.arange(1, n + 1), []
+        for length, at, node in tree.walk(codes):
+            cost = cost_of.take(node)
+            word = np.flatnonzero(cost < math.inf)
+            at, cost = at.take(word), cost.take(word)
+            if length == 1:
+                single[at] = np.minimum(self.unknown, cost)
+            else:
+                arcs.append((length, at, cost))
+                reach[at] = at + length
+        # Stretches, and the place of each character in its own.
+        begins = np.concatenate(([True], np.maximum.accumulate(reach)[:-1] == np.arange(1, n)))
+        begin = np.flatnonzero(begins)
+        size = np.diff(np.append(begin, n))
+        place = np.arange(n) - np.repeat(begin, size)
+        order = np.argsort(np.minimum(place, _STRETCH).astype(np.uint16), kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        # Arcs in the order of the characters that they end with, and of their starts, the longest first.
+        count = np.ones(n, np.int64)
+        for length, start, _ in arcs:
+            count[start + (length - 1)] += 1
+        count = count[order]
+        offset = np.concatenate(([0], np.cumsum(count)))
+        free = offset[rank]
+        source, cost = np.empty(offset[-1], np.int64), np.empty(offset[-1])
+        origin = np.where(begins, n, np.concatenate(([n], rank[:-1])))
+        for length, start, costs in reversed(arcs):
+            end = start + (length - 1)
+            slot = free.take(end)
+            source[slot], cost[slot] = origin.take(start), costs
+            free[end] = slot + 1
+        source[offset[1:] - 1], cost[offset[1:] - 1] = origin[order], single[order]
+        best, reached = np.empty(n + 1), np.empty(offset[-1])
+        best[n] = 0.0
+        edges = np.concatenate(([0], np.cumsum(np.bincount(np.minimum(place, _STRETCH))))).tolist()
+        for a, b in zip(edges[:_STRETCH], edges[1:]):
+            x, y = offset[a], offset[b]
+            sums = best[source[x:y]] + cost[x:y]
+            reached[x:y] = sums
+            best[a:b] = np.minimum.reduceat(sums, offset[a:b] - x)
+        done = edges[min(_STRETCH, len(edges) - 1)]
+        reached[offset[done] :] = best[done:n] = math.inf
+        longest = np.diff(np.append(texts, n)).max(initial=1)
+        largest = max(self.unknown, np.abs(cost_of[cost_of < math.inf]).max(initial=0))
+        slack = longest * largest * min(int(size.max()), _STRETCH) * 2.0**-50
+        near = reached <= np.repeat(best[:n] + slack, count)
+        rivals = np.add.reduceat(near.view(np.int8), offset[:-1], dtype=np.int8)
+        chosen = np.flatnonzero(near)[np.cumsum(rivals, dtype=np.int64) - rivals]
+        back, paid, rivals = source.take(chosen), cost.take(chosen), rivals > 1
+        # The paths, from the stretches' ends.
+        last, alone = np.zeros(n, bool), size > _STRETCH
+        of = np.flatnonzero(~alone)
+        at = rank[begin[of] + size[of] - 1]
+        while at.size:
+            last[at] = True
+            alone[of[rivals[at]]] = True
+            at = back[at]
+            on = np.flatnonzero(at < n)
+            at, of = at[on], of[on]
+        last, paid = last[rank], paid[rank]
+        total, upto, text = 0.0, 0, -1
+        owner = np.searchsorted(texts, begin, "right") - 1
+        for i in np.flatnonzero(alone).tolist():
+            if owner[i] != text:
+                text, total = owner[i], 0.0
+                upto = texts[text] + 1
+            a, b = int(begin[i]), int(begin[i] + size[i])
+            total = float(np.cumsum(np.append(total, paid[upto:a][last[upto:a]]))[-1])
+            ends, total = self._cheapest(text_of(codes[a:b]), total)
+            last[a:b] = False
+            last[a - 1 + np.array(ends)] = True
+            upto = b
+        return last
 
 
 def segmenter(graph: WordGraph, df: DataFrame):
@@ -168,6 +273,45 @@ def piece_ends(names: list[str], ids: list[int], byte_ids: range) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
+def _together(texts: pa.Array, known: pa.Array) -> Iterator[tuple[list[str], pa.Array]]:
+    """Texts (null ones are empty) and the lengths of their true words, about as many characters at a time."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().cumsum()
+    at = 0
+    while at < len(texts):
+        full = (sizes[at - 1] if at else 0) + _TOGETHER
+        to = max(at + 1, int(np.searchsorted(sizes, full, "right")))
+        yield [t or "" for t in texts.slice(at, to - at).to_pylist()], known.slice(at, to - at)
+        at = to
+
+
+def _gaps(graph: WordGraph, pieces: Pieces, texts: list[str], known: pa.Array) -> np.ndarray:
+    """Rows of numbers, a column for each text: 1, words, pieces, words split, ends shared, true words, ends found."""
+    codes, places, sizes = code_points(texts)
+    words = graph.last_characters(codes, places)
+    words[places] = False
+    begun, ids = pieces.starts(codes, places)
+    cuts = np.append(begun[1:], True)
+    # The first piece has the space that stands before a text.
+    cuts[places] = False
+    upto = np.cumsum(cuts)
+    marks = np.flatnonzero(words | (codes == SEPARATOR))
+    ends = np.flatnonzero(words[marks])
+    split = np.zeros(len(codes), bool)
+    split[marks[ends]] = upto[marks[ends] - 1] > upto[marks[ends - 1]]
+    n_known = pc.fill_null(pc.list_value_length(known), 0).to_numpy().astype(np.int64)
+    # A word of unknown length puts all ends after it out of the text.
+    lengths = pc.fill_null(pc.list_flatten(known), -(2**31)).to_numpy().astype(np.int64)
+    after = np.concatenate(([0], np.cumsum(lengths)))
+    first = np.cumsum(n_known) - n_known
+    at = after[1:] - np.repeat(after[first], n_known)
+    inside = (at > 0) & (at <= np.repeat(sizes, n_known))
+    true = np.zeros(len(codes), bool)
+    true[(np.repeat(places, n_known) + at)[inside]] = True
+    sums = [np.add.reduceat(x, places, dtype=np.int64) for x in (words, ids, split, words & cuts, words & true)]
+    sums[1][sizes == 0] = 0
+    return np.stack([np.ones(len(texts), np.int64), *sums[:4], n_known, sums[4]])
+
+
 def tokenization_gaps(
     df: DataFrame, text_column: str, by: list[str], graph: WordGraph, subwords: Subwords, truth: Column | None = None
 ) -> DataFrame:
@@ -182,28 +326,17 @@ def tokenization_gaps(
     fields = "texts long, words long, pieces long, split long, shared long, true_words long, found long"
     source = df.select(*by, F.col(text_column).alias("_text"), (F.lit(None).cast("array<int>") if truth is None else truth).alias("_truth"))
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph, pieces = held.value
-        byte_ids = range(pieces.byte_ids[0], pieces.byte_ids[0] + 256)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text, truth in zip(batch["_text"], batch["_truth"], strict=True):
-                text = text or ""
-                ends = np.array(graph.cut(text), np.int64)
-                # The first piece has the space that stands before a text.
-                ids = pieces.encode(text)
-                cuts = piece_ends(pieces.names, ids, byte_ids) - 1
-                cuts = np.unique(cuts[cuts > 0])
-                inside = np.searchsorted(cuts, ends, "left") - np.searchsorted(cuts, np.concatenate(([0], ends[:-1])), "right")
-                known = np.cumsum([] if truth is None else truth).astype(np.int64)
-                shared, found = (len(np.intersect1d(ends, x)) for x in (cuts, known))
-                out.append((1, len(ends), len(ids), int((inside > 0).sum()), shared, len(known), found))
-            made = pd.DataFrame(out, columns=["texts", "words", "pieces", "split", "shared", "true_words", "found"])
-            yield pd.concat([batch[by].reset_index(drop=True), made], axis=1)
+            known = batch.column("_truth")
+            made = [_gaps(*held.value, *part) for part in _together(batch.column("_text"), known)]
+            if made:
+                columns = [*map(batch.column, by), *(pa.array(x) for x in np.concatenate(made, axis=1))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*by, *names])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*by).schema), fields])
     names = [f.split()[0] for f in fields.split(", ")]
-    sums = source.mapInPandas(counted, schema).groupBy(*by).agg(*(F.sum(n).alias(n) for n in names))
+    sums = source.mapInArrow(counted, schema).groupBy(*by).agg(*(F.sum(n).alias(n) for n in names))
     measured = sums.select(
         *by,
         "texts",

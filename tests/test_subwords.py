@@ -5,13 +5,14 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sentiweave.functions.text import token_count, truncate_tokens
-from sentiweave.operators import quantiles, segmentation, subwords
+from sentiweave.operators import pairtable, quantiles, segmentation, subwords
 from sentiweave.operators.histogram import boxplot_stats
 from sentiweave.plans.studies import token_fragmentation
 
@@ -184,3 +185,104 @@ def test_long_words_go_on_from_their_beginnings():
     # Of equal costs the last word is the longest: ab + cd and abcd.
     assert graph.cut("abcd") == [4] and set(graph._begun) >= {"abcd", "bcd", "cd", "d"}
     assert segmentation.piece_ends(["ab", "c"], [0, 1, 0], range(5, 6)).tolist() == [2, 3, 5]
+
+
+def joined(rng, strings, n):
+    return "".join(rng.choices(strings, k=n))
+
+
+@pytest.mark.parametrize("stretch", [2_000, 5])
+def test_texts_cut_side_by_side_are_cut_as_one_by_one(monkeypatch, stretch):
+    monkeypatch.setattr(segmentation, "_STRETCH", stretch)  # longer stretches are cut alone
+    rng = random.Random(5)
+    for case in range(150):
+        words = [joined(rng, "abc中🎉 ", rng.randrange(1, 7)) for _ in range(rng.randrange(0, 25))]
+        # Few different costs make equal paths, which the rounding of sums chooses between.
+        known = {w: rng.choice([0.1, 0.2, 0.3, 0.7, 1.1]) if case % 2 else rng.uniform(0.1, 9) for w in words}
+        graph = segmentation.WordGraph(known, 6.0, rng.randrange(1, 8))
+        texts = [joined(rng, [*words, "a", "b", "x", "\0"], rng.randrange(0, 60)) for _ in range(rng.randrange(1, 12))]
+        codes, places, sizes = pairtable.code_points(texts)
+        last = graph.last_characters(codes, places)
+        for text, at, size in zip(texts, places, sizes):
+            assert (np.flatnonzero(last[at + 1 : at + 1 + size]) + 1).tolist() == graph.cut(text)
+
+
+def test_few_stretches_of_texts_are_cut_alone(monkeypatch):
+    rng = random.Random(6)
+    words = [joined(rng, "etaoinshrdlu", rng.randrange(1, 8)) for _ in range(3_000)]
+    graph = segmentation.WordGraph({w: rng.uniform(3, 9) for w in words}, 12.0, 24)
+    texts, alone = [joined(rng, [*words, "."], 400) for _ in range(20)], []
+    one_by_one = [graph.cut(t) for t in texts]
+    cheapest = segmentation.WordGraph._cheapest
+    monkeypatch.setattr(segmentation.WordGraph, "_cheapest", lambda self, t, b: alone.append(len(t)) or cheapest(self, t, b))
+    codes, places, _ = pairtable.code_points(texts)
+    last = graph.last_characters(codes, places)
+    assert np.flatnonzero(np.delete(last, places)).size == sum(map(len, one_by_one))
+    assert sum(alone) < 0.05 * len(codes)
+
+
+@pytest.mark.parametrize("widths", [(2, 4, 8, 16, 32, 64, 128, 256), (2, 4)])
+def test_pieces_start_where_the_library_starts_them(pieces, library, monkeypatch, widths):
+    monkeypatch.setattr(subwords, "_WIDTHS", widths)  # longer parts are joined alone
+    rng = random.Random(7)
+    names = [n.replace(subwords.SPACE, rng.choice([" ", subwords.SPACE])) for n in pieces.table]
+    texts = [joined(rng, [*names, "x", "🎉", "ሴ", "<0x41>", "==", "  "], rng.randrange(0, 40)) for _ in range(400)]
+    texts += ["", " ", "a", "=" * 700, "the" * 300, "abcdefghijklmnopqrstuvwxyz" * 30, "中文没有空格" * 50]
+    codes, places, sizes = pairtable.code_points(texts)
+    started, ids = pieces.starts(codes, places)
+    byte_ids = range(pieces.byte_ids[0], pieces.byte_ids[0] + 256)
+    for text, at, size in zip(texts, places, sizes):
+        expected = library.encode(text)
+        ends = np.unique(segmentation.piece_ends(pieces.names, expected, byte_ids)).tolist()
+        if text:
+            assert [*np.flatnonzero(started[at + 1 : at + 1 + size]) + 1, size + 1] == [e for e in ends if e]
+            assert ids[at : at + 1 + size].sum() == len(expected)
+
+
+def test_joins_that_undercut_their_parts_are_made_in_order():
+    # A joint may have a better score than its parts, and characters may have no piece of their own.
+    rng = random.Random(8)
+    for _ in range(40):
+        names = {joined(rng, "abc", rng.randrange(1, 6)) for _ in range(14)} | {subwords.SPACE}
+        table = {n: (i + 256, rng.choice([-1.0, -2.0, -3.0, float(-i)])) for i, n in enumerate(sorted(names))}
+        made = subwords.Pieces(table, list(range(256)), [*map(str, range(256)), *sorted(names)], -1, -1)
+        texts = [joined(rng, "abcd", rng.randrange(0, 50)) for _ in range(10)]
+        codes, places, sizes = pairtable.code_points(texts)
+        started, ids = made.starts(codes, places)
+        for text, at, size in zip(texts, places, sizes):
+            lengths = np.cumsum([len(p) for p in made._joined_long(subwords.SPACE + text)])
+            assert [*np.flatnonzero(started[at + 1 : at + 1 + size]) + 1, size + 1] == lengths.tolist()
+            assert not text or ids[at : at + 1 + size].sum() == len(made.encode(text))
+
+
+def test_gaps_of_each_text_among_others(pieces):
+    rng = random.Random(9)
+    words = [joined(rng, "abcdeé中", rng.randrange(1, 6)) for _ in range(60)]
+    graph = segmentation.WordGraph({w: rng.uniform(1, 9) for w in words}, 12.0, 24)
+    texts, lengths = [], []
+    for _ in range(50):
+        cut = rng.choices(words, k=rng.randrange(0, 30))
+        texts.append("".join(cut))
+        lengths.append(rng.choice([[len(w) for w in cut], None, [0, 2, 0, 900]]))
+    byte_ids = range(pieces.byte_ids[0], pieces.byte_ids[0] + 256)
+    found = segmentation._gaps(graph, pieces, texts, pa.array(lengths, pa.list_(pa.int32())))
+    for text, true, row in zip(texts, lengths, found.T.tolist()):
+        ends, ids = graph.cut(text), pieces.encode(text)
+        cuts = {e - 1 for e in segmentation.piece_ends(pieces.names, ids, byte_ids).tolist() if e > 1}
+        split = sum(any(a < c < b for c in cuts) for a, b in zip([0, *ends], ends))
+        known = set(itertools.accumulate(true or []))
+        assert row == [1, len(ends), len(ids), split, len(cuts & set(ends)), len(true or []), len(known & set(ends))]
+
+
+def test_gaps_of_many_texts_and_of_one_are_alike(spark, monkeypatch):
+    texts = [("a b" * (i % 50), "x" if i % 3 else None) for i in range(500)] + [(None, "x"), ("", None)]
+    df = spark.createDataFrame(texts, "text string, lang string").repartition(3)
+    graph, encoder = segmentation.WordGraph.fit(segmentation.word_counts(df, "text")), subwords.Subwords(spark)
+    rows = df.select("lang", segmentation.without_spaces(F.col("text")).alias("t"), segmentation.word_lengths(F.col("text")).alias("n"))
+    together = sorted(segmentation.tokenization_gaps(rows, "t", ["lang"], graph, encoder, F.col("n")).collect(), key=str)
+    assert sum(r.texts for r in together) == 502 and len(together) == 2
+    assert "recall" not in segmentation.tokenization_gaps(rows, "t", ["lang"], graph, encoder).columns
+    batch = pa.array([t for t, _ in texts])
+    for n in (1, 2, 1_000):
+        monkeypatch.setattr(segmentation, "_TOGETHER", n)
+        assert [t for part, _ in segmentation._together(batch, batch) for t in part] == [t or "" for t, _ in texts]
