@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,7 +61,17 @@ class WordGraph:
     @classmethod
     def fit(cls, counts: DataFrame, size: int = DICTIONARY_WORDS) -> WordGraph:
         """The ``size`` most frequent words (of equal counts the smaller ones) of a table of counts."""
-        rows = counts.where("n > 0 and word <> ''").orderBy(F.desc("n"), "word").limit(size).collect()
+        counts = counts.where("n > 0 and word <> ''").persist(StorageLevel.DISK_ONLY)
+        try:
+            # Tasks give no word that is rarer than the last one: how many words occur how often is a small table.
+            least, held = 1, 0
+            for n, words_of_it in sorted(counts.groupBy("n").count().collect(), reverse=True):
+                least, held = n, held + words_of_it
+                if held >= size:
+                    break
+            rows = counts.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size).collect()
+        finally:
+            counts.unpersist()
         total = sum(r["n"] for r in rows) or 1
         costs = {r["word"]: -math.log(r["n"] / total) for r in rows}
         return cls(costs, math.log(total) + 1, max(map(len, costs), default=1))
@@ -133,13 +144,13 @@ class WordGraph:
         return ends[::-1], best[size]
 
     @cached_property
-    def _table(self) -> tuple[Tree, np.ndarray]:
-        """The tree in arrays, and the costs of the words that end at its nodes."""
+    def _table(self) -> tuple[Tree, np.ndarray, float]:
+        """The tree in arrays, the costs of the words that end at its nodes, and the largest cost."""
         words = [word for word in self.costs if 0 < len(word) <= self.longest]
         tree = Tree(words)
         cost = np.full(len(tree.base), math.inf)
         cost[tree.ends] = [self.costs[word] for word in words]
-        return tree, cost
+        return tree, cost, max(self.unknown, np.abs(cost[cost < math.inf]).max(initial=0))
 
     def last_characters(self, codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
         """Which code points are the last of a word, for many texts as :func:`cut` finds them one by one.
@@ -150,7 +161,7 @@ class WordGraph:
         equal paths. So a stretch whose cheapest path has a rival as cheap as rounding may make it is
         cut alone, from the cost before it, and so is a very long one.
         """
-        tree, cost_of = self._table
+        tree, cost_of, largest = self._table
         n = len(codes)
         single, reach, arcs = np.full(n, self.unknown), np.arange(1, n + 1), []
         for length, at, node in tree.walk(codes):
@@ -196,7 +207,6 @@ class WordGraph:
         done = edges[min(_STRETCH, len(edges) - 1)]
         reached[offset[done] :] = best[done:n] = math.inf
         longest = np.diff(np.append(texts, n)).max(initial=1)
-        largest = max(self.unknown, np.abs(cost_of[cost_of < math.inf]).max(initial=0))
         slack = longest * largest * min(int(size.max()), _STRETCH) * 2.0**-50
         near = reached <= np.repeat(best[:n] + slack, count)
         rivals = np.add.reduceat(near.view(np.int8), offset[:-1], dtype=np.int8)

@@ -221,7 +221,7 @@ def test_few_stretches_of_texts_are_cut_alone(monkeypatch):
     assert sum(alone) < 0.05 * len(codes)
 
 
-@pytest.mark.parametrize("widths", [(2, 4, 8, 16, 32, 64, 128, 256), (2, 4)])
+@pytest.mark.parametrize("widths", [subwords._WIDTHS, (2, 4)])
 def test_pieces_start_where_the_library_starts_them(pieces, library, monkeypatch, widths):
     monkeypatch.setattr(subwords, "_WIDTHS", widths)  # longer parts are joined alone
     rng = random.Random(7)
@@ -286,3 +286,16 @@ def test_gaps_of_many_texts_and_of_one_are_alike(spark, monkeypatch):
     for n in (1, 2, 1_000):
         monkeypatch.setattr(segmentation, "_TOGETHER", n)
         assert [t for part, _ in segmentation._together(batch, batch) for t in part] == [t or "" for t, _ in texts]
+
+
+def test_tasks_give_no_word_rarer_than_the_last_one(spark):
+    rows = [(f"w{i:04}", 1 + i % 7) for i in range(2_000)] + [("", 99), ("none", 0)]
+    counts = spark.createDataFrame(rows, "word string, n long").repartition(8)
+    for size in (1, 300, 5_000):
+        graph = segmentation.WordGraph.fit(counts, size)
+        kept = sorted(((n, w) for w, n in rows if n and w), key=lambda x: (-x[0], x[1]))[:size]
+        assert list(graph.costs) == [w for _, w in kept]
+        total = sum(n for n, _ in kept)
+        assert graph.costs == {w: -math.log(n / total) for n, w in kept}
+    assert segmentation.WordGraph.fit(counts.where("false")).costs == {}
+    assert not counts.sparkSession.sparkContext._jsc.getPersistentRDDs()
