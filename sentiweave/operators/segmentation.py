@@ -35,7 +35,7 @@ LONGEST_WORD = 24
 #: Characters that are looked up at once, and how many of their beginnings a task remembers.
 _STRIDE = 4
 _REMEMBERED = 100_000
-#: Characters of texts that are cut side by side (a longer text alone), and the longest stretch that is.
+#: Bytes of texts that are cut side by side (a longer text alone), and the longest stretch that is.
 _TOGETHER = 400_000
 _STRETCH = 2_000
 
